@@ -3,15 +3,16 @@
 A window is T consecutive units (bytes or words) of one document. Of the k-unit strings in a window the one with the
 smallest hash is its anchor; equal windows have equal anchors, so
 
-1. each document emits the hashes of its anchors; a hash that occurs once in the corpus rules out all its windows;
-2. of repeated hashes, the run of windows that share one anchor travels as one packed string to the anchor's bucket,
-   identical strings of a bucket having been merged before the shuffle;
+1. each document emits, for each run of windows that share an anchor, the anchor's hash and a seal (a cryptographic
+   digest) of the packed string of the run; a hash that occurs once in the corpus rules out all its windows;
+2. of repeated hashes, each run travels as one packed string to the anchor's bucket; copies of a string are merged before
+   that by hash and seal, so one holder sends it with the number of its copies;
 3. a solver (its own for each operator) finds equal windows in a bucket, comparing what the strings hold;
 4. window ranges go back to their documents and are applied to the whole text.
 
 No step pairs documents. A bucket that keeps many different strings (a frequent phrase in ever new surroundings) is dealt
 again by what stands beside the anchor: a window has at least half of its other units on one side of it, so equal windows
-still meet under the key of that side. Lineage is cut twice by tables in the shared folder.
+still meet under the key of that side. Lineage is cut by tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from . import blocks, scratch
 HOT_BUCKET = 2000
 #: Bytes of packed strings that a solver sees at once; a bucket is never cut.
 SOLVE_BYTES = 1 << 20
+#: A run's first window and its number of windows share a long.
+_COUNT_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -71,11 +74,7 @@ def anchors(hashes: np.ndarray, first: np.ndarray, units: Units) -> tuple[np.nda
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which tells apart rows that share a doc_id."""
-    return docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return docs.select("doc_id", "text").withColumn("th", F.hash("text"))
 
 
 def ranges(docs: DataFrame, units: Units, solve: Callable, earlier: bool, owner: str) -> DataFrame:
@@ -86,91 +85,101 @@ def ranges(docs: DataFrame, units: Units, solve: Callable, earlier: bool, owner:
 
     def emit(batches):
         for rows, data, offsets in blocks.blocks(batches):
-            hashes, first, _, _ = units.of(data, offsets)
-            doc, _, _, at = anchors(hashes, first, units)
-            cuts = np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.ListArray.from_arrays(pa.array(cuts), _signed(hashes[at]))], names=["doc_id", "th", "h"])
+            hashes, first, starts, ends = units.of(data, offsets)
+            doc, start, n, at = anchors(hashes, first, units)
+            cuts = pa.array(np.searchsorted(doc, np.arange(rows.num_rows + 1)).astype(np.int32))
+            seal = np.frombuffer(b"".join([hashlib.md5(x, usedforsecurity=False).digest()[:8] for x in _packed(data, starts, ends, start, n, units)]), np.int64)
+            cols = (hashes[at].view(np.int64), seal, (start - first[doc]) << _COUNT_BITS | n)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *(pa.ListArray.from_arrays(cuts, pa.array(c)) for c in cols)], names=["doc_id", "th", "h", "r", "p"])
 
     docs = keyed(docs)
-    marks = scratch.save(docs.mapInArrow(emit, "doc_id long, th long, h array<long>").where("size(h) > 0"), "anchors", owner)
-    each = marks.select("doc_id", "th", F.posexplode("h").alias("i", "h"))
+    marks = scratch.save(docs.mapInArrow(emit, "doc_id long, th int, h array<long>, r array<long>, p array<long>").where("size(h) > 0"), "anchors", owner)
+    each = marks.selectExpr("doc_id", "th", "inline(arrays_zip(h, r, p))")
     if earlier:
         often = each.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     else:
         often = each.groupBy("h").count().where("count > 1").select("h")
-    hits = each.join(often, "h").groupBy("doc_id", "th").agg(F.collect_set("i").alias("hits")).withColumnsRenamed({"doc_id": "_d", "th": "_t"})
+    hits = scratch.save(each.join(often, "h"), "hits", owner)
+    strings = hits.groupBy("h", "r").agg(F.count("*").alias("c"), F.min("doc_id").alias("d"), F.min(F.struct("doc_id", "th", "p")).alias("o"))
+    strings = scratch.save(strings, "strings", owner)
+    # one holder sends its string for all copies; where one string fills a bucket, or all of its strings repeat anyway, none travels
+    buckets = strings.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1" if earlier else "m > 1 and least = 1")
+    sent = strings.join(buckets, "h").select(F.col("o.doc_id").alias("_d"), F.col("o.th").alias("_t"), F.struct("h", "r", "c", "d", "m", F.col("o.p").alias("p")).alias("x"))
+    sent = sent.groupBy("_d", "_t").agg(F.collect_list("x").alias("x"))  # as many as the document has anchors
 
     def cut(batches):
         for rows, data, offsets in blocks.blocks(batches):
             hashes, first, starts, ends = units.of(data, offsets)
             doc, start, n, at = anchors(hashes, first, units)
-            head = np.searchsorted(doc, np.arange(rows.num_rows))
-            hit = rows.column(3)
-            sizes = np.diff(np.asarray(hit.offsets))
-            of = np.repeat(np.arange(rows.num_rows), sizes)
-            r = head[of] + np.asarray(hit.flatten())
-            a, b = start[r], start[r] + n[r] + units.window - 1
-            held = data.tobytes()
-            if units.words:
-                space = [held[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-                packed = [b" ".join(space[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            else:
-                packed = [held[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            where = pa.array(of)
-            ids = pa.array([hashlib.md5(x, usedforsecurity=False).digest() for x in packed], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(where), rows.column(2).take(where), _signed(hashes[at[r]]), pa.array((start[r] - first[of]).astype(np.int32)), pa.array(n[r].astype(np.int32)), pa.array((at[r] - start[r]).astype(np.int32)), ids, pa.array(packed, pa.binary())],
-                names=["doc_id", "th", "h", "pos", "n", "off", "sid", "s"],
-            )
-
-    shape = "doc_id long, th long, h long, pos int, n int, off int, sid binary, s binary"
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_t"))).select("doc_id", "text", "th", "hits")
-    placed = scratch.save(joined.mapInArrow(cut, shape), "runs", owner)
-    merged = placed.groupBy("h", "s", "sid", "off", "n").agg(F.min("doc_id").alias("d"), F.count("*").alias("c"))
-    strings = scratch.save(merged, "strings", owner)
-    hot = strings.groupBy("h").count().where(F.col("count") > HOT_BUCKET).select("h")
-    if hot.isEmpty():
-        dealt = strings.withColumns({"lo": F.lit(0), "hi": F.col("n")}).withColumn("key", F.col("h"))
-    else:
-        dealt = strings.join(hot, "h", "left_anti").withColumns({"lo": F.lit(0), "hi": F.col("n"), "key": F.col("h")})
-        dealt = dealt.unionByName(strings.join(hot, "h", "left_semi").mapInArrow(_beside(units), "h long, s binary, sid binary, off int, n int, d long, c long, lo int, hi int, key long"))
+            lists = rows.column(2)
+            of = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
+            h, r, c, d, m, p = lists.flatten().flatten()
+            run = np.searchsorted(start, first[of] + (p.to_numpy() >> _COUNT_BITS))
+            packed = _packed(data, starts, ends, start[run], n[run], units)
+            yield pa.RecordBatch.from_arrays([h, r, c, d, m, pa.array((at - start)[run].astype(np.int32)), pa.array(n[run].astype(np.int32)), pa.array(packed, pa.binary())], names=["h", "r", "c", "d", "m", "off", "n", "s"])
+
+    joined = docs.join(sent, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_t"))).select("doc_id", "text", "x")
+    travel = joined.mapInArrow(cut, "h long, r long, c long, d long, m long, off int, n int, s binary")
+    dealt = travel.mapInArrow(_deal(units), "h long, r long, c long, d long, s binary, lo int, hi int, key long")
 
     def work(batches):
         for group in _buckets(batches):
             yield solve(group, units)
 
     runs = "array<struct<a:int,b:int,d:bigint>>"
-    solved = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(work, f"h long, sid binary, runs {runs}")
+    solved = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(work, f"h long, r long, runs {runs}")
     # a string that occurs several times repeats as a whole; solvers add what different strings share
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), F.col("d").alias("d"))).cast(runs)
-    solved = solved.unionByName(strings.where("c > 1").select("h", "sid", whole.alias("runs")))
-    got = placed.select("doc_id", "th", "h", "sid", "pos").join(solved, ["h", "sid"])
+    whole = F.array(F.struct(F.lit(0).alias("a"), F.expr(f"cast(o.p & {(1 << _COUNT_BITS) - 1} as int)").alias("b"), F.col("d").alias("d"))).cast(runs)
+    solved = scratch.save(solved.unionByName(strings.where("c > 1").select("h", "r", whole.alias("runs"))), "solved", owner)
+    got = hits.join(solved, ["h", "r"]).withColumn("pos", F.expr(f"cast(shiftright(p, {_COUNT_BITS}) as int)"))
     if earlier:
         got = got.withColumn("runs", F.expr("filter(runs, x -> x.d < doc_id)"))
     flat = F.expr("flatten(transform(runs, x -> array(pos + x.a, pos + x.b)))")
     return got.where("size(runs) > 0").groupBy("doc_id", "th").agg(F.flatten(F.collect_list(flat)).alias("at"))
 
 
-def _beside(units: Units) -> Callable:
-    """Deals a hot bucket's strings by their units just left or right of the anchor; lo..hi are the windows that key answers for."""
+def _packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: np.ndarray, n: np.ndarray, units: Units) -> list[bytes]:
+    """The units under each run of windows as one string; words are joined by one space."""
+    last = run + n + units.window - 1
+    if not units.words:
+        held = data.tobytes()
+        return [held[x:y] for x, y in zip(run.tolist(), last.tolist(), strict=True)]
+    keep = np.zeros(len(data) + 1, np.int8)  # words and the first space after each
+    np.add.at(keep, starts, 1)
+    np.add.at(keep, ends, -1)
+    inside = np.cumsum(keep[:-1]).astype(bool)
+    after = ends[ends < len(data)]
+    plain = np.where(inside, data, np.uint8(32))
+    inside[after] = True
+    # a word that touches the next document's has no byte between them, and needs none: runs stay within documents
+    where = np.cumsum(inside) - inside
+    held = plain[inside].tobytes()
+    return [held[x:y] for x, y in zip(where[starts[run]].tolist(), (where[ends[last - 1] - 1] + 1).tolist(), strict=True)]
+
+
+def _deal(units: Units) -> Callable:
+    """Keys of buckets. A hot bucket's strings are dealt by the units just left or right of the anchor; lo..hi are the windows for which that key answers."""
     half = -(-(units.window - units.anchor) // 2)
 
     def deal(batches):
         for rows in batches:
-            take, lo, hi, key = [], [], [], []
-            for i, (h, s, off, n) in enumerate(zip(*(rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("h", "s", "off", "n")), strict=True)):
+            col = {c: rows.column(rows.schema.get_field_index(c)) for c in rows.schema.names}
+            hot = np.flatnonzero(col["m"].to_numpy() > HOT_BUCKET)
+            cold = np.flatnonzero(col["m"].to_numpy() <= HOT_BUCKET)
+            take, lo, hi, key = cold.tolist(), [0] * len(cold), col["n"].to_numpy()[cold].tolist(), col["h"].to_numpy()[cold].tolist()
+            for i in hot.tolist():
+                h, s, off, n = (col[c][i].as_py() for c in ("h", "s", "off", "n"))
                 parts = s.split(b" ") if units.words else s
                 # window j holds off - j units left of the anchor and window - anchor - (off - j) right of it
                 for a, b, side in ((max(0, off - (units.window - units.anchor - half)), n, slice(off + units.anchor, off + units.anchor + half)), (0, min(n, off - half + 1), slice(off - half, off))):
                     if a < b and side.start >= 0:
-                        beside = parts[side]
-                        beside = b" ".join(beside) if units.words else beside
+                        beside = b" ".join(parts[side]) if units.words else parts[side]
                         take.append(i)
                         lo.append(a)
                         hi.append(b)
                         key.append(int.from_bytes(hashlib.blake2b(beside, digest_size=8, key=h.to_bytes(8, "big", signed=True), person=b"R" if side.start > off else b"L").digest(), "big", signed=True))
-            got = rows.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(got.column(got.schema.get_field_index(c)) for c in ("h", "s", "sid", "off", "n", "d", "c")), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(key, pa.int64())], names=["h", "s", "sid", "off", "n", "d", "c", "lo", "hi", "key"])
+            got = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(col[c].take(got) for c in ("h", "r", "c", "d", "s")), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(key, pa.int64())], names=["h", "r", "c", "d", "s", "lo", "hi", "key"])
 
     return deal
 

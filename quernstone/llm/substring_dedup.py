@@ -45,7 +45,7 @@ def solve(table: pa.Table, units: passages.Units) -> pa.RecordBatch:
         for k in order[at:to]:
             least[k] = low
         at = to
-    hs, ids, runs = table.column("h").to_pylist(), table.column("sid").to_pylist(), [[] for _ in d]
+    hs, ids, runs = table.column("h").to_pylist(), table.column("r").to_pylist(), [[] for _ in d]
     for k, i in enumerate(owner):
         if least[k] == d[i]:
             continue
@@ -54,7 +54,7 @@ def solve(table: pa.Table, units: passages.Units) -> pa.RecordBatch:
         else:
             runs[i].append({"a": place[k], "b": place[k] + 1, "d": least[k]})
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("d", pa.int64())]))
-    return pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ids, pa.binary()), pa.array(runs, kind)], names=["h", "sid", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ids, pa.int64()), pa.array(runs, kind)], names=["h", "r", "runs"])
 
 
 def substring_dedup(docs: DataFrame, length: int = 50, anchor: int = 12, text: bool = False, owner: str = "query") -> DataFrame:

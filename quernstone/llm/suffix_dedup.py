@@ -112,7 +112,7 @@ def solve(table: pa.Table, units: passages.Units) -> pa.RecordBatch:
     # a string of a bucket that was dealt again can be here under two keys; it counts once
     held: dict[tuple, int] = {}
     strings, index = [], []
-    for key in zip(table.column("h").to_pylist(), table.column("sid").to_pylist(), strict=True):
+    for key in zip(table.column("h").to_pylist(), table.column("r").to_pylist(), strict=True):
         index.append(held.setdefault(key, len(held)))
         if index[-1] == len(strings):
             strings.append(table.column("s")[len(index) - 1].as_py())
@@ -129,10 +129,10 @@ def solve(table: pa.Table, units: passages.Units) -> pa.RecordBatch:
         turn = np.flatnonzero(np.diff(flags)) + lo[i]
         if len(turn):
             hs.append(table.column("h")[i].as_py())
-            ids.append(table.column("sid")[i].as_py())
+            ids.append(table.column("r")[i].as_py())
             runs.append([{"a": a, "b": b, "d": None} for a, b in zip(turn[::2].tolist(), turn[1::2].tolist(), strict=True)])
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("d", pa.int64())]))
-    return pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ids, pa.binary()), pa.array(runs, kind)], names=["h", "sid", "runs"])
+    return pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ids, pa.int64()), pa.array(runs, kind)], names=["h", "r", "runs"])
 
 
 def spans(flat: np.ndarray, window: int) -> np.ndarray:
