@@ -9,6 +9,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +40,9 @@ def save(df: DataFrame, name: str, owner: str = "query", clean: bool = True) ->
     del df
     if clean:
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # objects that refer to shuffles go first, then the shuffles
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.1)
     return spark.read.schema(schema).parquet(path)
 
 
