@@ -32,7 +32,7 @@ from . import blocks, scratch
 #: Different strings in a bucket from which it is dealt again by the anchor's neighbourhood.
 HOT_BUCKET = 2000
 #: Bytes of packed strings that a solver sees at once; a bucket is never cut.
-SOLVE_BYTES = 1 << 20
+SOLVE_BYTES = 1 << 18
 #: A run's first window and its number of windows share a long.
 _COUNT_BITS = 20
 
@@ -99,11 +99,15 @@ def ranges(docs: DataFrame, units: Units, solve: Callable, earlier: bool, owner:
         often = each.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
     else:
         often = each.groupBy("h").count().where("count > 1").select("h")
+    # a table of its own on either side lets Spark split a hash that many documents hold
+    often = scratch.save(often, "often", owner)
     hits = scratch.save(each.join(often, "h"), "hits", owner)
+    scratch.drop(docs.sparkSession, marks)
     strings = hits.groupBy("h", "r").agg(F.count("*").alias("c"), F.min("doc_id").alias("d"), F.min(F.struct("doc_id", "th", "p")).alias("o"))
     strings = scratch.save(strings, "strings", owner)
     # one holder sends its string for all copies; where one string fills a bucket, or all of its strings repeat anyway, none travels
     buckets = strings.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1" if earlier else "m > 1 and least = 1")
+    buckets = scratch.save(buckets, "buckets", owner)
     sent = strings.join(buckets, "h").select(F.col("o.doc_id").alias("_d"), F.col("o.th").alias("_t"), F.struct("h", "r", "c", "d", "m", F.col("o.p").alias("p")).alias("x"))
     sent = sent.groupBy("_d", "_t").agg(F.collect_list("x").alias("x"))  # as many as the document has anchors
 
