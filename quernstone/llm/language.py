@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks
 from .packing import tokenizer_file
@@ -194,8 +195,8 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
                         score[i] = 0
             yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(1, rows.num_columns)), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*rows.schema.names[1:], "lang_pred", "score"])
 
-    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text").alias("text"), *[F.col(c).alias(c) for c in keep]).mapInArrow(run, f"{shape}, lang_pred string, score double")
+    shape = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select("text", *keep).mapInArrow(run, shape)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
