@@ -487,11 +487,12 @@ def eval_context_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims of documents that arrive as a stream, appended batch by batch, once each."""
     import tempfile
+    import uuid
 
     from ..streaming.ingest import append_once, arriving
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quernstone-stream-")
-    made, seen = f"{shared}/claims-{id(object())}", f"{shared}/seen-{id(object())}"
+    made, seen = (f"{shared}/{part}-{uuid.uuid4().hex}" for part in ("claims", "seen"))
     schema = table(spark, sf_dir, "documents").schema
 
     def told(docs: DataFrame) -> DataFrame:

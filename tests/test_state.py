@@ -101,3 +101,31 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest_stream(docs, g, f"{tmp_path}/seen").awaitTermination()
     assert g.stats().first()["claims"] == 5 and g.table("ingest_log").count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quernstone.__main__ import main
+
+    os.mkdir(tmp_path / "docs")
+    assert main([f"{tmp_path}/s", "--documents", f"{tmp_path}/docs"], spark) == 1
+    (tmp_path / "docs" / "a.md").write_text(ONE)
+    (tmp_path / "q.txt").write_text("Falcon?\n\n")
+    assert main([f"{tmp_path}/s", "--documents", f"{tmp_path}/docs", "--questions", f"{tmp_path}/q.txt", "--interactive", "--page", f"{tmp_path}/p.html"], spark, ["what of Rhodes\n", "quit\n", "never\n"]) == 0
+    out = capsys.readouterr().out
+    assert "a.md: 3 entities" in out or "a.md: 2 entities" in out
+    assert "[a.md] Rhodes" in out and "> Falcon?" in out and (tmp_path / "p.html").read_text().startswith("<!doctype html>")
+
+
+def test_evaluation(spark, graph, tmp_path):
+    from quernstone.operators import evaluate
+
+    q = spark.createDataFrame([(1, "what about Falcon?", "Falcon is a fast method"), (2, "zzz", "nothing known")], "qid long, question string, ground_truth string")
+    got = {r["metric"]: r for r in evaluate.run(graph, q, f"{tmp_path}/scores").collect()}
+    assert got["overlap_recall"]["n"] == 2 and got["overlap_recall"]["mean"] > 0.4
+    assert spark.read.json(f"{tmp_path}/scores").count() == 2
+
+    def broken(df):
+        raise RuntimeError
+
+    assert all(r["n"] == 0 for r in evaluate.run(graph, q, f"{tmp_path}/raw", broken).collect())
+    assert {"answer", "contexts", "ground_truth"} <= set(spark.read.json(f"{tmp_path}/raw").columns)
