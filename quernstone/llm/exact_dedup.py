@@ -2,8 +2,8 @@
 
 Texts are split by their length and their first bytes, then each group by the next bytes, and so on with longer
 stretches, until a group has one member or its texts have ended. Equality is that of the bytes; no digest decides. A round
-counts a group's next stretches by a partial aggregate and hands the counts back by a join that Spark can split where one
-group is large; a text leaves as soon as it is alone, so later rounds only carry copies. The stretches grow by a factor, so
+counts a group's next stretches by a partial aggregate and hands the counts back by a sort-merge join (the same at every
+size) that Spark can split where one group is large; a text leaves as soon as it is alone, so later rounds only carry copies. The stretches grow by a factor, so
 rounds grow with the logarithm of the longest text.
 
 Defined cases: a null text equals an empty one; of equal texts the smallest doc_id stays, and all rows that have it are
@@ -41,7 +41,7 @@ def exact_dedup(docs: DataFrame, first: int = 64, factor: int = 16, owner: str =
         """Rows with the group of their stretch; ``g`` stays null where they are through."""
         ended = F.col("n").isNull() | (F.col("size") <= offset + width)
         go = ~ended
-        return rows.join(groups, keys, "left").select("doc_id", "size", "text_sha256", *done, F.when(go, F.col("g")).alias("g"), F.when(go, F.expr(f"substring(rest, {width + 1})")).alias("rest"))
+        return rows.join(groups.hint("merge"), keys, "left").select("doc_id", "size", "text_sha256", *done, F.when(go, F.col("g")).alias("g"), F.when(go, F.expr(f"substring(rest, {width + 1})")).alias("rest"))
 
     width, offset = first, 0
     table = scratch.save(step(keyed.withColumn("text_sha256", F.sha2("rest", 256)), groups, at, 0, width), "round", owner)
