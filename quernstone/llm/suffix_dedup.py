@@ -66,42 +66,36 @@ def repeats(data: np.ndarray, length: int) -> np.ndarray:
     n = len(data)
     order, marked = suffix_order(data, length + 1)
     bwt = data[order - 1]
-    by = np.argsort(bwt, kind="stable")  # the j-th suffix extends the one at by[j] by a byte to the left
+    by = np.argsort(bwt, kind="stable").astype(np.int32)  # the j-th suffix extends the one at by[j] by a byte to the left
+    left = np.empty(n, np.int32)
+    left[by] = np.arange(n, dtype=np.int32)  # and the one at i is extended to the left by the one at left[i]
     char = bwt[by]
     head = np.ones(n, bool)
     head[1:] = char[1:] != char[:-1]
-    before = np.empty(n, np.int64)
-    before[0] = 0
-    before[1:] = by[:-1]
+    after = np.append(by[1:], np.int32(n))  # where the same byte next precedes a suffix
+    before = np.append(np.int32(0), by[:-1])
     marked |= head
-    marked = np.append(marked, True)
-    level, open_ = 8, np.flatnonzero(~marked[:-1])
-    # dense levels: look at each unmarked place at once
-    fresh = n
-    while level < length and len(open_) and fresh * 100 > len(open_):
-        sums = np.cumsum(marked[:-1])
-        hit = sums[by[open_]] > sums[before[open_]]
-        found = open_[hit]
-        fresh = len(found)
-        marked[found] = True
-        open_ = open_[~hit]
+    level, front = 8, np.flatnonzero(marked)[1:]
+    while level < length and len(front):
+        marks = np.flatnonzero(marked)
+        first = marks[np.searchsorted(marks, front) - 1]
+        size = front - first
+        total = int(size.sum())
+        open_ = n - len(marks)
+        if total <= 2 * open_:
+            # the interval that ends at each new mark: the last place of each of its bytes leads to a mark one level up
+            at = np.repeat(front - np.cumsum(size), size) + np.arange(total)
+            j = left[at] + 1
+            j = j[(j < n) & (after[left[at]] >= np.repeat(front, size))]
+            front = np.unique(j[~marked[j]])
+        else:
+            # intervals are long: look at each unmarked place instead
+            places = np.flatnonzero(~marked)
+            sums = np.cumsum(marked, dtype=np.int32)
+            front = places[sums[by[places]] > sums[before[places]]]
+        marked[front] = True
         level += 1
-    if level < length and len(open_) and fresh:
-        starts = np.flatnonzero(head)
-        lists = np.split(by, starts[1:])
-        front = found
-        while level < length and len(front):
-            # sparse levels: each new mark p, extended by each byte, marks the place of that byte's next occurrence from p on
-            got = []
-            for first, places in zip(starts.tolist(), lists, strict=True):
-                k = np.searchsorted(places, front)
-                k = k[(k > 0) & (k < len(places))] + first
-                got.append(k[~marked[k]])
-            front = np.unique(np.concatenate(got))
-            marked[front] = True
-            level += 1
-    if level < length and not fresh and len(open_):
-        level = length  # nothing new at a level: nothing at later ones
+    marked = np.append(marked, True)
     out = np.zeros(n, bool)
     out[order] = ~marked[:-1] | ~marked[1:]
     return out
@@ -148,7 +142,7 @@ def spans(flat: np.ndarray, window: int) -> np.ndarray:
     return np.stack([a[heads], np.append(b[heads[1:] - 1], b[-1])], axis=1)
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, anchor: int = 64, text: bool = False, owner: str = "query") -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, anchor: int = 40, text: bool = False, owner: str = "query") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row; ``text`` adds what is left (binary, as a cut may fall inside a character) and the removed spans."""
     units = passages.Units(length, anchor, False)
     found = passages.ranges(docs, units, solve, False, owner)
