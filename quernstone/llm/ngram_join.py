@@ -4,9 +4,10 @@ A link needs len(x) - ceil(t * len(x)) + 1 of a document's n-grams, the first in
 other's. The order puts n-grams known to be frequent last, so shared boilerplate opens no groups. Within the group of
 such an n-gram:
 
-1. all are compared with the group's smallest doc_id (one row a member, no pairs among members);
-2. members that this links are one component. Only groups that still hold several components are cut into tiles by
-   band of set size (neighbouring bands can link, others cannot), and tiles are compared with each other whole;
+1. its smallest doc_id is a centre, and each document is compared with the centre that most of its groups name (one row a
+   document, no pairs among members);
+2. members that this links are one component. In groups that still hold several, what is outside the largest component
+   is compared with all, in tiles of bounded size ordered and banded by set size (sizes far apart cannot link);
 3. a comparison first bounds the overlap from above by bit counts: each bit that differs between two signatures is an
    element of one set only. What survives is decided by intersecting the sorted arrays exactly.
 
@@ -22,7 +23,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +31,12 @@ from . import blocks, scratch
 from .components import components
 
 #: N-grams whose frequency is known to every task; the order of all others is their hash. It only affects speed.
-FREQUENT = 50_000
+FREQUENT = 300_000
 #: Members of a tile.
 TILE = 256
-BITS = (64, 8192)
+BITS = (64, 32768)
+#: Bits of a signature for each element: the more, the closer the bound.
+SPARSE = 4
 
 
 @dataclass(frozen=True)
@@ -54,8 +56,8 @@ class Likeness:
 
 
 def signature(grams: np.ndarray) -> bytes:
-    """A bitmap with about a bit for each element; a larger one folds to a smaller one by halves."""
-    bits = min(BITS[1], max(BITS[0], 1 << int(len(grams) - 1).bit_length()))
+    """A bitmap with some bits for each element; a larger one folds to a smaller one by halves."""
+    bits = min(BITS[1], max(BITS[0], 1 << int(SPARSE * len(grams) - 1).bit_length()))
     on = np.zeros(bits, np.uint8)
     on[(grams & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(on, bitorder="little").tobytes()
@@ -72,7 +74,7 @@ def most_shared(a: np.ndarray, b: np.ndarray, na, nb):
     return (na + nb - np.bitwise_count(fold(a, size) ^ fold(b, size)).sum(axis=-1, dtype=np.int64)) // 2
 
 
-def _frequent(docs: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(docs: DataFrame, like: Likeness, owner: str) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams that most often repeat within a block, with their counts: at most FREQUENT of them reach the driver."""
 
     def count(batches):
@@ -81,15 +83,26 @@ def _frequent(docs: DataFrame, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
             often = c >= 3
             yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(c[often])], names=["h", "c"])
 
-    top = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+    every = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).withColumn("k", F.floor(F.log2("c") * 8).cast("int"))
+    every = scratch.save(every, "frequent", owner)
+    # classes of counts, from the top, as long as they fit: neither the driver nor a task sees more than FREQUENT n-grams
+    room, least = FREQUENT, None
+    for k, n in sorted(((r["k"], r["count"]) for r in every.groupBy("k").count().collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = k
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = every.where(F.col("k") >= least).toPandas()
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], top["c"].to_numpy(np.int64)[order]
 
 
-def _marks(docs: DataFrame, like: Likeness) -> DataFrame:
+def _marks(docs: DataFrame, like: Likeness, owner: str) -> DataFrame:
     """doc_id, set size, signature and prefix of each row."""
-    known, often = _frequent(docs, like)
+    known, often = _frequent(docs, like, owner)
 
     def mark(batches):
         for rows, data, offsets in blocks.blocks(batches):
@@ -112,7 +125,7 @@ def _bounded(pairs: DataFrame, marks: DataFrame, like: Likeness) -> DataFrame:
     """Pairs (a, b) that sizes and bit counts allow to link."""
     side = marks.where("doc_id is not null and n > 0")
     of = lambda x: side.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
-    wide = pairs.join(of("a"), "a").join(of("b"), "b").where(f"{like.den} * least(na, nb) >= {like.num} * greatest(na, nb)")
+    wide = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where(f"{like.den} * least(na, nb) >= {like.num} * greatest(na, nb)")
 
     def bound(batches):
         for rows in batches:
@@ -133,7 +146,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, like: Likeness, owner: str) -> Da
         for rows, data, offsets in blocks.blocks(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), blocks.lists(list(blocks.shingles(data, offsets, like.n)), pa.int64())], names=["doc_id", "grams"])
 
-    held = scratch.save(docs.join(ids, "doc_id").mapInArrow(sets, "doc_id long, grams array<long>"), "sets", owner)
+    held = scratch.save(docs.join(ids.hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, grams array<long>"), "sets", owner)
 
     def intersect(batches):
         for rows in batches:
@@ -148,57 +161,105 @@ def _linked(pairs: DataFrame, docs: DataFrame, like: Likeness, owner: str) -> Da
             yield pa.RecordBatch.from_arrays([get("a"), get("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda a, x: held.select(F.col("doc_id").alias(a), F.col("grams").alias(x))
-    found = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInArrow(intersect, "a long, b long").distinct()
+    found = pairs.join(of("a", "x").hint("merge"), "a").join(of("b", "y").hint("merge"), "b").mapInArrow(intersect, "a long, b long").distinct()
     return scratch.save(found, "links", owner)
 
 
 def _tiles(members: DataFrame, like: Likeness) -> DataFrame:
-    """Pairs of different components that a bit count allows, from (g, m, doc_id, n, sig, comp): tiles of neighbouring size bands against each other."""
-    base = float(np.log(like.den / like.num))
-    cut = members.withColumns({"band": F.floor(F.log("n") / base + 1e-9), "of": F.ceil(F.col("m") / TILE).cast("int")}).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("of")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("j")
-    row = ["g", "doc_id", "n", "sig", "comp", "band", "i"]
-    same = cut.select(*row, every).select(*row[:5], F.col("band").alias("x"), F.lit(0).alias("step"), F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side"))
-    lower = cut.select(*row, every).select(*row[:5], F.col("band").alias("x"), F.lit(1).alias("step"), F.col("i").alias("p"), F.col("j").alias("q"), F.lit(0).alias("side"))
-    upper = cut.select(*row, every).select(*row[:5], (F.col("band") - 1).alias("x"), F.lit(1).alias("step"), F.col("j").alias("p"), F.col("i").alias("q"), F.lit(1).alias("side"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if pdf.step.iloc[0] == 0 and pdf.p.iloc[0] == pdf.q.iloc[0]:
-            right = left
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for sa, la in left.groupby(left.sig.str.len()):
-            a = np.frombuffer(b"".join(la.sig), np.uint8).reshape(-1, sa)
-            for sb, lb in right.groupby(right.sig.str.len()):
-                b = np.frombuffer(b"".join(lb.sig), np.uint8).reshape(-1, sb)
-                na, nb = la.n.to_numpy()[:, None], lb.n.to_numpy()[None, :]
-                for k in range(0, len(a), 32):
-                    ok = most_shared(a[k : k + 32, None], b[None], na[k : k + 32], nb) >= like.least(na[k : k + 32], nb)
-                    ok &= la.comp.to_numpy()[k : k + 32, None] != lb.comp.to_numpy()[None, :]
-                    u, v = np.nonzero(ok)
-                    out.append((la.doc_id.to_numpy()[k + u], lb.doc_id.to_numpy()[v]))
-        u, v = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pd.DataFrame({"a": np.minimum(u, v), "b": np.maximum(u, v)}).drop_duplicates()
-
-    return same.unionByName(lower).unionByName(upper).groupBy("g", "x", "step", "p", "q").applyInPandas(compare, "a long, b long").where("a <> b").distinct()
+    """Pairs of different components that a bit count allows, from (g, m, s, minor, doc_id, n, sig, comp).
+
+    m is the group's size and s the number of its members outside its largest component (``minor``). A group of at most TILE
+    members is one tile. Of a larger one, tiles of minor members meet tiles of all members, cut by hash. Tiles come one after
+    the other from a sorted partition, by set size; only what survives leaves them.
+    """
+    row = ["doc_id", "n", "sig", "comp"]
+    whole = members.where(F.col("m") <= TILE).select(F.xxhash64("g").alias("key"), F.lit(2).alias("side"), *row)
+    cut = members.where(F.col("m") > TILE).withColumns({"p": F.ceil(F.col("s") / TILE).cast("int"), "q": F.ceil(F.col("m") / TILE).cast("int")})
+    own = lambda of: F.pmod(F.xxhash64("doc_id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = cut.where("minor").withColumns({"i": own("p"), "j": every("q")}).withColumn("side", F.lit(0))
+    right = cut.withColumns({"j": own("q"), "i": every("p")}).withColumn("side", F.lit(1))
+    meet = lambda df: df.select(F.xxhash64("g", "i", "j").alias("key"), "side", *row)
+    rows = whole.unionByName(meet(left)).unionByName(meet(right))
+
+    def run(batches):
+        for tile in _sorted_groups(batches):
+            a, b = _compare(tile, like)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "side", "n").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _sorted_groups(batches):
+    """Rows (side, doc_id, n, sig, comp) of each key, from batches sorted by key."""
+    key, held = None, []
+    for batch in batches:
+        for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != key:
+                if len(held) > 1:
+                    yield held
+                key, held = k, []
+            held.append(row)
+    if len(held) > 1:
+        yield held
+
+
+def _compare(tile: list, like: Likeness) -> tuple[list[int], list[int]]:
+    """Pairs (smaller doc_id, larger) of the tile that sizes and bit counts allow."""
+    out: tuple[list[int], list[int]] = ([], [])
+    bits = [(int.from_bytes(r[3], "little"), len(r[3]) * 8) for r in tile]
+    edge = sum(r[0] == 0 for r in tile)
+    for x, (side, doc, n, _, comp) in enumerate(tile):
+        if side == 1:
+            continue
+        u, wide = bits[x]
+        for y in range(x + 1 if side == 2 else edge, len(tile)):
+            _, doc2, n2, _, comp2 = tile[y]
+            if comp == comp2:
+                continue
+            if like.den * min(n, n2) < like.num * max(n, n2):
+                if n2 > n:
+                    break  # sizes only grow from here
+                continue
+            p, q = u, bits[y][0]
+            size, size2 = wide, bits[y][1]
+            while size > size2:
+                size //= 2
+                p = (p >> size) | (p & ((1 << size) - 1))
+            while size2 > size:
+                size2 //= 2
+                q = (q >> size2) | (q & ((1 << size2) - 1))
+            if (n + n2 - (p ^ q).bit_count()) // 2 >= like.least(n, n2):
+                out[0].append(min(doc, doc2))
+                out[1].append(max(doc, doc2))
+    return out
 
 
 def ngram_join(docs: DataFrame, like: Likeness = Likeness(), owner: str = "query") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = docs.select("doc_id", "text")
-    marks = scratch.save(_marks(docs, like), "marks", owner)
+    marks = scratch.save(_marks(docs, like, owner), "marks", owner)
     tokens = marks.where("doc_id is not null").select("doc_id", F.explode("prefix").alias("t"))
     groups = tokens.groupBy("t").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z"), F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("f")).where("c < z")
     groups = scratch.save(groups, "groups", owner)  # both sides tables: Spark can split a frequent n-gram
     shared = scratch.save(tokens.join(groups, "t"), "groups", owner)
-    star = shared.where("doc_id <> c").select(F.col("c").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # of the centres that a document's groups name, the one that most of them do
+    votes = shared.where("doc_id <> c").groupBy("doc_id", "c").agg(F.count("*").alias("v"))
+    star = votes.groupBy("doc_id").agg(F.max_by("c", F.struct("v", -F.col("c"))).alias("a")).select("a", F.col("doc_id").alias("b"))
+    star = scratch.save(star, "star", owner)
     near = scratch.save(_bounded(star, marks, like), "pairs", owner)
     links = _linked(near, docs, like, owner)
     parts = scratch.save(components(links, owner), "components", owner)
     # groups with several components left, each set of members once
-    placed = shared.where("m > 2").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    open_ = placed.groupBy("c", "z", "m", "f", "t").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p < q").groupBy("c", "z", "m", "f").agg(F.min("t").alias("t")).select("t")
-    members = placed.join(open_, "t").select(F.col("t").alias("g"), "m", "doc_id", "comp").join(marks.where("n > 0").select("doc_id", "n", "sig"), "doc_id")
+    placed = scratch.save(shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "c", "z", "m", "f", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed", owner)
+    sizes = placed.groupBy("t", "c", "z", "m", "f", "comp").agg(F.count("*").alias("k"))
+    open_ = sizes.groupBy("t", "c", "z", "m", "f").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.max("k").alias("k")).where("k < m")
+    open_ = open_.groupBy("c", "z", "m", "f").agg(F.min(F.struct("t", "main", "k")).alias("x")).select("c", "z", "m", "x.t", "x.main", (F.col("m") - F.col("x.k")).alias("s"))
+    # a group of two that the first comparison was about needs no second one
+    pair = (F.col("m") == 2) & (F.col("c") == F.col("a")) & (F.col("z") == F.col("b"))
+    open_ = scratch.save(open_.join(star, pair, "left_anti").select("t", "main", "s"), "open", owner)
+    members = placed.join(open_, "t").select(F.col("t").alias("g"), "m", "s", (F.col("comp") != F.col("main")).alias("minor"), "doc_id", "comp").join(marks.where("n > 0").select("doc_id", "n", "sig"), "doc_id")
     rest = scratch.save(_tiles(members, like), "pairs", owner)
     if not rest.isEmpty():
         links = links.unionByName(_linked(rest, docs, like, owner))
