@@ -1,7 +1,7 @@
 """Repeated runs of lines by content-defined line chunks, in DataFrame functions alone.
 
-A document's lines are hashed; a boundary lies after a line where a rolling hash over it and the line before it falls into a
-residue class (and did not just before, so chunks between boundaries have two lines at least). Boundaries thus depend on two
+A document's lines are hashed (the first 32 bits of MD5, so that other engines can say the same); a boundary lies after a
+line where a rolling hash over it and the line before it, 31 * h[i - 1] + h[i], falls into a residue class (and did not just before, so chunks between boundaries have two lines at least). Boundaries thus depend on two
 lines only, and the same lines fall into the same chunks wherever they stand. A chunk of several lines that occurs elsewhere
 too stays at its first place (smallest doc_id, then place) and is removed from the others, after its bytes were compared.
 
@@ -26,15 +26,15 @@ MODULUS = 3
 
 def chunks(text: str, modulus: int = MODULUS) -> Column:
     """Array of (first line, lines) of the text's chunks; split() into lines goes before as column _lines and hashes as _h."""
-    cut = f"""filter(sequence(1, greatest(size(_h), 1)), i -> i = size(_h) or (i > 1 and pmod(xxhash64(_h[i - 2], _h[i - 1]), {modulus}) = 0
-             and not (i > 2 and pmod(xxhash64(_h[i - 3], _h[i - 2]), {modulus}) = 0)))"""
+    cut = f"""filter(sequence(1, greatest(size(_h), 1)), i -> i = size(_h) or (i > 1 and (31 * _h[i - 2] + _h[i - 1]) % {modulus} = 0
+             and not (i > 2 and (31 * _h[i - 3] + _h[i - 2]) % {modulus} = 0)))"""
     return F.expr(f"transform({cut}, (e, k) -> struct(e as last, k as k))")
 
 
 def cut(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
     """docs with _lines, and _cuts: how many lines end with each chunk."""
     lines = docs.withColumn("_lines", F.split("text", "\n", -1))
-    hashed = lines.withColumn("_h", F.transform("_lines", lambda x: F.xxhash64(x)))
+    hashed = lines.withColumn("_h", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
     return hashed.withColumn("_cuts", F.transform(chunks("text", modulus), lambda x: x["last"])).drop("_h")
 
 
@@ -52,26 +52,26 @@ def removals(docs: DataFrame, modulus: int = MODULUS, owner: str = "query") -> D
     often = scratch.save(light.groupBy("_c").agg(F.count("*").alias("n")).where("n > 1").select("_c"), "often", owner)
     hits = light.join(often, "_c").groupBy("doc_id", "_t").agg(F.collect_set("_k").alias("_ks")).withColumnsRenamed({"doc_id": "_d", "_t": "_u"})
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u"))
-    texts = _each(named.join(hits, same).drop("_d", "_u"), "doc_id", "_t", "_ks").where("array_contains(_ks, _k)").drop("_ks")
+    texts = _each(named.join(hits.hint("merge"), same).drop("_d", "_u"), "doc_id", "_t", "_ks").where("array_contains(_ks, _k)").drop("_ks")
     texts = scratch.save(texts, "compared", owner)
     first = texts.groupBy("_bytes").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_t", "_k")).alias("first")).where("n > 1")
     first = scratch.save(first.drop("n"), "first", owner)
-    gone = texts.join(first, "_bytes").where("not (doc_id <=> first.doc_id and _t = first._t and _k = first._k)")
+    gone = texts.join(first.hint("merge"), "_bytes").where("not (doc_id <=> first.doc_id and _t = first._t and _k = first._k)")
     return gone.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).agg(F.collect_set("_k").alias("_gone"))
 
 
 def line_dedup(docs: DataFrame, modulus: int = MODULUS, owner: str = "query") -> DataFrame:
     """The rows of ``docs`` with what is left of their texts, and n_lines and n_removed (lines)."""
     gone = scratch.save(removals(docs, modulus, owner), "gone", owner)
-    held = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text").withColumn("_t", F.xxhash64("text"))
-    rows = held.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_t").eqNullSafe(F.col("_u")), "left")
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_t"))  # the text moves once, in its row
+    rows = held.join(gone.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("_d")) & F.col("_t").eqNullSafe(F.col("_u")), "left")
     # only documents that lose something are cut again
-    rows = cut(rows.withColumn("_all", F.col("text")).withColumn("text", F.when(F.col("_gone").isNotNull(), F.col("text"))), modulus)
+    rows = cut(rows.withColumn("text", F.when(F.col("_gone").isNotNull(), F.col("_row.text"))), modulus)
     kept = F.expr("array_join(flatten(transform(filter(sequence(0, size(_cuts) - 1), k -> not array_contains(_gone, k)), k -> slice(_lines, if(k = 0, 1, _cuts[k - 1] + 1), _cuts[k] - if(k = 0, 0, _cuts[k - 1])))), '\n')")
     lost = F.expr("aggregate(_gone, 0L, (s, k) -> s + _cuts[k] - if(k = 0, 0, _cuts[k - 1]))")
-    lines = F.length("_all") - F.length(F.translate("_all", "\n", "")) + 1
+    lines = F.length("_row.text") - F.length(F.translate("_row.text", "\n", "")) + 1
     others = [F.col(f"_row.{c}").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    text = F.when(F.col("_gone").isNull(), F.col("_all")).otherwise(kept).alias("text")
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(kept).alias("text")
     return rows.select(*others, text, F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(lost, F.lit(0)).cast("long").alias("n_removed"))
 
 

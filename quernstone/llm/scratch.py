@@ -58,6 +58,15 @@ def release(spark: SparkSession, owner: str) -> None:
         _delete(spark, path)
 
 
+@atexit.register
+def _leave() -> None:
+    """Tables in a local folder go with the process; those in a store are left to its own clean-up."""
+    for paths in _made.values():
+        for path in paths:
+            if path.startswith(("/", "file:")):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
