@@ -77,7 +77,8 @@ def line_dedup(docs: DataFrame, modulus: int = MODULUS, owner: str = "query") ->
 
 def cleaned(docs: DataFrame, modulus: int = MODULUS, owner: str = "query") -> DataFrame:
     """The rows of ``docs`` with what is left of their texts; n_chars follows where there is one. A text that is wholly repeated goes."""
-    got = line_dedup(docs, modulus, owner).where("n_removed = 0 or text <> ''")
+    # the partition's number keeps the optimizer from moving the filter, and with it the work on lines, into the join below
+    got = line_dedup(docs, modulus, owner).withColumn("_part", F.spark_partition_id()).where("_part >= 0 and (n_removed = 0 or text <> '')")
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return got.select(*docs.columns)
