@@ -6,8 +6,9 @@ such an n-gram:
 
 1. its smallest doc_id is a centre, and each document is compared with the centre that most of its groups name (one row a
    document, no pairs among members);
-2. members that this links are one component. In groups that still hold several, what is outside the largest component
-   is compared with all, in tiles of bounded size ordered and banded by set size (sizes far apart cannot link);
+2. members that this links are one component. Groups that still hold several are put together by their largest component;
+   what is outside it is compared with all, in tiles of bounded size ordered and banded by set size (sizes far apart cannot
+   link);
 3. a comparison first bounds the overlap from above by bit counts: each bit that differs between two signatures is an
    element of one set only. What survives is decided by intersecting the sorted arrays exactly.
 
@@ -169,17 +170,19 @@ def _tiles(members: DataFrame, like: Likeness) -> DataFrame:
     """Pairs of different components that a bit count allows, from (g, m, s, minor, doc_id, n, sig, comp).
 
     m is the group's size and s the number of its members outside its largest component (``minor``). A group of at most TILE
-    members is one tile. Of a larger one, tiles of minor members meet tiles of all members, cut by hash. Tiles come one after
-    the other from a sorted partition, by set size; only what survives leaves them.
+    members is one tile, in order of set size. A larger one is cut into bands of set size, of which only neighbouring ones can link,
+    and by hash: tiles of minor members meet tiles of all members of their band and the two beside it. Tiles come one after the
+    other from a sorted partition; only what survives leaves them.
     """
     row = ["doc_id", "n", "sig", "comp"]
     whole = members.where(F.col("m") <= TILE).select(F.xxhash64("g").alias("key"), F.lit(2).alias("side"), *row)
-    cut = members.where(F.col("m") > TILE).withColumns({"p": F.ceil(F.col("s") / TILE).cast("int"), "q": F.ceil(F.col("m") / TILE).cast("int")})
+    band = F.floor(F.log("n") / float(np.log(like.den / like.num)) + 1e-9)
+    cut = members.where(F.col("m") > TILE).withColumns({"band": band, "p": F.ceil(F.col("s") / TILE).cast("int"), "q": F.ceil(F.col("m") / TILE).cast("int")})
     own = lambda of: F.pmod(F.xxhash64("doc_id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = cut.where("minor").withColumns({"i": own("p"), "j": every("q")}).withColumn("side", F.lit(0))
+    left = cut.where("minor").withColumns({"i": own("p"), "j": every("q")}).withColumns({"side": F.lit(0), "band": F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))})
     right = cut.withColumns({"j": own("q"), "i": every("p")}).withColumn("side", F.lit(1))
-    meet = lambda df: df.select(F.xxhash64("g", "i", "j").alias("key"), "side", *row)
+    meet = lambda df: df.select(F.xxhash64("g", "band", "i", "j").alias("key"), "side", *row)
     rows = whole.unionByName(meet(left)).unionByName(meet(right))
 
     def run(batches):
@@ -243,7 +246,7 @@ def ngram_join(docs: DataFrame, like: Likeness = Likeness(), owner: str = "query
     tokens = marks.where("doc_id is not null").select("doc_id", F.explode("prefix").alias("t"))
     groups = tokens.groupBy("t").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z"), F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("f")).where("c < z")
     groups = scratch.save(groups, "groups", owner)  # both sides tables: Spark can split a frequent n-gram
-    shared = scratch.save(tokens.join(groups, "t"), "groups", owner)
+    shared = scratch.save(tokens.join(groups.hint("merge"), "t"), "groups", owner)
     # of the centres that a document's groups name, the one that most of them do
     votes = shared.where("doc_id <> c").groupBy("doc_id", "c").agg(F.count("*").alias("v"))
     star = votes.groupBy("doc_id").agg(F.max_by("c", F.struct("v", -F.col("c"))).alias("a")).select("a", F.col("doc_id").alias("b"))
@@ -252,22 +255,26 @@ def ngram_join(docs: DataFrame, like: Likeness = Likeness(), owner: str = "query
     links = _linked(near, docs, like, owner)
     parts = scratch.save(components(links, owner), "components", owner)
     # groups with several components left, each set of members once
-    placed = scratch.save(shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("t", "c", "z", "m", "f", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed", owner)
+    placed = scratch.save(shared.join(parts.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("t", "c", "z", "m", "f", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed", owner)
     sizes = placed.groupBy("t", "c", "z", "m", "f", "comp").agg(F.count("*").alias("k"))
     open_ = sizes.groupBy("t", "c", "z", "m", "f").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.max("k").alias("k")).where("k < m")
-    open_ = open_.groupBy("c", "z", "m", "f").agg(F.min(F.struct("t", "main", "k")).alias("x")).select("c", "z", "m", "x.t", "x.main", (F.col("m") - F.col("x.k")).alias("s"))
+    open_ = open_.groupBy("c", "z", "m", "f").agg(F.min(F.struct("t", "main")).alias("x")).select("c", "z", "m", "x.t", "x.main")
     # a group of two that the first comparison was about needs no second one
     pair = (F.col("m") == 2) & (F.col("c") == F.col("a")) & (F.col("z") == F.col("b"))
-    open_ = scratch.save(open_.join(star, pair, "left_anti").select("t", "main", "s"), "open", owner)
-    members = placed.join(open_, "t").select(F.col("t").alias("g"), "m", "s", (F.col("comp") != F.col("main")).alias("minor"), "doc_id", "comp").join(marks.where("n > 0").select("doc_id", "n", "sig"), "doc_id")
+    open_ = scratch.save(open_.join(star.hint("merge"), pair, "left_anti").select("t", "main"), "open", owner)
+    # groups around one main component are compared as one: near copies share many n-grams, with almost the same members each time
+    members = placed.join(open_.hint("merge"), "t").select(F.col("main").alias("g"), "doc_id", "comp").distinct().withColumn("minor", F.col("comp") != F.col("g"))
+    members = scratch.save(members, "members", owner)
+    sizes = scratch.save(members.groupBy("g").agg(F.count("*").alias("m"), F.sum(F.col("minor").cast("int")).alias("s")), "sizes", owner)
+    members = members.join(sizes.hint("merge"), "g").join(marks.where("n > 0").select("doc_id", "n", "sig").hint("merge"), "doc_id")
     rest = scratch.save(_tiles(members, like), "pairs", owner)
     if not rest.isEmpty():
         links = links.unionByName(_linked(rest, docs, like, owner))
         parts = scratch.save(components(links, owner), "components", owner)
-    return marks.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return marks.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, like: Likeness = Likeness(), owner: str = "query") -> DataFrame:
     """All rows but those whose component holds a smaller doc_id."""
     drop = ngram_join(docs, like, owner).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(drop.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
