@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
+#: Whether save() makes Spark drop shuffle files at once; small tests turn it off for speed.
+CLEAN = True
 
 
 def folder(spark: SparkSession) -> str:
@@ -38,7 +40,7 @@ def save(df: DataFrame, name: str, owner: str = "query", clean: bool = True) ->
     df.write.parquet(path)
     _made.setdefault(owner, []).append(path)
     del df
-    if clean:
+    if clean and CLEAN:
         gc.collect()
         for _ in range(2):  # objects that refer to shuffles go first, then the shuffles
             spark.sparkContext._jvm.System.gc()
