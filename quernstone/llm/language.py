@@ -27,7 +27,7 @@ from . import blocks
 from .packing import tokenizer_file
 
 #: Bounds of what is learned from: labelled texts (chosen by hash), and distinct (language, word) counts that reach the driver.
-SAMPLE, SAMPLE_WORDS = 6000, 120_000
+SAMPLE, SAMPLE_WORDS = 6000, 60_000
 LONGEST, CHUNK = 12, 32
 _LETTER = regex.compile(r"\p{L}")
 
@@ -143,9 +143,9 @@ def fit(docs: DataFrame, train: Column, path: str | None = None, rounds: int = 3
     p /= p.sum(axis=0)
     for _ in range(rounds):
         expected = np.zeros_like(p)
-        for i in range(0, len(starts), 20_000):
-            lattice = Lattice(data, starts[i : i + 20_000], ends[i : i + 20_000], path)
-            own, c = lang[i : i + 20_000][lattice.order], weight[i : i + 20_000][lattice.order]
+        for i in range(0, len(starts), 2_000):
+            lattice = Lattice(data, starts[i : i + 2_000], ends[i : i + 2_000], path)
+            own, c = lang[i : i + 2_000][lattice.order], weight[i : i + 2_000][lattice.order]
             alpha = np.zeros((len(own), CHUNK + 1))
             beta = np.zeros((len(own), CHUNK + 1))
             alpha[:, 0] = 1
