@@ -39,3 +39,11 @@ def test_query_equals_sql(spark, duck, name):
 def test_registry(spark):
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.entry(spark).count() > 0
+
+
+def test_context_overlap_uses_every_item(spark, tmp_path):
+    """More items than 40, and ids with gaps."""
+    spark.createDataFrame([(i, f"a b{i}") for i in range(300)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3 * i + 1, f"a c{i}") for i in range(130)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r["doc_id"], r["item_id"]) for r in catalog.eval_context_overlap(spark, str(tmp_path)).collect())
+    assert got == [(i, 3 * (i % 130) + 1) for i in range(300)]
