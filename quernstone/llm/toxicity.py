@@ -4,7 +4,7 @@ A word is first sent to a class by a lexicon. Four small transducers then rewrit
 concern - what a negation covers, what is reported speech, who is addressed, what is a threat - and are composed into one
 machine by the product construction. Its outputs are *matches of patterns* ("directed insult", "negated insult", ...), and
 the score is a logistic function of their counts, whose weights start from priors and are fitted to a bounded sample of
-labelled rows. A clause without an insult or a threat word has no match, so only clauses around such a word are read.
+labelled rows. A clause without an insult or a threat word has no match, so only clauses with such a word are read, each as a whole.
 
 Defined cases: null and empty texts have no match and get the base score; rows that repeat a doc_id are scored alike if their
 texts are; a null doc_id is not held out and teaches nothing; without labels the prior weights hold; an empty table gives no
@@ -129,8 +129,6 @@ def _machine():
 _CLAUSE = re.compile(rb"[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _COUNTED = {"I": 0, "D": 1, "S": 2, "E": 3, "H": 4, "n": 5, "r": 6}
-#: Bytes read to each side of a word that matters where no clause ends sooner; far beyond the reach of any pattern but reported speech.
-_REACH = 400
 
 
 def matches(text: bytes) -> np.ndarray:
@@ -141,13 +139,9 @@ def matches(text: bytes) -> np.ndarray:
     for m in find.finditer(text):
         if m.start() < done:
             continue
-        a = m.start()
-        before = [x.end() for x in _CLAUSE.finditer(text, max(done, a - _REACH), a)]
-        a = before[-1] if before else max(done, text.rfind(b" ", done, max(done, a - _REACH)) + 1)
-        stop = _CLAUSE.search(text, m.end(), m.end() + _REACH)
-        b = done = stop.start() if stop else text.find(b" ", m.end() + _REACH)
-        if b < 0:
-            b = done = len(text)
+        a = max(done, *(text.rfind(c, done, m.start()) + 1 for c in (b".", b"!", b"?", b";", b"\n")))
+        stop = _CLAUSE.search(text, m.end())
+        b = done = stop.start() if stop else len(text)
         state: tuple[int, ...] = (0, 0, 0, 0)
         for w in _WORD.findall(text[a:b].decode("utf-8", "replace").replace("’", "'")):
             state, got = table[state, lexicon.get(w, "X")]

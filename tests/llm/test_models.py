@@ -94,6 +94,13 @@ def test_patterns():
     assert counts("") == {}
 
 
+def test_long_clauses_are_read_whole():
+    far = "word " * 300
+    assert counts("He said " + far + "you are a moron") == {"reported": 1}
+    assert counts("He said you idiot " + far + "moron " + far + "scum") == {"reported": 3}
+    assert counts("He said so. " + far + "moron") == {"insult": 1}
+
+
 def test_composition_equals_the_machines_in_turn():
     machines = [toxicity.negation(), toxicity.reported(), toxicity.directed(), toxicity.threat()]
     table = toxicity.compose(machines, toxicity.CLASSES)
