@@ -2,11 +2,11 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over *all* its
 segmentations into pieces, by the forward algorithm; a text's log-likelihood is the sum over its words. The piece
-probabilities are learned by expectation maximisation (forward-backward over all segmentations) on a bounded sample of
-labelled texts. The forward pass runs over all distinct words of a block at once, one byte position after another.
+probabilities are learned by expectation maximisation (forward-backward over all segmentations) on all words of a bounded sample of
+labelled texts, in executors; only expected counts of pieces reach the driver. The forward pass runs over all distinct words of a block at once, one byte position after another.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; words longer than CHUNK bytes are cut into
-chunks of that many; equal scores go to the first language by name; a null doc_id is not held out; without any labelled row every
+chunks of that many, whose segmentations are summed each by itself, and pieces longer than LONGEST bytes are not used; equal scores go to the first language by name; a null doc_id is not held out; without any labelled row every
 text is ``und``; an empty table gives no rows; columns other than those named are not read.
 """
 
@@ -23,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import blocks
+from . import blocks, scratch
 from .packing import tokenizer_file
 
-#: Bounds of what is learned from: labelled texts (chosen by hash), and distinct (language, word) counts that reach the driver.
-SAMPLE, SAMPLE_WORDS = 6000, 60_000
-LONGEST, CHUNK = 12, 32
+#: Bound of what is learned from: labelled texts (chosen by hash), with all their words.
+SAMPLE = 6000
+#: The longest pieces and chunks: beyond that, a product of piece probabilities may leave the range of a double.
+LONGEST, CHUNK = 32, 32
+#: Expected counts are rounded to one in so many.
+PARTS = 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -95,17 +98,17 @@ class Model:
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """log probability of each word in each language."""
         lattice = Lattice(data, starts, ends, self.path)
-        # only the last LONGEST positions are needed: a ring
+        # only the last LONGEST positions are needed: a ring, each with the words that reach it
         out = np.zeros((len(starts), len(self.languages)))
         longest = int(lattice.length[0]) if len(starts) else 0
-        ring = np.zeros((LONGEST + 1, len(starts), len(self.languages)))
-        ring[0] = 1
+        ring = [np.ones((len(starts), len(self.languages)))] + [np.zeros((0, 0))] * LONGEST
         for j in range(1, longest + 1):
-            now = ring[j % (LONGEST + 1)]
-            now[:] = 0
+            n = int(np.searchsorted(-lattice.length, -j, "right"))
+            now = np.zeros((n, len(self.languages)))
             for size in range(1, min(j, LONGEST) + 1):
-                n, found, k = lattice.at(j, size)
+                _, found, k = lattice.at(j, size)
                 now[found] += ring[(j - size) % (LONGEST + 1)][found] * self.p[k]
+            ring[j % (LONGEST + 1)] = now
             last = np.flatnonzero(lattice.length[:n] == j)
             out[lattice.order[last]] = np.log(now[last])
         return out
@@ -120,6 +123,44 @@ def chunks(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a, np.minimum(a + CHUNK, ends[of]), of
 
 
+def expectation(p: np.ndarray, names: list[str], path: str):
+    """For mapInArrow over (lang, w, c): how often each piece is expected in the words of a partition, in whole PARTS, so that sums have no order."""
+
+    def run(batches):
+        expected = np.zeros_like(p)
+        for batch in batches:
+            w = batch.column("w").cast(pa.large_binary())
+            offsets = np.frombuffer(w.buffers()[1], np.int64)[w.offset : w.offset + len(w) + 1]
+            if not len(w):
+                continue
+            data = np.frombuffer(w.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            starts, ends, of = chunks(offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
+            weight = batch.column("c").to_numpy().astype(float)[of]
+            lang = np.searchsorted(np.array(names), np.array(batch.column("lang").to_pylist(), str))[of]
+            for i in range(0, len(starts), 2_000):
+                a, b = starts[i : i + 2_000], ends[i : i + 2_000]
+                near = data[a[0] : b[-1]]  # words lie in a row
+                lattice = Lattice(near, a - a[0], b - a[0], path)
+                own, c = lang[i : i + 2_000][lattice.order], weight[i : i + 2_000][lattice.order]
+                alpha = np.zeros((len(own), CHUNK + 1))
+                beta = np.zeros((len(own), CHUNK + 1))
+                alpha[:, 0] = 1
+                steps = [(j, s, *lattice.at(j, s)[1:]) for j in range(1, int(lattice.length[0]) + 1) for s in range(1, min(j, LONGEST) + 1)]
+                for j, s, found, k in steps:
+                    alpha[found, j] += alpha[found, j - s] * p[k, own[found]]
+                beta[np.arange(len(own)), lattice.length] = 1
+                total = alpha[np.arange(len(own)), lattice.length]
+                for j, s, found, k in reversed(steps):
+                    flow = p[k, own[found]] * beta[found, j]
+                    np.add.at(expected, (k, own[found]), alpha[found, j - s] * flow * c[found] / total[found])
+                    beta[found, j - s] += flow
+        piece, lang = np.nonzero(expected)
+        n = np.rint(expected[piece, lang] * PARTS).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(lang, pa.int32()), pa.array(n)], names=["piece", "lang", "n"])
+
+    return run
+
+
 def fit(docs: DataFrame, train: Column, path: str | None = None, rounds: int = 3, sample: int = SAMPLE) -> Model | None:
     """Learns from at most about ``sample`` texts whose lang is known and for which ``train`` holds."""
     path = path or tokenizer_file()
@@ -130,36 +171,19 @@ def fit(docs: DataFrame, train: Column, path: str | None = None, rounds: int = 3
     part = min(1.0, sample / sum(per.values()))
     drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
     words = F.explode(F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"))
-    counts = drawn.select("lang", words.alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang", "w").limit(SAMPLE_WORDS).toPandas()
+    counts = drawn.select("lang", words.alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("c")).sortWithinPartitions("lang", "w")
+    counts = scratch.save(counts, "words", "fit")
     names = sorted(per)
-    raw = [w.encode() for w in counts["w"]]
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
-    starts, ends, of = chunks(np.concatenate(([0], ends[:-1])).astype(np.int64), ends) if raw else (np.zeros(0, np.int64),) * 3
-    weight = counts["c"].to_numpy(float)[of]
-    lang = np.searchsorted(np.array(names), counts["lang"].to_numpy(str))[of] if raw else of
-    hashes, sizes = pieces(path)
+    _, sizes = pieces(path)
     p = np.repeat((4.0 ** -sizes)[:, None], len(names), 1)
     p /= p.sum(axis=0)
     for _ in range(rounds):
         expected = np.zeros_like(p)
-        for i in range(0, len(starts), 2_000):
-            lattice = Lattice(data, starts[i : i + 2_000], ends[i : i + 2_000], path)
-            own, c = lang[i : i + 2_000][lattice.order], weight[i : i + 2_000][lattice.order]
-            alpha = np.zeros((len(own), CHUNK + 1))
-            beta = np.zeros((len(own), CHUNK + 1))
-            alpha[:, 0] = 1
-            steps = [(j, s, *lattice.at(j, s)[1:]) for j in range(1, int(lattice.length[0]) + 1) for s in range(1, min(j, LONGEST) + 1)]
-            for j, s, found, k in steps:
-                alpha[found, j] += alpha[found, j - s] * p[k, own[found]]
-            beta[np.arange(len(own)), lattice.length] = 1
-            total = alpha[np.arange(len(own)), lattice.length]
-            for j, s, found, k in reversed(steps):
-                flow = p[k, own[found]] * beta[found, j]
-                np.add.at(expected, (k, own[found]), alpha[found, j - s] * flow * c[found] / total[found])
-                beta[found, j - s] += flow
+        got = counts.mapInArrow(expectation(p, names, path), "piece int, lang int, n long").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()  # bounded by the vocabulary
+        expected[got["piece"].to_numpy(int), got["lang"].to_numpy(int)] = got["n"].to_numpy(float) / PARTS
         p = expected + 0.05
         p /= p.sum(axis=0)
+    scratch.release(docs.sparkSession, "fit")
     prior = np.array([per[x] for x in names], float)
     return Model(names, np.log(prior / prior.sum()), p, path)
 

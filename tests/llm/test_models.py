@@ -58,6 +58,19 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_every_sampled_word_teaches(spark):
+    """A rare language beside one with more distinct words than any bound on words, and a piece of more than 12 bytes."""
+    rows = [(i, " ".join("w%dx%d" % (i, j) for j in range(300)) + (" w%dx0" % i) * 3, "aa") for i in range(250)] + [(1000, "zebra zodiac international", "zz")]
+    from pyspark.sql import functions as F
+
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    data = np.frombuffer(b"zebrazodiacinternational", np.uint8)
+    per = model.words(data, np.array([0, 5, 11]), np.array([5, 11, 24]))
+    flat = language.Model(["u"], np.zeros(1), np.full((len(model.p), 1), 1 / len(model.p)), model.path).words(data, np.array([0, 5, 11]), np.array([5, 11, 24]))
+    assert model.languages == ["aa", "zz"] and (per[:, 1] > per[:, 0] + 1).all() and (per[:, 1] > flat[:, 0] + 1).all()
+    assert language.pieces(model.path)[1].max() > 12
+
+
 def test_language_edges(spark):
     rows = [(i, "the house and the garden %d" % i, "en", "s") for i in range(30)] + [(100 + i, "das Haus und der Garten %d" % i, "de", "s") for i in range(30)]
     rows += [(200, None, "en", "s"), (201, "", "de", "s"), (202, "123 !?", "en", "s"), (203, "ü", None, "s"), (None, "das Haus", None, "s"), (1, rows[1][1], "en", "s"), (204, "x" * 500, None, "s"), (205, "the house " * 3000, None, "s")]
