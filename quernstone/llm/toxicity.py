@@ -6,14 +6,21 @@ machine by the product construction. Its outputs are *matches of patterns* ("dir
 the score is a logistic function of their counts, whose weights start from priors and are fitted to a bounded sample of
 labelled rows. A clause without an insult or a threat word has no match, so only clauses with such a word are read, each as a whole.
 
+The lexicon has fixed words and learned ones, of any language: a word of the sampled rows is an insult, or on less evidence a slight, if it
+stands in toxic rows more often than chance allows (a Chernoff bound of the binomial test, corrected for the number of words).
+A row counts for a word only where it is the first (smallest doc_id) to show the word between these two neighbours, so neither copies of
+a text nor a word that one text repeats are taken for evidence.
+
 Defined cases: null and empty texts have no match and get the base score; rows that repeat a doc_id are scored alike if their
-texts are; a null doc_id is not held out and teaches nothing; without labels the prior weights hold; an empty table gives no
-rows; columns other than doc_id and text are not read for a score.
+texts are, and one of them teaches; of contradicting labels of a doc_id the larger one counts; a null doc_id is not held out and teaches nothing; without labels
+the prior weights and fixed words hold; an empty table gives no rows; columns other than doc_id and text are not read for a score.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -25,8 +32,12 @@ from pyspark.sql import functions as F
 from . import blocks, scratch
 from .language import held_out
 
-#: Labelled rows that the weights are fitted on, at most about; chosen by hash of doc_id.
+#: Labelled rows that words and weights are learned from, at most; chosen by hash of doc_id.
 SAMPLE = 20_000
+#: Words that chance alone may make insults, and slights, in one fit; and the chance of a word to become a slight, at most.
+STRONG, WEAK, RARE = 0.01, 100.0, 1e-3
+#: A learned word is so many times as frequent in toxic rows as in others, at least.
+TIMES = 4.0
 
 # Word lists: fixed values, in natural order.
 INSULTS = "idiot idiots idiotic imbecile imbeciles moron morons moronic stupid scum scumbag bastard bastards bitch bitches asshole assholes dumbass retard retarded cretin vermin subhuman idiota idiote estúpido estúpida imbécil imbécile dummkopf arschloch abschaum connard salaud".split()
@@ -117,58 +128,111 @@ def threat(reach: int = 4) -> Transducer:
 
 
 @lru_cache(1)
-def _machine():
-    lexicon = {w: c for c, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTED), ("M", INTENT), ("V", THREATS), ("S", SLIGHTS), ("I", INSULTS)) for w in ws}
-    table = compose([negation(), reported(), directed(), threat()], CLASSES)
-    words = sorted((w.encode() for w, c in lexicon.items() if c in "ISV"), key=lambda w: (-len(w), w))
-    # no letter or continuation byte on either side
-    find = re.compile(rb"(?<![a-z\x80-\xff])(?:" + b"|".join(map(re.escape, words)) + rb")(?![a-z\x80-\xff])")
-    return lexicon, table, find
+def _machine() -> dict:
+    return compose([negation(), reported(), directed(), threat()], CLASSES)
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """Words by class; ``hot`` are those without which a clause has no match."""
 
+    classes: dict[str, str]
+    hot: frozenset[str]
 
-_CLAUSE = re.compile(rb"[.!?;\n]")
+    @classmethod
+    def of(cls, learned: dict[str, str] | None = None) -> Lexicon:
+        """The fixed words and learned ones. A word that steers (target, negation, report, intent) or threatens keeps its fixed class."""
+        fixed = {w: c for c, ws in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTED), ("M", INTENT), ("V", THREATS), ("S", SLIGHTS), ("I", INSULTS)) for w in ws}
+        classes = fixed | {w: c for w, c in (learned or {}).items() if fixed.get(w, "X") in "ISX"}
+        return cls(classes, frozenset(w for w, c in classes.items() if c in "ISV"))
+
+
+FIXED = Lexicon.of()
+_CLAUSE = re.compile(r"[.!?;\n]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _COUNTED = {"I": 0, "D": 1, "S": 2, "E": 3, "H": 4, "n": 5, "r": 6}
 
 
-def matches(text: bytes) -> np.ndarray:
-    """Counts of PATTERNS in a lower-case text."""
-    lexicon, table, find = _machine()
+def folded(text: bytes) -> str:
+    """The text as it is read: in lower case, with one kind of apostrophe."""
+    return text.decode("utf-8", "replace").lower().replace("’", "'")
+
+
+def matches(text: bytes, lexicon: Lexicon = FIXED) -> np.ndarray:
+    """Counts of PATTERNS in a text."""
     out = np.zeros(len(PATTERNS))
-    done = 0
-    for m in find.finditer(text):
-        if m.start() < done:
+    whole = folded(text)
+    if lexicon.hot.isdisjoint(_WORD.findall(whole)):
+        return out
+    table = _machine()
+    for clause in _CLAUSE.split(whole):
+        words = _WORD.findall(clause)
+        if lexicon.hot.isdisjoint(words):
             continue
-        a = max(done, *(text.rfind(c, done, m.start()) + 1 for c in (b".", b"!", b"?", b";", b"\n")))
-        stop = _CLAUSE.search(text, m.end())
-        b = done = stop.start() if stop else len(text)
         state: tuple[int, ...] = (0, 0, 0, 0)
-        for w in _WORD.findall(text[a:b].decode("utf-8", "replace").replace("’", "'")):
-            state, got = table[state, lexicon.get(w, "X")]
+        for w in words:
+            state, got = table[state, lexicon.classes.get(w, "X")]
             for c in got:
                 if c in _COUNTED:
                     out[_COUNTED[c]] += 1
     return out
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+def features(docs: DataFrame, keep: list[str], lexicon: Lexicon = FIXED) -> DataFrame:
     """Columns ``keep`` and the pattern counts (array) of every row; whole texts are read."""
 
     def run(batches):
-        _, _, find = _machine()
         for rows, data, offsets in blocks.blocks(batches):
-            held = blocks.lowered(data).tobytes()
-            got = [np.zeros(len(PATTERNS))] * rows.num_rows
-            at = offsets.tolist()
-            for i in range(rows.num_rows):
-                if find.search(held, at[i], at[i + 1]):
-                    got[i] = matches(held[at[i] : at[i + 1]])
-            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(1, rows.num_columns)), pa.array([x.tolist() for x in got], pa.list_(pa.float64()))], names=[*rows.schema.names[1:], "f"])
+            held, at = data.tobytes(), offsets.tolist()
+            got = [matches(held[a:b], lexicon).tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(1, rows.num_columns)), pa.array(got, pa.list_(pa.float64()))], names=[*rows.schema.names[1:], "f"])
 
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select("text", *keep).mapInArrow(run, f"{shape}, f array<double>")
 
 
+def support(rows: DataFrame) -> DataFrame:
+    """(w, a, b) from (doc_id, toxic, text): in how many toxic rows, and in how many others, a word counts."""
+
+    def run(batches):
+        for part, data, offsets in blocks.blocks(batches):
+            held, at = data.tobytes(), offsets.tolist()
+            ids, toxic = part.column(1), part.column(2)
+            words, near, row = [], [], []
+            for i in range(part.num_rows):
+                ws = _WORD.findall(folded(held[at[i] : at[i + 1]]))
+                seen = {(w, zlib.crc32(f"{x} {y}".encode())) for x, w, y in zip(["", *ws], ws, [*ws[1:], ""], strict=False)}
+                words += [w for w, _ in seen]
+                near += [n for _, n in seen]
+                row += [i] * len(seen)
+            take = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(near, pa.int64()), ids.take(take), toxic.take(take)], names=["w", "near", "doc_id", "toxic"])
+
+    shown = rows.select("text", "doc_id", "toxic").mapInArrow(run, "w string, near long, doc_id long, toxic int")
+    first = shown.groupBy("w", "near", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    return first.select("w", "toxic", "doc_id").distinct().groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+
+
+def learn(rows: DataFrame, owner: str = "query") -> dict[str, str]:
+    """Classes of the words that mark toxic rows, from (doc_id, toxic, text) of at most SAMPLE doc_ids.
+
+    With q the share of toxic rows in all support, a word of a toxic and b other rows exceeds it by chance with a probability of
+    at most exp(-(a + b) * KL(a / (a + b), q)). At least log(1 / RARE) / log(1 / q) rows are needed, so the words that reach the
+    driver are fewer than those of the sample by that factor.
+    """
+    held = scratch.save(support(rows), "support", owner)
+    n, a, b = held.agg(F.count("*"), F.sum("a"), F.sum("b")).first()
+    if not a or not b:
+        return {}
+    q, r = a / (a + b), F.col("a") / (F.col("a") + F.col("b"))
+    other = F.when(F.col("b") > 0, (1 - r) * F.log((1 - r) / (1 - q))).otherwise(0.0)
+    told = held.where((F.col("a") > 0) & (r > q)).withColumn("nats", (F.col("a") + F.col("b")) * (r * F.log(r / q) + other))
+    times = (F.col("a") + 0.5) / (F.col("b") + 0.5) / (a / b)
+    least = -math.log(min(RARE, WEAK / n))
+    found = told.where((F.col("nats") >= least) & (times >= TIMES)).select("w", "nats").collect()
+    return {x["w"]: "I" if x["nats"] >= math.log(n / STRONG) else "S" for x in found}
+
+
 def fit(x: np.ndarray, y: np.ndarray, strength: float = 0.3, steps: int = 30) -> np.ndarray:
     """Logistic weights of log(1 + counts), with a Gaussian prior around PRIOR."""
     z = np.column_stack([np.ones(len(x)), np.log1p(x)]) if len(x) else np.zeros((0, len(PRIOR)))
@@ -189,11 +253,13 @@ def score(table: DataFrame, w: np.ndarray) -> Column:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = SAMPLE, owner: str = "query") -> DataFrame:
     """doc_id, held_out, score, predicted of every row; labels (doc_id, toxic) teach where they are not held out."""
-    found = scratch.save(features(docs.select("doc_id", "text").withColumn("held_out", held_out(3, 1)), ["doc_id", "held_out"]), "matches", owner)
-    known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(3, 1))
-    n = known.count()
-    part = min(1.0, sample / max(1, n))
-    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(6)), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    rows = found.join(drawn, "doc_id").select("f", "toxic").toPandas()  # bounded by the sample
+    known = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").where(~held_out(3, 1))
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    drawn = scratch.save(known.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id").limit(sample), "drawn", owner)
+    drawn = F.broadcast(drawn)  # at most ``sample`` rows of two numbers
+    lexicon = Lexicon.of(learn(docs.select("doc_id", "text").join(drawn, "doc_id"), owner))
+    found = features(docs.select("doc_id", "text").withColumn("held_out", held_out(3, 1)), ["doc_id", "held_out"], lexicon)
+    found = scratch.save(found, "matches", owner)
+    rows = found.join(drawn, "doc_id").groupBy("doc_id").agg(F.min("f").alias("f"), F.first("toxic").alias("toxic")).orderBy("doc_id").toPandas()  # at most ``sample`` rows
     w = fit(np.array(rows["f"].tolist()).reshape(len(rows), len(PATTERNS)), rows["toxic"].to_numpy(float))
     return found.select("doc_id", "held_out", score(found, w).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

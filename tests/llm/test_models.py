@@ -134,19 +134,50 @@ def test_composition_equals_the_machines_in_turn():
         assert got == want
 
 
-def test_toxicity_of_held_out_documents(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+@pytest.mark.parametrize("size, least", [("sf0.01", {"en": 0.9}), ("sf0.1", {"en": 0.85, "de": 0.9, "fr": 0.9})])
+def test_toxicity_of_held_out_documents(spark, size, least):
+    """Recall by language and false hits on rows that taught nothing; with few labels only the largest language can be learned."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
     got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
     assert len(got) == docs.count()
-    words = toxicity.INSULTS + toxicity.SLIGHTS
-    text = {r["doc_id"]: r["text"].lower().split() for r in docs.collect()}
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    hits = {True: [], False: []}
     for r in labels.collect():
         x = got[r["doc_id"]]
         assert x["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and x["predicted"] == int(x["score"] >= 0.7)
-        if x["held_out"] and not any(w.strip(".,") in words for w in text[r["doc_id"]]):
-            assert x["predicted"] == 0
-        if x["predicted"]:
-            assert r["toxic"] == 1
+        if x["held_out"]:
+            hits[r["toxic"] == 1].append((lang[r["doc_id"]], x["predicted"]))
+    assert sum(p for _, p in hits[False]) <= 0.02 * len(hits[False])
+    for name, share in least.items():
+        own = [p for x, p in hits[True] if x == name]
+        assert sum(own) >= share * len(own), name
+    if size == "sf0.1":
+        assert sum(p for _, p in hits[True]) >= 0.88 * len(hits[True])
+
+
+def test_learned_words_equal_brute_force(spark):
+    """Support counts the first row of each word between two neighbours; copies, and a word that one row repeats, are no evidence."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        words = rng.choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=30)
+        if toxic := int(i % 4 == 0):
+            words[rng.randrange(30)] = words[rng.randrange(30)] = "Grobian"
+        rows.append((i, toxic, " ".join(words)))
+    rows += [(200 + i, 1, "copied words " + "einmalig " * 3) for i in range(60)] + [(300, 1, "echo x echo y echo z echo"), (301, 0, None), (302, 0, "")]
+    first = {}
+    for d, y, t in rows:
+        ws = (t or "").lower().split()
+        for x, w, z in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
+            first[w, x, z, y] = min(d, first.get((w, x, z, y), d))
+    want = {}
+    for (w, _, _, y), d in first.items():
+        want.setdefault(w, ([set(), set()]))[y].add(d)
+    table = spark.createDataFrame(rows, "doc_id long, toxic int, text string").repartition(5)
+    assert {r["w"]: (r["a"], r["b"]) for r in toxicity.support(table).collect()} == {w: (len(v[1]), len(v[0])) for w, v in want.items()}
+    assert toxicity.learn(table) == {"grobian": "I"}
+    lexicon = toxicity.Lexicon.of({"grobian": "I", "not": "I", "kill": "S"})
+    assert lexicon.classes["not"] == "N" and lexicon.classes["kill"] == "V" and toxicity.matches("Du GROBIAN. you grobian".encode(), lexicon)[:2].tolist() == [1, 1]
 
 
 def test_toxicity_edges(spark):
