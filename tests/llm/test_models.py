@@ -47,6 +47,55 @@ def test_forward_sums_every_segmentation():
     assert sizes.max() <= language.LONGEST
 
 
+def test_long_words_and_the_cache():
+    """Logarithms give what plain products give, a word beyond PLAIN bytes equals its brute-force sum, cuts keep characters whole, and cached scores do not differ."""
+    path = packing.tokenizer_file()
+    hashes, sizes = language.pieces(path)
+    rng = np.random.default_rng(1)
+    p = rng.random((len(hashes), 2)) * 1e-3
+    words = [b"internationalisation", b"-" * 70, b"=" * 128 + b"x" * 40, "ünïcödé".encode() * 5, ("日本語" * 100).encode(), b"z"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    model = language.Model(["x", "y"], np.zeros(2), p, path)
+    a, b, of = language.chunks(data, starts, ends)
+    assert (b - a <= language.CHUNK).all() and (b > a).all() and of.tolist() == [0, 1, 2, 3, 4, 4, 4, 4, 5]
+    held = data.tobytes()
+    parts = [held[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    assert b"".join(parts) == held and all(x.decode() for x in parts)
+    got = model.words(data, a, b)
+    from quernstone.llm import blocks
+
+    piece = {}
+    for i, w in enumerate(parts):
+        best = [[0.0, 0.0]] + [[-np.inf, -np.inf] for _ in w]
+        for j in range(1, len(w) + 1):
+            for n in range(1, j + 1):
+                sub = w[j - n : j]
+                if sub not in piece:
+                    d = np.frombuffer(sub, np.uint8)
+                    h = blocks.word_hashes(d, np.array([0]), np.array([n]))[0]
+                    k = np.searchsorted(hashes, h)
+                    piece[sub] = k if k < len(hashes) and hashes[k] == h else None
+                if piece[sub] is not None:
+                    best[j] = [np.logaddexp(best[j][x], best[j - n][x] + np.log(p[piece[sub], x])) for x in range(2)]
+        assert got[i] == pytest.approx(best[-1])
+    short = language.Lattice(data, starts[:1], ends[:1], path)
+    assert np.log(language.forward(short, p)[0, -1]) == pytest.approx(language.forward(short, p, language.BY_LOG)[0, -1])
+    keep = language.CACHE
+    try:
+        for language.CACHE in (0, 8, 1 << 20):
+            scored = language._Scored(model)
+            for _ in range(3):
+                order = rng.permutation(len(words))[:4]
+                h = blocks.word_hashes(data, starts[order], ends[order])
+                order = order[np.argsort(h)]
+                want = np.array([got[of == i].sum(axis=0) for i in order])
+                assert np.allclose(scored.words(data, starts[order], ends[order], np.sort(h)), want)
+    finally:
+        language.CACHE = keep
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{TEST}/documents.parquet")
     got = {r["doc_id"]: r for r in language.language_id(docs).collect()}
@@ -58,6 +107,14 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_accuracy_of_each_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.language_id(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for name in {r["lang"] for r in got}:
+        own = [r["lang_pred"] == name for r in got if r["lang"] == name]
+        assert sum(own) >= 0.95 * len(own), name
+
+
 def test_every_sampled_word_teaches(spark):
     """A rare language beside one with more distinct words than any bound on words, and a piece of more than 12 bytes."""
     rows = [(i, " ".join("w%dx%d" % (i, j) for j in range(300)) + (" w%dx0" % i) * 3, "aa") for i in range(250)] + [(1000, "zebra zodiac international", "zz")]
