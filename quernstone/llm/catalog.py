@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .language import language_id
-from .line_dedup import line_dedup
+from .line_dedup import GRIDS, line_dedup
 from .media import media_columns
 from .mixing import mix
 from .ngram_join import Likeness, ngram_join
@@ -90,14 +90,15 @@ OP3_SQL = """with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from
  k as (select doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as x, max(b) as last, sum(b - a) as gone, count(*) as n from p join t using (doc_id) group by doc_id)
  select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, coalesce(n, 0) as n_spans, sha256(unhex(case when n is null then h else x || substr(h, 2 * last + 1) end)) as kept_sha256 from t left join k using (doc_id)"""
 
-OP4_SQL = r"""with l as (select doc_id, unnest(x) as line, cast(unnest(range(1, len(x) + 1)) as int) as i, len(x) as n from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null)),
+OP4_SQL = f"""with l as (select doc_id, unnest(x) as line, cast(unnest(range(1, len(x) + 1)) as int) as i, len(x) as n from (select doc_id, string_split(text, chr(10)) as x from documents where text is not null)),
  h as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h from l),
- r as (select *, i > 1 and (31 * lag(h) over (partition by doc_id order by i) + h) % 3 = 0 as hit from h),
- e as (select *, i = n or (hit and not coalesce(lag(hit) over (partition by doc_id order by i), false)) as ends from r),
- c as (select *, coalesce(sum(cast(ends as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from e),
- g as (select doc_id, k, string_agg(line, chr(10) order by i) as x, count(*) as m from c group by doc_id, k),
- d as (select doc_id, k from (select doc_id, k, row_number() over (partition by x order by doc_id, k) as place from g where m > 1 and regexp_matches(x, '[^ 	-]')) where place > 1),
- kept as (select doc_id, string_agg(line, chr(10) order by i) as x, count(*) as m from c anti join d using (doc_id, k) group by doc_id)
+ r as (select doc_id, line, i, n, w, i = n or (h // w) % 3 = 1 or (lead(h) over (partition by doc_id, w order by i) // w) % 3 = 0 as ends from h, (select unnest({[3**g for g in range(GRIDS)]}) as w)),
+ c as (select *, coalesce(sum(cast(ends as int)) over (partition by doc_id, w order by i rows between unbounded preceding and 1 preceding), 0) as k from r),
+ g as (select doc_id, min(i) as a, max(i) as b, string_agg(line, chr(10) order by i) as x from c group by doc_id, w, k),
+ e as (select doc_id, a, b, x from g where b > a union select doc_id, 1, max(n), string_agg(line, chr(10) order by i) from l group by doc_id having max(n) > 1),
+ d as (select doc_id, a, b from (select doc_id, a, b, row_number() over (partition by x order by doc_id, a) as place from e where regexp_matches(x, '[^\\x20\\x09-\\x0D]')) where place > 1),
+ gone as (select distinct doc_id, unnest(range(a, b + 1)) as i from d),
+ kept as (select doc_id, string_agg(line, chr(10) order by i) as x, count(*) as m from l anti join gone using (doc_id, i) group by doc_id)
  select doc_id, case when text is null then 0 else length(text) - length(replace(text, chr(10), '')) + 1 end as n_lines, case when text is null then 0 else length(text) - length(replace(text, chr(10), '')) + 1 - coalesce(m, 0) end as n_removed, case when text is not null then sha256(coalesce(x, '')) end as kept_sha256 from documents left join kept using (doc_id)"""
 
 OP10_SQL = f"""with w as (select doc_id, {WORDS.format("coalesce(text, '')")} as w from documents),

@@ -1,12 +1,15 @@
 """Repeated runs of lines by content-defined line chunks, in DataFrame functions alone.
 
-A document's lines are hashed (the first 32 bits of MD5, so that other engines can say the same); a boundary lies after a
-line where a rolling hash over it and the line before it, 31 * h[i - 1] + h[i], falls into a residue class (and did not just before, so chunks between boundaries have two lines at least). Boundaries thus depend on two
-lines only, and the same lines fall into the same chunks wherever they stand. A chunk of several lines that occurs elsewhere
-too stays at its first place (smallest doc_id, then place) and is removed from the others, after its bytes were compared.
+A document's lines are hashed (the first 32 bits of MD5, so that other engines can say the same). The hash rolls over a window of
+one line on either side of a possible boundary: in a grid, a boundary lies before each line of one residue class and after each line
+of another. So it depends on two lines only, and a passage that starts with a line of the first class and ends with one of the
+second is cut alike wherever it stands, be it two lines long. There are ``grids`` such grids, each by another digit of the hash,
+and the whole text is one more chunk. A chunk of several lines that occurs elsewhere too stays at its first place (smallest
+doc_id, then place) and is removed from the others, after its bytes were compared; chunks are judged on the input.
 
 Chunks are first counted by hash alone. Only those whose hash repeats are compared as bytes; equal ones meet in a partial
-aggregate before the shuffle, so a chunk that a third of all rows hold is one row for each task.
+aggregate before the shuffle, so a chunk that a third of all rows hold is one row for each task. A text whose whole repeats an
+earlier one is compared as a whole only.
 
 Defined cases: a null text stays null and has no lines; an empty text is one empty line; a single line is never a chunk; chunks
 of blank lines alone are left; chunks that repeat inside one document keep the first; rows that repeat a doc_id and a text
@@ -15,70 +18,92 @@ are one document, so all stay alike; a null doc_id comes after all others; an em
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch
 
-#: One in so many line pairs is a boundary.
-MODULUS = 3
+#: Grids of boundaries. A passage of two lines is a chunk of a grid, whatever stands around it, in one of nine cases.
+GRIDS = 6
+#: Residue classes of a line's hash: one starts a chunk, one ends it.
+CLASSES = 3
 
+#: First and last line (from 1) of a chunk, which share a long.
+_FIRST, _LAST = "cast(shiftright(s, 32) as int)", "cast(s & 4294967295 as int)"
 
-def chunks(text: str, modulus: int = MODULUS) -> Column:
-    """Array of (first line, lines) of the text's chunks; split() into lines goes before as column _lines and hashes as _h."""
-    cut = f"""filter(sequence(1, greatest(size(_h), 1)), i -> i = size(_h) or (i > 1 and (31 * _h[i - 2] + _h[i - 1]) % {modulus} = 0
-             and not (i > 2 and (31 * _h[i - 3] + _h[i - 2]) % {modulus} = 0)))"""
-    return F.expr(f"transform({cut}, (e, k) -> struct(e as last, k as k))")
 
+def lined(docs: DataFrame) -> DataFrame:
+    """docs with _lines."""
+    return docs.withColumn("_lines", F.split("text", "\n", -1))
 
-def cut(docs: DataFrame, modulus: int = MODULUS) -> DataFrame:
-    """docs with _lines, and _cuts: how many lines end with each chunk."""
-    lines = docs.withColumn("_lines", F.split("text", "\n", -1))
-    hashed = lines.withColumn("_h", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
-    return hashed.withColumn("_cuts", F.transform(chunks("text", modulus), lambda x: x["last"])).drop("_h")
 
+def cut(docs: DataFrame, grids: int = GRIDS) -> DataFrame:
+    """lined() with the lines' hashes _h and the chunks of several lines _spans; the whole text is the last one."""
+    hashed = lined(docs).withColumn("_h", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
+    digits = ", ".join(f"{CLASSES**g}L" for g in range(grids))
+    edge = f"i = size(_h) or (_h[i - 1] div w) % {CLASSES} = 1 or (_h[i] div w) % {CLASSES} = 0"
+    ends = f"transform(array({digits}), w -> filter(sequence(1, size(_h)), i -> {edge}))"
+    chunk = "shiftleft(cast(if(k = 0, 1, e[k - 1] + 1) as bigint), 32) | cast(x as bigint)"
+    spans = f"flatten(transform({ends}, e -> filter(transform(e, (x, k) -> {chunk}), s -> {_FIRST} < {_LAST})))"
+    whole = "shiftleft(1L, 32) | cast(size(_h) as bigint)"
+    return hashed.withColumn("_spans", F.expr(f"if(size(_h) < 2, array(), array_distinct(concat({spans}, array({whole}))))"))
 
-def _each(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row for each chunk of several lines that are not all blank: _k and its bytes."""
-    one = F.expr("transform(_cuts, (e, k) -> slice(_lines, if(k = 0, 1, _cuts[k - 1] + 1), e - if(k = 0, 0, _cuts[k - 1])))")
-    rows = docs.select(*keep, F.posexplode(one).alias("_k", "_chunk")).where("size(_chunk) > 1")
-    return rows.withColumn("_bytes", F.array_join("_chunk", "\n")).where(F.expr("_bytes rlike '[^\\\\x20\\\\x09-\\\\x0D]'")).drop("_chunk")
 
-
-def removals(docs: DataFrame, modulus: int = MODULUS, owner: str = "query") -> DataFrame:
-    """(_d, _t, _gone): the chunks to remove of each document, which doc_id and a hash of the text name."""
-    named = cut(docs.select("doc_id", "text").where("text is not null").withColumn("_t", F.xxhash64("text")), modulus)
-    light = scratch.save(_each(named, "doc_id", "_t").select("doc_id", "_t", "_k", F.xxhash64("_bytes").alias("_c")), "chunks", owner)
+def _compared(docs: DataFrame, grids: int, owner: str) -> DataFrame:
+    """(doc_id, _t, s, _bytes) of the chunks whose hash repeats, from (doc_id, text, _t)."""
+    each = f"transform(_spans, s -> struct(s, xxhash64(slice(_h, {_FIRST}, {_LAST} - {_FIRST} + 1)) as c, s = (shiftleft(1L, 32) | cast(size(_h) as bigint)) as whole))"
+    light = cut(docs, grids).select("doc_id", "_t", F.explode(F.expr(each)).alias("x")).select("doc_id", "_t", F.col("x.s").alias("s"), F.col("x.c").alias("_c"), F.col("x.whole").alias("whole"))
+    light = scratch.save(light, "chunks", owner)
     often = scratch.save(light.groupBy("_c").agg(F.count("*").alias("n")).where("n > 1").select("_c"), "often", owner)
-    hits = light.join(often, "_c").groupBy("doc_id", "_t").agg(F.collect_set("_k").alias("_ks")).withColumnsRenamed({"doc_id": "_d", "_t": "_u"})
+    hits = scratch.save(light.join(often, "_c"), "hits", owner)
+    # later copies of a whole text need no other chunk: what these would meet, the first copy's meet too
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_t")
+    first = scratch.save(hits.where("whole").groupBy("_c").agg(F.min(place).alias("first")), "whole", owner)
+    later = hits.where("whole").join(first.hint("merge"), "_c").where(place != F.col("first")).select(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_u"))
-    texts = _each(named.join(hits.hint("merge"), same).drop("_d", "_u"), "doc_id", "_t", "_ks").where("array_contains(_ks, _k)").drop("_ks")
-    texts = scratch.save(texts, "compared", owner)
-    first = texts.groupBy("_bytes").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_t", "_k")).alias("first")).where("n > 1")
+    hits = hits.join(later.hint("merge"), same, "left").where("whole or _u is null").groupBy("doc_id", "_t").agg(F.collect_set("s").alias("_ks")).withColumnsRenamed({"doc_id": "_d", "_t": "_u"})
+    texts = f"transform(_ks, s -> struct(s, array_join(slice(_lines, {_FIRST}, {_LAST} - {_FIRST} + 1), '\\n') as x))"
+    found = lined(docs.join(hits.hint("merge"), same)).select("doc_id", "_t", F.explode(F.expr(texts)).alias("x"))
+    return found.select("doc_id", "_t", F.col("x.s").alias("s"), F.col("x.x").alias("_bytes")).where(F.expr("_bytes rlike '[^\\\\x20\\\\x09-\\\\x0D]'"))
+
+
+def removals(docs: DataFrame, grids: int = GRIDS, owner: str = "query") -> DataFrame:
+    """What stays of each document that loses lines, which doc_id and a hash of the text name (_d, _u).
+
+    _gaps has (first line, lines) before and between removed chunks, _upto the last line that a chunk removes, _lost how many go.
+    """
+    named = docs.select("doc_id", "text").where("text is not null").withColumn("_t", F.xxhash64("text"))
+    texts = scratch.save(_compared(named, grids, owner), "compared", owner)
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_t", "s")
+    first = texts.groupBy("_bytes").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     first = scratch.save(first.drop("n"), "first", owner)
-    gone = texts.join(first.hint("merge"), "_bytes").where("not (doc_id <=> first.doc_id and _t = first._t and _k = first._k)")
-    return gone.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).agg(F.collect_set("_k").alias("_gone"))
+    gone = texts.join(first.hint("merge"), "_bytes").where(place != F.col("first")).select("doc_id", "_t", F.expr(_FIRST).alias("a"), F.expr(_LAST).alias("b")).distinct()
+    # chunks of different grids overlap: a chunk that starts behind all before it leaves a gap
+    before = F.max("b").over(Window.partitionBy("doc_id", "_t").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = gone.withColumn("from", F.coalesce(before, F.lit(0)) + 1)
+    gap = F.when(F.col("a") > F.col("from"), F.struct("from", (F.col("a") - F.col("from")).alias("n")))
+    each = gaps.groupBy(F.col("doc_id").alias("_d"), F.col("_t").alias("_u")).agg(F.sort_array(F.collect_list(gap)).alias("_gaps"), F.max("b").alias("_upto"))
+    return each.withColumn("_lost", F.expr("_upto - aggregate(_gaps, 0, (t, g) -> t + g.n)"))
 
 
-def line_dedup(docs: DataFrame, modulus: int = MODULUS, owner: str = "query") -> DataFrame:
+def line_dedup(docs: DataFrame, grids: int = GRIDS, owner: str = "query") -> DataFrame:
     """The rows of ``docs`` with what is left of their texts, and n_lines and n_removed (lines)."""
-    gone = scratch.save(removals(docs, modulus, owner), "gone", owner)
+    gone = scratch.save(removals(docs, grids, owner), "gone", owner)
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_t"))  # the text moves once, in its row
     rows = held.join(gone.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("_d")) & F.col("_t").eqNullSafe(F.col("_u")), "left")
     # only documents that lose something are cut again
-    rows = cut(rows.withColumn("text", F.when(F.col("_gone").isNotNull(), F.col("_row.text"))), modulus)
-    kept = F.expr("array_join(flatten(transform(filter(sequence(0, size(_cuts) - 1), k -> not array_contains(_gone, k)), k -> slice(_lines, if(k = 0, 1, _cuts[k - 1] + 1), _cuts[k] - if(k = 0, 0, _cuts[k - 1])))), '\n')")
-    lost = F.expr("aggregate(_gone, 0L, (s, k) -> s + _cuts[k] - if(k = 0, 0, _cuts[k - 1]))")
+    rows = lined(rows.withColumn("text", F.when(F.col("_lost").isNotNull(), F.col("_row.text"))))
+    kept = F.expr("array_join(concat(flatten(transform(_gaps, g -> slice(_lines, g.from, g.n))), slice(_lines, _upto + 1, size(_lines) - _upto)), '\n')")
     lines = F.length("_row.text") - F.length(F.translate("_row.text", "\n", "")) + 1
     others = [F.col(f"_row.{c}").alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(kept).alias("text")
-    return rows.select(*others, text, F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(lost, F.lit(0)).cast("long").alias("n_removed"))
+    text = F.when(F.col("_lost").isNull(), F.col("_row.text")).otherwise(kept).alias("text")
+    return rows.select(*others, text, F.coalesce(lines, F.lit(0)).cast("long").alias("n_lines"), F.coalesce("_lost", F.lit(0)).cast("long").alias("n_removed"))
 
 
-def cleaned(docs: DataFrame, modulus: int = MODULUS, owner: str = "query") -> DataFrame:
+def cleaned(docs: DataFrame, grids: int = GRIDS, owner: str = "query") -> DataFrame:
     """The rows of ``docs`` with what is left of their texts; n_chars follows where there is one. A text that is wholly repeated goes."""
     # the partition's number keeps the optimizer from moving the filter, and with it the work on lines, into the join below
-    got = line_dedup(docs, modulus, owner).withColumn("_part", F.spark_partition_id()).where("_part >= 0 and (n_removed = 0 or text <> '')")
+    got = line_dedup(docs, grids, owner).withColumn("_part", F.spark_partition_id()).where("_part >= 0 and (n_removed = 0 or text <> '')")
     if "n_chars" in docs.columns:
         got = got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return got.select(*docs.columns)

@@ -7,7 +7,7 @@ import corpus_pipeline
 from quernstone.llm import mixing, scratch
 from test_dedup import chunk_brute, classes
 from test_media_and_packing import check_packing
-from quernstone.llm.line_dedup import MODULUS
+from quernstone.llm.line_dedup import GRIDS
 
 
 @pytest.fixture(scope="module")
@@ -40,7 +40,7 @@ def test_stages_in_turn_equal_brute_force(spark, folder):
     # language: what has no letter goes, the rest stays as it is
     assert {r["doc_id"]: r["text"] for r in identified} == {d: t for d, t in source.items() if t and re.search("[a-z]", t)}
     # lines
-    want = {d: t for d, t, _, gone in chunk_brute([(r["doc_id"], r["text"]) for r in identified], MODULUS) if not gone or t}
+    want = {d: t for d, t, _, gone in chunk_brute([(r["doc_id"], r["text"]) for r in identified], GRIDS) if not gone or t}
     assert {r["doc_id"]: r["text"] for r in lines} == want and any(want[d] != source[d] for d in want)
     assert all(r["n_chars"] == len(r["text"]) for r in lines)
     # near copies: the smallest of each class
