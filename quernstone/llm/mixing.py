@@ -53,7 +53,7 @@ def decide(docs: DataFrame, size: Column, source: str = "source", key: str = "do
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     sized = docs.withColumns({"_size": size, "_u": unit}).withColumn("_bin", F.when(F.col("_size") > 0, F.floor(F.log2("_size") * 4).cast("int")))
     small = scratch.save(sized.select(F.col(source).alias("_s"), F.col(key).alias("_key"), "_bin", "_size", "_u"), "sizes", owner)
-    bins = scratch.save(small.groupBy("_s", "_bin").agg(F.sum("_size").alias("words")), "bins", owner, clean=False)
+    bins = scratch.save(small.groupBy("_s", "_bin").agg(F.sum("_size").alias("words")), "bins", owner)
     # one row a source; targets need all of them
     sources = bins.groupBy("_s").agg(F.sum("words").alias("_source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("_s").asc_nulls_last())) - 1
@@ -67,7 +67,7 @@ def decide(docs: DataFrame, size: Column, source: str = "source", key: str = "do
     classes = level(classes.withColumn("_share_w", F.col("_v") * F.col("words")), ["_s"], "_most", "_share_w", F.col("_target"))
     copies = F.least(F.lit(float(most)), F.col("level") * F.col("_v"))
     classes = classes.withColumn("_whole", F.floor(copies + 1e-9).cast("int")).withColumn("_p", F.greatest(F.lit(0.0), copies - F.col("_whole")))
-    classes = scratch.save(classes.select(F.col("_s").alias("_cs"), F.col("_bin").alias("_cb"), "words", "_source_size", "_target", "_whole", "_p"), "classes", owner, clean=False)
+    classes = scratch.save(classes.select(F.col("_s").alias("_cs"), F.col("_bin").alias("_cb"), "words", "_source_size", "_target", "_whole", "_p"), "classes", owner)
     budget = classes.groupBy(F.col("_cs").alias("_bs")).agg((F.first("_target") - F.sum(F.col("words") * F.col("_whole"))).alias("_left"))
 
     odds = F.col("_u") / (1 - F.col("_u")) * ((1 - F.col("_p")) / F.col("_p"))
@@ -85,10 +85,10 @@ def decide(docs: DataFrame, size: Column, source: str = "source", key: str = "do
         return last.select(F.col("_s").alias("_bs"), F.col("e.x").alias(part + "_end"), F.col("e.y").alias("_left"))
 
     drawn = ranked(small).where("_rank is not null")
-    first = scratch.save(end(drawn.groupBy("_s", "_a").agg(F.sum("_size").alias("_size")), "_a", budget), "first", owner, clean=False)
+    first = scratch.save(end(drawn.groupBy("_s", "_a").agg(F.sum("_size").alias("_size")), "_a", budget), "first", owner)
     inner = drawn.join(first.withColumnRenamed("_bs", "_f"), F.col("_s").eqNullSafe(F.col("_f")) & (F.col("_a") == F.col("_a_end"))).groupBy("_s", "_b").agg(F.sum("_size").alias("_size"))
     second = end(inner, "_b", first.select("_bs", "_left"))
-    ends = scratch.save(first.select(F.col("_bs").alias("_es"), "_a_end").join(second, F.col("_es").eqNullSafe(F.col("_bs")), "left").select("_es", "_a_end", "_b_end", "_left"), "ends", owner, clean=False)
+    ends = scratch.save(first.select(F.col("_bs").alias("_es"), "_a_end").join(second, F.col("_es").eqNullSafe(F.col("_bs")), "left").select("_es", "_a_end", "_b_end", "_left"), "ends", owner)
 
     def placed(rows: DataFrame) -> DataFrame:
         """_at: 1 where a row's slice lies within the budget, 0 beyond, 2 in the slice where it ends."""
@@ -98,15 +98,15 @@ def decide(docs: DataFrame, size: Column, source: str = "source", key: str = "do
     # the slice that the budget ends in, row by row
     light = placed(small)
     upto = F.sum("_size").over(Window.partitionBy("_s", "_b").orderBy("_rank", "_key", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = scratch.save(light.where("_at = 2").select("_s", "_b", "_rank", "_key", "_size", "_left").withColumn("_in", upto <= F.col("_left")), "last", owner, clean=False)
+    last = scratch.save(light.where("_at = 2").select("_s", "_b", "_rank", "_key", "_size", "_left").withColumn("_in", upto <= F.col("_left")), "last", owner)
     rest = last.groupBy(F.col("_s").alias("_rs")).agg((F.first("_left") - F.coalesce(F.sum(F.when(F.col("_in"), F.col("_size"))), F.lit(0))).alias("_rest"))
-    rest = scratch.save(rest, "rest", owner, clean=False)
+    rest = scratch.save(rest, "rest", owner)
     # one more document closes most of the gap that is left: the one whose size is nearest to it
     fits = last.where("_in").select("_s", "_rank", "_key", "_size")
     free = light.where("_at <> 1 and _rank is not null").join(fits.select(*[F.col(c).alias("_x" + c) for c in fits.columns]), F.col("_s").eqNullSafe(F.col("_x_s")) & (F.col("_rank") == F.col("_x_rank")) & F.col("_key").eqNullSafe(F.col("_x_key")) & (F.col("_size") == F.col("_x_size")), "left_anti")
     free = free.join(rest, F.col("_s").eqNullSafe(F.col("_rs"))).where("_size < 2 * _rest")
     one = free.groupBy("_s").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_rest")).alias("gap"), "_rank", "_key", "_size")).alias("o")).select("_s", "o._rank", "o._key", "o._size")
-    fits = scratch.save(fits.unionByName(one).distinct().select(F.col("_s").alias("_ls"), F.col("_rank").alias("_lr"), F.col("_key").alias("_lk"), F.col("_size").alias("_lz"), F.lit(1).alias("_ln")), "taken", owner, clean=False)
+    fits = scratch.save(fits.unionByName(one).distinct().select(F.col("_s").alias("_ls"), F.col("_rank").alias("_lr"), F.col("_key").alias("_lk"), F.col("_size").alias("_lz"), F.lit(1).alias("_ln")), "taken", owner)
     rows = placed(sized.withColumn("_s", F.col(source)))
     rows = rows.join(fits, (F.col("_at") != 1) & F.col("_s").eqNullSafe(F.col("_ls")) & (F.col("_rank") == F.col("_lr")) & F.col(key).eqNullSafe(F.col("_lk")) & (F.col("_size") == F.col("_lz")), "left")
     # equal rows at the very end are taken together
@@ -114,7 +114,7 @@ def decide(docs: DataFrame, size: Column, source: str = "source", key: str = "do
     rows = rows.withColumn("_copies", F.coalesce(F.col("_whole"), F.lit(0)) + taken)
     names = [c for c in docs.columns if c not in ("_source_size", "_target")]
     per = sources.select(F.col("_s").alias("_ts"), F.col("_source_size").alias("_tz"), F.col("_target").alias("_tt"))
-    per = scratch.save(per, "targets", owner, clean=False)
+    per = scratch.save(per, "targets", owner)
     rows = rows.drop("_source_size", "_target").join(per, F.col("_s").eqNullSafe(F.col("_ts")), "left")
     return rows.select(*names, "_size", F.col("_tz").alias("_source_size"), F.col("_tt").cast("double").alias("_target"), "_copies")
 

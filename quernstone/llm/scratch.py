@@ -1,50 +1,54 @@
 """Tables that cut lineage, in the folder all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a local one is made.
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local one is made, in local mode only: on a cluster
+executors would write to their own disks. Each application has a folder of its own in it, which goes when the application ends, in any
+store that Hadoop's file system reaches; release() deletes earlier, once a caller has stored its result.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then deletes an execution's shuffle files when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: dict[str, list[str]] = {}
-#: Whether save() makes Spark drop shuffle files at once; small tests turn it off for speed.
-CLEAN = True
+_leaving: set[str] = set()
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this session."""
+    """The application's part of the shared folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         atexit.register(shutil.rmtree, at.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    at = f"{at.rstrip('/')}/quernstone-{spark.sparkContext.applicationId}"
+    if at not in _leaving:
+        where, fs = _reach(spark, at)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _leaving.add(at)
+    return at
 
 
-def save(df: DataFrame, name: str, owner: str = "query", clean: bool = True) -> DataFrame:
-    """``df`` written as Parquet and read back: what follows no longer depends on how it was made.
-
-    ``clean`` lets Spark drop the shuffle files behind it at once, not when the driver next collects garbage.
-    """
+def save(df: DataFrame, name: str, owner: str = "query") -> DataFrame:
+    """``df`` written as Parquet and read back: what follows no longer depends on how it was made, and its shuffle files go."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    schema, before = df.schema, spark.conf.get(CLEANUP, None)
     _made.setdefault(owner, []).append(path)
-    del df
-    if clean and CLEAN:
-        gc.collect()
-        for _ in range(2):  # objects that refer to shuffles go first, then the shuffles
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.1)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -60,15 +64,11 @@ def release(spark: SparkSession, owner: str) -> None:
         _delete(spark, path)
 
 
-@atexit.register
-def _leave() -> None:
-    """Tables in a local folder go with the process; those in a store are left to its own clean-up."""
-    for paths in _made.values():
-        for path in paths:
-            if path.startswith(("/", "file:")):
-                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+def _reach(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, fs = _reach(spark, path)
+    fs.delete(where, True)

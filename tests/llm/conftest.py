@@ -1,15 +1,6 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from quernstone.llm import scratch
-
-
-@pytest.fixture(scope="session", autouse=True)
-def _quick():
-    scratch.CLEAN = False
-    yield
-    scratch.CLEAN = True
-
 
 @pytest.fixture(scope="session")
 def spark():
