@@ -12,20 +12,22 @@ def components(edges: DataFrame, owner: str = "query") -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b): the smallest node it can reach.
 
     A round hangs each node's larger neighbours, then its smaller ones, on its smallest neighbour. A node's neighbours are
-    never listed: the minimum is a partial aggregate, handed back by a join whose large keys Spark can split. The
-    edges of a round are written to the shared folder; it ends when a round changes nothing.
+    never listed: the minimum is a partial aggregate, and a table of its own before it is handed back, so that both sides of that
+    join are read anew and Spark can split the large keys. A round's edges are written to the shared folder; it ends when a round changes nothing.
     """
-    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", owner, clean=False)
+    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges", owner)
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = scratch.save(small, "edges", owner, clean=False)
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", owner)
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.save(large, "large", owner)
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "low", owner)
+        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        after = scratch.save(small, "edges", owner)
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        scratch.drop(after.sparkSession, now)
+        for used in (now, least, large, low):
+            scratch.drop(after.sparkSession, used)
         now = after
         if state == seen:
             break
