@@ -73,8 +73,8 @@ def anchors(hashes: np.ndarray, first: np.ndarray, units: Units) -> tuple[np.nda
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text, which tells apart rows that share a doc_id."""
-    return docs.select("doc_id", "text").withColumn("th", F.hash("text"))
+    """doc_id, text and a hash of the text, which tells apart rows that share a doc_id (or have none)."""
+    return docs.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
 
 
 def ranges(docs: DataFrame, units: Units, solve: Callable, earlier: bool, owner: str) -> DataFrame:
@@ -93,7 +93,7 @@ def ranges(docs: DataFrame, units: Units, solve: Callable, earlier: bool, owner:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), *(pa.ListArray.from_arrays(cuts, pa.array(c)) for c in cols)], names=["doc_id", "th", "h", "r", "p"])
 
     docs = keyed(docs)
-    marks = scratch.save(docs.mapInArrow(emit, "doc_id long, th int, h array<long>, r array<long>, p array<long>").where("size(h) > 0"), "anchors", owner)
+    marks = scratch.save(docs.mapInArrow(emit, "doc_id long, th long, h array<long>, r array<long>, p array<long>").where("size(h) > 0"), "anchors", owner)
     each = marks.selectExpr("doc_id", "th", "inline(arrays_zip(h, r, p))")
     if earlier:
         often = each.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
