@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from . import blocks, scratch
 
 
+#: Pieces of one length that are ranked together, about.
+RANKED = 1 << 16
+
+
 def tokenizer_file() -> str:
     """The public byte-level BPE vocabulary; a parameter everywhere."""
     import public_tokenizers
@@ -152,11 +156,12 @@ def pieces(docs: DataFrame, capacity: int, path: str, id_col: str = "doc_id", te
 def pack(docs: DataFrame, capacity: Capacity = Capacity(), path: str | None = None, id_col: str = "doc_id", text_col: str = "text", owner: str = "query") -> DataFrame:
     """Every piece with its sequence_id and its offset there; sequences are gapless from 0."""
     cut = scratch.save(pieces(docs, capacity.tokens, path or tokenizer_file(), id_col, text_col), "pieces", owner)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(256)).cast("int"))
+    counts = {int(r["length"]): int(r["count"]) for r in cut.groupBy("length").count().collect()}  # one row a length
+    # a length has as many salts as it has RANKED pieces; this table has one row a length, at most ``capacity.tokens``
+    salts = cut.sparkSession.createDataFrame([(k, -(-n // RANKED)) for k, n in counts.items()], "length long, _salts long")
+    salted = cut.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("_salts"))).drop("_salts")
     counted = salted.groupBy("length", "_salt").count()
-    # at most 256 counts for each length: bounded by the capacity, not by the corpus
     first = counted.withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
-    counts = {int(r["length"]): int(r["n"]) for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # one row a length
     runs, _ = plan(counts, capacity)
     order = np.lexsort((runs[:, 1], runs[:, 0]))
     runs = runs[order]
