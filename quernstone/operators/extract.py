@@ -7,15 +7,13 @@ here: a deterministic rule set in column expressions, and the parsing of stored
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, tokens
-from . import schemas
+from . import models, schemas
 
 
 def _pick(values: tuple[str, ...], n: Column) -> Column:
@@ -45,29 +43,16 @@ def parsed(replies: DataFrame, column: str = "reply") -> DataFrame:
     return rows.withColumn("extraction", F.struct(*map(empty, schemas.EXTRACTION.fields))).drop("_x")
 
 
-def from_model(chunks: DataFrame, connect: Callable[[], Callable[[str], str]], tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """Asks a model: ``connect`` makes a client on each executor, the client turns a chunk into JSON. A call that fails is tried
-    again after 1, 2, 4, ... times ``wait`` seconds (not after the last); a chunk without an answer has an empty extraction."""
+def from_model(chunks: DataFrame, connect: Callable[[], Callable[[str], str]], tries: int = models.TRIES, wait: float = models.WAIT) -> DataFrame:
+    """Asks a model: ``connect`` makes a client on each executor, the client turns a chunk into JSON. A chunk without a usable
+    answer after ``tries`` calls has an empty extraction."""
+    rows = chunks.select("source_doc", "chunk_idx", "chunk")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chat():
         ask = connect()
-        for pdf in batches:
-            replies = []
-            for chunk in pdf["chunk"]:
-                reply = None
-                for i in range(tries):
-                    try:
-                        reply = ask(chunk)
-                        break
-                    except Exception:  # noqa: BLE001  a service may fail in any way
-                        if i + 1 < tries:
-                            time.sleep(wait * 2**i)
-                replies.append(reply)
-            yield pdf[["source_doc", "chunk_idx", "chunk"]].assign(reply=replies)
+        return lambda messages, schema: ask(messages[-1][1])
 
-    rows = chunks.select("source_doc", "chunk_idx", "chunk")
-    kind = rows.schema["source_doc"].dataType.simpleString()
-    return parsed(rows.mapInPandas(run, f"source_doc {kind}, chunk_idx int, chunk string, reply string")).drop("reply")
+    return parsed(models.asking(rows, lambda row: [("user", row["chunk"])], chat, schema="object", tries=tries, wait=wait)).drop("reply")
 
 
 def items(extracted: DataFrame, part: str) -> DataFrame:
