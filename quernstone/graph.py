@@ -6,8 +6,10 @@ set-parallel. One commit stores a document's entities, edges, claims, contradict
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,9 +31,9 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
 
 
 class BeliefGraph:
-    def __init__(self, spark: SparkSession, path: str, extractor: Callable[[DataFrame], DataFrame] = extract.rules, embed: Embed = hashed_vector, classify: Callable[[Column, Column], Column] = graph.default_verdict, threshold: float = graph.THRESHOLD, clock: Callable[[], str] | None = None):
+    def __init__(self, spark: SparkSession, path: str, extractor: Callable[[DataFrame], DataFrame] = extract.rules, embed: Embed = hashed_vector, classify: Callable[[DataFrame], DataFrame] = graph.default_classifier, answer: Callable[[DataFrame], DataFrame] = question.answers, threshold: float = graph.THRESHOLD, clock: Callable[[], str] | None = None):
         self.spark, self.state = spark, State(spark, path)
-        self.extractor, self.embed, self.classify, self.threshold = extractor, embed, classify, threshold
+        self.extractor, self.embed, self.classify, self.answer, self.threshold = extractor, embed, classify, answer, threshold
         self.clock = clock or (lambda: datetime.now(UTC).isoformat())
 
     # reading
@@ -48,11 +50,7 @@ class BeliefGraph:
 
     def stats(self) -> DataFrame:
         t = self.state.tables()
-        out = None
-        for name in ("entities", "relationships", "claims", "contradictions"):
-            n = t[name].agg(F.count("*").alias(name))
-            out = n if out is None else out.join(n, F.lit(True))
-        return out
+        return graph.stats(reduce(DataFrame.unionByName, [t[k].select(F.lit(k).alias("kind")) for k in graph.COUNTED]))
 
     def contexts(self, questions: DataFrame, fuzzy: bool = True) -> DataFrame:
         t = self.state.tables()
@@ -60,7 +58,7 @@ class BeliefGraph:
 
     def ask(self, questions: DataFrame, fuzzy: bool = True) -> DataFrame:
         """(qid, answer)."""
-        return question.answers(self.contexts(questions, fuzzy))
+        return self.answer(self.contexts(questions, fuzzy))
 
     def ask_with_contexts(self, questions: DataFrame, fuzzy: bool = True) -> DataFrame:
         t = self.state.tables()
@@ -102,15 +100,26 @@ class BeliefGraph:
         self.state.snapshot(label, self.clock())
 
     def ingest(self, docs: DataFrame, check: bool = True, snapshots: bool = False) -> list[dict]:
-        """Ingests (source_doc, text) in order of source_doc; returns a report for each. The loop is over documents by contract."""
-        out = []
-        for i, row in enumerate(docs.select("source_doc").orderBy("source_doc").toLocalIterator()):
-            out.append(self.ingest_one(docs.where(F.col("source_doc") == row["source_doc"]), row["source_doc"], check))
-            if snapshots:
-                self.snapshot(f"{i:02d}_{row['source_doc'].rpartition('.')[0] or row['source_doc']}")
+        """Ingests (source_doc, text) in order of source_doc; returns a report for each. The loop is over documents by contract.
+
+        The input is read once and dealt to a folder for each document, so a document's turn reads only its own.
+        """
+        out, dealt = [], f"{self.state.path}/incoming/{uuid.uuid4().hex}"
+        docs.select("source_doc", "text").withColumn("_doc", F.hex(F.encode("source_doc", "UTF-8"))).repartition("_doc").write.partitionBy("_doc").parquet(dealt)
+        held = self.spark.read.schema("source_doc string, text string, _doc string").parquet(dealt)
+        try:
+            for i, row in enumerate(held.select("source_doc").distinct().orderBy("source_doc").toLocalIterator()):
+                source = row["source_doc"]
+                one = held.where(F.col("_doc") == source.encode().hex().upper()).select("source_doc", "text")
+                out.append(self.ingest_one(one, source, check))
+                if snapshots:
+                    self.snapshot(f"{i:02d}_{source.rpartition('.')[0] or source}")
+        finally:
+            self.state.remove(dealt)
         return out
 
     def ingest_one(self, doc: DataFrame, source: str, check: bool = True) -> dict:
+        """Ingests the rows of one document. Only what it adds or changes is written."""
         now, t = self.clock(), self.state.tables()
         report = {"source": source, "entities_extracted": 0, "claims_extracted": 0, "relationships_extracted": 0, "conflicts_detected": 0, "skipped": True, "reason": None}
         if not t["ingest_log"].where((F.col("source") == source) & ~F.col("skipped")).isEmpty():
@@ -118,51 +127,85 @@ class BeliefGraph:
         readable = not_blank(doc)
         if readable.isEmpty():
             return report | {"reason": "blank"}
-        found = self.extractor(T.chunks(readable, "source_doc")).checkpoint() if self.spark.sparkContext.getCheckpointDir() else self.extractor(T.chunks(readable, "source_doc")).cache()
+        made: list[str] = []
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            """``df`` as a table: read several times, it is made once, and lost executors don't undo it (models may be asked for it)."""
+            path = f"{self.state.path}/working/{uuid.uuid4().hex}-{name}"
+            df.write.parquet(path)
+            made.append(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            return self._ingested(readable, source, check, now, t, report, kept)
+        finally:
+            for path in made:
+                self.state.remove(path)
+
+    def _ingested(self, readable: DataFrame, source: str, check: bool, now: str, t: dict[str, DataFrame], report: dict, kept: Callable[[DataFrame, str], DataFrame]) -> dict:
+        found = kept(self.extractor(T.chunks(readable, "source_doc")), "found")
         names = extract.distinct_entities(extract.items(found, "entities"))
         claims = extract.distinct_claims(extract.items(found, "claims"))
         edges = extract.distinct_relationships(extract.items(found, "relationships"))
         counts = {"entities_extracted": names.count(), "claims_extracted": claims.count(), "relationships_extracted": edges.count()}
         if not counts["entities_extracted"] and not counts["claims_extracted"]:
             return report | {"reason": "nothing extracted"}
-        last = {k: (t[k].agg(F.max(c)).first()[0] if t[k].columns else None) for k, c in (("entities", "node_seq"), ("relationships", "edge_seq"), ("claims", "claim_seq"), ("contradictions", "con_seq"))}
-        seq = lambda k, *order: F.lit((last[k] if last[k] is not None else -1) + 0).cast("long") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))  # noqa: E731  one document's rows
-        resolved = graph.resolve(names.select("name", self.embed(F.col("name")).alias("embedding")), t["entities"], t["entity_vectors"], self.threshold).cache()
+        last = {k: t[k].agg(F.coalesce(F.max(c), F.lit(-1))).first()[0] for k, c in (("entities", "node_seq"), ("relationships", "edge_seq"), ("claims", "claim_seq"), ("contradictions", "con_seq"))}
+        # one document's rows are numbered together
+        seq = lambda k, *order, after=0: F.lit(last[k] + after).cast("long") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+        embedded = names.select("name", self.embed(F.col("name")).alias("embedding"))
+        resolved = kept(graph.resolve(embedded, t["entities"], t["entity_vectors"], self.threshold), "resolved")
+        # entities: those that the document names, merged with what is stored of them
         incoming = names.join(resolved.select("name", "canonical"), "name").withColumn("node_seq", seq("entities", "chunk_idx", "pos"))
-        entities = graph.upsert_nodes(t["entities"], incoming)
-        new_edges = graph.resolve_ends(graph.remap(edges, resolved, "source", "target"), entities).withColumn("edge_seq", seq("relationships", "chunk_idx", "pos"))
-        all_edges = graph.upsert_edges(t["relationships"].select("source", "target", "edge_seq", "relation").unionByName(new_edges.select("source", "target", "edge_seq", "relation")))
-        bare = graph.bare_nodes(all_edges, entities)
-        top = F.lit(((last["entities"] if last["entities"] is not None else -1) + counts["entities_extracted"])).cast("long")
-        bare = bare.select((top + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first_edge", "first_end"))).alias("node_seq"), "name", F.lit(None).cast("string").alias("type"), F.array().cast("array<string>").alias("aliases"))
-        entities = entities.unionByName(bare.select(*entities.columns))
-        # an entity that only differs in case from a kept one follows it
+        touched = t["entities"].join(incoming.select(F.col("canonical").alias("name")).distinct(), "name", "left_semi")
+        nodes = kept(graph.upsert_nodes(touched.select(*t["entities"].columns), incoming), "nodes")
+        others = t["entities"].join(nodes.select("name"), "name", "left_anti")
+        every = others.select(*nodes.columns).unionByName(nodes)
+        # edges: the pairs of the document, with what is stored of them
+        new_edges = graph.resolve_ends(graph.remap(edges, resolved, "source", "target"), every).withColumn("edge_seq", seq("relationships", "chunk_idx", "pos"))
+        cols = ["source", "target", "edge_seq", "relation"]
+        before = t["relationships"].join(new_edges.select("source", "target").distinct(), ["source", "target"], "left_semi")
+        links = kept(graph.upsert_edges(before.select(*cols).unionByName(new_edges.select(*cols))), "links")
+        bare = graph.bare_nodes(links, every)
+        number = seq("entities", "first_edge", "first_end", after=counts["entities_extracted"])
+        bare = bare.select(number.alias("node_seq"), "name", F.lit(None).cast("string").alias("type"), F.array().cast("array<string>").alias("aliases"))
+        # claims: an entity that only differs in case from a kept one follows it
         folded = resolved.groupBy(F.lower("name").alias("_l")).agg(F.min("canonical").alias("_c"))
         told = claims.join(folded, F.lower("entity") == F.col("_l"), "left").withColumn("entity", F.coalesce("_c", "entity")).drop("_l", "_c")
-        told = told.withColumns({"claim_seq": seq("claims", "chunk_idx", "pos"), "id": F.sha2(F.concat_ws("\x1f", "source_doc", "entity", "claim"), 256), "ingested_at": F.lit(now), "embedding": self.embed(F.col("claim"))}).cache()
-        conflicts = self._conflicts(told, t, now) if check else self.spark.createDataFrame([], t["contradictions"].schema)
-        conflicts = conflicts.withColumn("con_seq", seq("contradictions", "con_seq")).cache()
-        vectors = incoming.join(t["entities"].select(F.col("name").alias("canonical")), "canonical", "left_anti").groupBy(F.col("canonical").alias("name")).agg(F.min("node_seq").alias("node_seq")).withColumn("embedding", self.embed(F.col("name")))
-        report |= counts | {"conflicts_detected": conflicts.count(), "skipped": False}
-        log = self.spark.createDataFrame([report], t["ingest_log"].schema)
-        claim_vectors = told.select("claim_seq", "id", "entity", "source_doc", F.substring("claim", 1, 500).alias("claim_text"), "embedding")
-        self.state.commit(
-            {
-                "entities": entities, "relationships": all_edges, "claims": t["claims"].unionByName(told.select(*t["claims"].columns)), "contradictions": t["contradictions"].unionByName(conflicts.select(*t["contradictions"].columns)),
-                "entity_vectors": t["entity_vectors"].unionByName(vectors.select(*t["entity_vectors"].columns)), "claim_vectors": t["claim_vectors"].unionByName(claim_vectors.select(*t["claim_vectors"].columns)), "ingest_log": t["ingest_log"].unionByName(log),
-            },
-            source=source, time=now,
-        )
-        for df in (found, resolved, told, conflicts):
-            df.unpersist()
+        ids = F.sha2(F.concat_ws("\x1f", "source_doc", "entity", "claim"), 256)
+        told = told.withColumns({"claim_seq": seq("claims", "chunk_idx", "pos"), "id": ids, "ingested_at": F.lit(now), "embedding": self.embed(F.col("claim"))})
+        told = kept(told, "told")
+        new = {"entities": nodes.unionByName(bare.select(*nodes.columns)), "relationships": links, "claims": told.select(*t["claims"].columns)}
+        if check:
+            conflicts = kept(self._conflicts(told, t, now, kept).withColumn("con_seq", seq("contradictions", "batch_id", "pos")), "conflicts")
+            new["contradictions"] = conflicts.select(*t["contradictions"].columns)
+            report |= {"conflicts_detected": conflicts.count()}
+        # what could not be embedded is stored without a vector
+        fresh = incoming.join(t["entities"].select(F.col("name").alias("canonical")), "canonical", "left_anti").groupBy(F.col("canonical").alias("name")).agg(F.min("node_seq").alias("node_seq"))
+        new["entity_vectors"] = fresh.withColumn("embedding", self.embed(F.col("name"))).where("embedding is not null").select(*t["entity_vectors"].columns)
+        new["claim_vectors"] = told.select("claim_seq", "id", "entity", "source_doc", F.substring("claim", 1, 500).alias("claim_text"), "embedding").where("embedding is not null")
+        report |= counts | {"skipped": False}
+        new["ingest_log"] = self.spark.createDataFrame([report], t["ingest_log"].schema)
+        self.state.commit(new, source=source, time=now)
         return report
 
-    def _conflicts(self, told: DataFrame, t: dict[str, DataFrame], now: str) -> DataFrame:
-        """Contradictions and refinements between a document's claims and the nearest stored ones of earlier documents."""
-        hits = graph.similar_claims(told.select(F.col("claim_seq").alias("q"), "source_doc", "embedding"), t["claim_vectors"])
+    def _conflicts(self, told: DataFrame, t: dict[str, DataFrame], now: str, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+        """Contradictions and refinements between a document's claims and the nearest stored ones of earlier documents.
+
+        Hits lead to the earliest claim with their text and entity; new claims go to the classifier BATCH at a time, each batch with all
+        candidates of its claims; valid verdicts are joined back by their numbers. Claims without a vector are not checked.
+        """
+        hits = graph.similar_claims(told.where("embedding is not null").select(F.col("claim_seq").alias("q"), "source_doc", "embedding"), t["claim_vectors"])
+        meant = hits.join(t["claim_vectors"].select(F.col("claim_seq").alias("seq"), "claim_text", "entity"), "seq")
+        found = graph.hit_to_claim(meant, t["claims"]).select("q", "rank", "claim_seq")
+        new = told.select(F.col("claim_seq").alias("q"), "source_doc", F.col("entity").alias("new_entity"), F.col("claim").alias("new_claim"))
+        old = t["claims"].select("claim_seq", "entity", "claim", F.col("source_doc").alias("existing_source"))
+        numbered = kept(graph.batches(found.join(old, "claim_seq").join(new, "q").withColumnRenamed("q", "new_idx")), "pairs")
+        asked = graph.batch_questions(numbered)
+        replies = kept(self.classify(asked).select("source_doc", "batch_id", "n_new", "n_existing", "reply"), "replies")
+        verdicts = graph.valid_verdicts(replies, replies.select("source_doc", "batch_id", "n_new", "n_existing"))
+        rows = graph.verdict_claims(verdicts, numbered, "claim_seq")
         fields = ("entity", "claim", "confidence", "source_doc", "ingested_at", "id")
-        old = t["claims"].select(F.col("claim_seq").alias("seq"), F.struct(*fields).alias("existing_claim"))
-        new = told.select(F.col("claim_seq").alias("q"), F.struct(*fields).alias("new_claim"))
-        rows = hits.join(old, "seq").join(new, "q").withColumn("relation", self.classify(F.col("new_claim.claim"), F.col("existing_claim.claim")))
-        rows = rows.where(F.col("relation").isin("contradicts", "refines"))
-        return rows.select((F.col("q") * graph.CANDIDATES + F.col("rank")).alias("con_seq"), "existing_claim", "new_claim", "relation", F.lit("").alias("explanation"), F.lit(now).alias("detected_at"))
+        one = lambda df, key, name: df.select(F.col("claim_seq").alias(key), F.struct(*fields).alias(name))
+        rows = rows.join(one(t["claims"], "claim_seq", "existing_claim"), "claim_seq").join(one(told, "new_idx", "new_claim"), "new_idx")
+        return rows.select("batch_id", "pos", "existing_claim", "new_claim", "relation", "explanation", F.lit(now).alias("detected_at"))

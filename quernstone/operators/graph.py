@@ -111,7 +111,7 @@ def hit_to_claim(hits: DataFrame, claims: DataFrame, size: int = 500) -> DataFra
 
 
 def batches(candidates: DataFrame, size: int = BATCH) -> DataFrame:
-    """Candidates (new_idx, rank, entity, claim, ...) with batch_id and the number, from 1, of the new claim and of the existing one.
+    """Candidates (source_doc, new_idx, rank, entity, claim, ...) with batch_id and the number, from 1, of the new claim and of the existing one.
 
     New claims that have candidates are taken ``size`` at a time in order of their index (0, 1, ... within a document, so the
     number of a group is a count over one document's claims). Within a batch an existing claim (entity, claim) that several
@@ -125,17 +125,38 @@ def batches(candidates: DataFrame, size: int = BATCH) -> DataFrame:
     return rows.join(numbered, ["source_doc", "batch_id", "entity", "claim"])
 
 
+def batch_questions(numbered: DataFrame) -> DataFrame:
+    """One row a batch: source_doc, batch_id, n_new, n_existing and the claims to compare, new and existing (arrays of no, entity, claim, source_doc).
+
+    ``numbered``: batches() with new_entity, new_claim and existing_source. A batch has BATCH new claims and CANDIDATES existing ones for each at most.
+    """
+    new = F.struct(F.col("new_no").alias("no"), F.col("new_entity").alias("entity"), F.col("new_claim").alias("claim"), "source_doc")
+    old = F.struct(F.col("existing_no").alias("no"), "entity", "claim", F.col("existing_source").alias("source_doc"))
+    got = numbered.groupBy("source_doc", "batch_id").agg(F.max("new_no").alias("n_new"), F.max("existing_no").alias("n_existing"), F.collect_set(new).alias("new"), F.collect_set(old).alias("existing"))
+    return got.withColumns({c: F.array_sort(c) for c in ("new", "existing")})
+
+
 def valid_verdicts(replies: DataFrame, sizes: DataFrame, column: str = "reply") -> DataFrame:
     """Kept results of a classifier's replies (source_doc, batch_id, reply): conflicts whose two numbers exist in their batch.
 
-    ``sizes``: source_doc, batch_id, n_new, n_existing. Numbers that are no whole numbers, out of range, and other relations go.
+    ``sizes``: source_doc, batch_id, n_new, n_existing. Numbers that are no JSON integers, out of range, and other relations go; so
+    does a reply that is null or no JSON.
     """
     rows = replies.select("source_doc", "batch_id", F.posexplode(F.from_json(column, schemas.CLASSIFICATION)["results"]).alias("pos", "r"))
-    rows = rows.select("source_doc", "batch_id", "pos", F.expr("case when r.new_claim_index rlike '^-?[0-9]+$' then try_cast(r.new_claim_index as int) end").alias("new_no"), F.expr("case when r.existing_claim_index rlike '^-?[0-9]+$' then try_cast(r.existing_claim_index as int) end").alias("existing_no"), "r.relation", "r.explanation")
+    whole = lambda c: F.when(F.schema_of_variant(f"r.{c}") == "BIGINT", F.try_variant_get(f"r.{c}", "$", "int"))
+    rows = rows.select("source_doc", "batch_id", "pos", whole("new_claim_index").alias("new_no"), whole("existing_claim_index").alias("existing_no"), "r.relation", "r.explanation")
     rows = rows.where(F.col("relation").isin(*schemas.CONFLICTS)).join(sizes, ["source_doc", "batch_id"])
     return rows.where("new_no between 1 and n_new and existing_no between 1 and n_existing").drop("n_new", "n_existing")
 
 
+def verdict_claims(verdicts: DataFrame, numbered: DataFrame, *existing: str) -> DataFrame:
+    """Verdicts joined back by their numbers: source_doc, batch_id, pos, new_idx, the columns ``existing`` of the claim meant, relation, explanation."""
+    new = numbered.select("source_doc", "batch_id", "new_no", "new_idx").distinct()
+    old = numbered.select("source_doc", "batch_id", "existing_no", *existing).distinct()
+    rows = verdicts.join(new, ["source_doc", "batch_id", "new_no"]).join(old, ["source_doc", "batch_id", "existing_no"])
+    return rows.select("source_doc", "batch_id", "pos", "new_idx", *existing, "relation", "explanation")
+
+
 def default_verdict(new: Column, old: Column) -> Column:
     """A deterministic stand-in for a model: claims that share most words and differ in negation contradict, others that do refine."""
     words = lambda c: F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}']+"))
@@ -144,8 +165,22 @@ def default_verdict(new: Column, old: Column) -> Column:
     return F.when(shared < 0.6, "unrelated").when(negated(new) != negated(old), "contradicts").when(new == old, "confirms").otherwise("refines")
 
 
+def default_classifier(batches: DataFrame) -> DataFrame:
+    """The rows of batch_questions() with ``reply``: default_verdict() of every pair of a batch, as a model would write it."""
+    one = lambda n, e: F.struct(n["no"].alias("new_claim_index"), e["no"].alias("existing_claim_index"), default_verdict(n["claim"], e["claim"]).alias("relation"), F.lit("by shared words and negation").alias("explanation"))
+    pairs = F.flatten(F.transform("new", lambda n: F.transform("existing", lambda e: one(n, e))))
+    return batches.withColumn("reply", F.to_json(F.struct(F.filter(pairs, lambda x: x["relation"].isin(*schemas.CONFLICTS)).alias("results"))))
+
+
 # reports
 
+COUNTED = ("entities", "relationships", "claims", "contradictions")
+
+
+def stats(rows: DataFrame) -> DataFrame:
+    """One row: how many rows (kind) there are of each of COUNTED."""
+    return rows.agg(*[F.coalesce(F.sum((F.col("kind") == k).cast("long")), F.lit(0)).alias(k) for k in COUNTED])
+
 
 def claim_counts(entities: DataFrame, claims: DataFrame) -> DataFrame:
     n = claims.groupBy(F.col("entity").alias("name")).agg(F.count("*").alias("claim_count"))

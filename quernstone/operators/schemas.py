@@ -24,8 +24,8 @@ CLAIM = struct(entity=S, claim=S, confidence=S)
 EDGE = struct(source=S, target=S, relation=S)
 #: What an extractor returns for a chunk.
 EXTRACTION = struct(entities=T.ArrayType(ENTITY), claims=T.ArrayType(CLAIM), relationships=T.ArrayType(EDGE))
-#: What a classifier returns for a batch of claim pairs.
-CLASSIFICATION = struct(results=T.ArrayType(struct(new_claim_index=S, existing_claim_index=S, relation=S, explanation=S)))
+#: What a classifier returns for a batch of claim pairs; numbers keep the kind that JSON gave them.
+CLASSIFICATION = struct(results=T.ArrayType(struct(new_claim_index=T.VariantType(), existing_claim_index=T.VariantType(), relation=S, explanation=S)))
 
 STORED_CLAIM = struct(entity=S, claim=S, confidence=S, source_doc=S, ingested_at=S, id=S)
 STORED_CONFLICT = struct(existing_claim=STORED_CLAIM, new_claim=STORED_CLAIM, relation=S, explanation=S, detected_at=S)
@@ -42,3 +42,6 @@ TABLES = {
     "claim_vectors": struct(claim_seq=L, id=S, entity=S, source_doc=S, claim_text=S, embedding=T.ArrayType(D)),
     "ingest_log": struct(source=S, entities_extracted=L, claims_extracted=L, relationships_extracted=L, conflicts_detected=L, skipped=T.BooleanType(), reason=S),
 }
+
+#: Tables of which a row is replaced by a later one with the same key; the others only grow.
+KEYS = {"entities": ("name",), "relationships": ("source", "target")}

@@ -1,20 +1,27 @@
-"""The graph's state: versions of Parquet tables behind a pointer.
-
-A version is a folder with one Parquet table for each of schemas.TABLES. It is complete before the pointer file names it, and
-the pointer is replaced in one rename, so readers see a whole version or the one before, vectors and log included. Files are
-reached through Hadoop's file system, so the state may lie in any store that Spark writes. Snapshots keep a version under a label.
+"""The graph's state: parts of Parquet tables behind a pointer.
+
+A commit writes what is new or changed, one part for each of schemas.TABLES that has any, and then the pointer file that lists the
+parts of every table. Parts are complete before the pointer names them, and the pointer is replaced by one rename that overwrites, so readers
+see a whole version or the one before, vectors and log included; a crash in between leaves parts that nothing names. So a
+commit costs what it adds. In the tables that have a key (schemas.KEYS) a later part's row replaces an earlier one's. A table of
+more than PARTS parts is written anew as one, every PARTS-th time it changes. Files are reached through Hadoop's file system, so
+the state may lie in any store that Spark writes. Snapshots keep a version's list of parts under a label.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import schemas
 
+#: Parts of a table before it is written as one.
+PARTS = 16
+
 
 class State:
     def __init__(self, spark: SparkSession, path: str):
@@ -37,48 +44,70 @@ class State:
 
     def _write(self, name: str, value: dict) -> None:
         """In a file of its own first, then renamed over; that file goes if anything fails."""
-        fs, part = self._fs(), self._at(f".{name}-{uuid.uuid4().hex}")
+        jvm, part = self.spark._jvm, self._at(f".{name}-{uuid.uuid4().hex}")
+        fs = self._fs()
         try:
             out = fs.create(part, True)
             out.write(bytearray(json.dumps(value).encode()))
             out.close()
-            if not fs.rename(part, self._at(name)):
-                fs.delete(self._at(name), False)
-                if not fs.rename(part, self._at(name)):
-                    raise OSError(f"cannot replace {self.path}/{name}")
+            options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+            files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(part.toUri() if part.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+            files.rename(fs.makeQualified(part), fs.makeQualified(self._at(name)), options)
         finally:
             fs.delete(part, False)
 
+    def remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     # versions
 
     def version(self) -> str | None:
         pointer = self._read("current.json")
         return pointer and pointer["version"]
 
-    def tables(self, version: str | None = None) -> dict[str, DataFrame]:
-        """The tables of a version, by default of the current one; empty ones before the first commit."""
-        version = version or self.version()
-        if version is None:
-            return {name: self.spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
-        return {name: self.spark.read.schema(schema).parquet(f"{self.path}/versions/{version}/{name}") for name, schema in schemas.TABLES.items()}
-
-    def commit(self, tables: dict[str, DataFrame], **note: str) -> str:
-        """Writes all tables as a new version and points to it."""
-        version = uuid.uuid4().hex
-        for name, schema in schemas.TABLES.items():
-            tables[name].select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(f"{self.path}/versions/{version}/{name}")
-        self._write("current.json", {"version": version, **note})
+    def tables(self, pointer: dict | None = None) -> dict[str, DataFrame]:
+        """The tables of a pointer, by default of the current one; empty ones before the first commit."""
+        pointer = pointer or self._read("current.json") or {"parts": {}}
+        return {name: self._merged(name, pointer["parts"].get(name, [])) for name in schemas.TABLES}
+
+    def _merged(self, name: str, parts: list[str]) -> DataFrame:
+        """The rows of a table's parts; of rows with one key those of the last part."""
+        schema, key = schemas.TABLES[name], schemas.KEYS.get(name)
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        paths = [f"{self.path}/parts/{p}" for p in parts]
+        if not key or len(parts) == 1:
+            return self.spark.read.schema(schema).parquet(*paths)
+        each = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(p).withColumn("_part", F.lit(i)) for i, p in enumerate(paths)])
+        last = each.groupBy(*key).agg(F.max_by(F.struct(*schema.fieldNames()), "_part").alias("x"))
+        return last.select("x.*")
+
+    def commit(self, new: dict[str, DataFrame], **note: str) -> str:
+        """Writes new and changed rows as parts, and a pointer to them after all parts there are; tables not in ``new`` stay."""
+        version, before = uuid.uuid4().hex, self._read("current.json") or {"parts": {}}
+        listed = dict(before["parts"])
+        for name, rows in new.items():
+            fields = schemas.TABLES[name].fields
+            rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.parquet(f"{self.path}/parts/{version}/{name}")
+            listed[name] = [*listed.get(name, []), f"{version}/{name}"]
+            if len(listed[name]) > PARTS:
+                self._merged(name, listed[name]).write.parquet(f"{self.path}/parts/{version}/{name}-whole")
+                listed[name] = [f"{version}/{name}-whole"]
+        self._write("current.json", {"version": version, "parts": listed, **note})
         return version
 
     def snapshot(self, label: str, time: str) -> None:
         """Keeps the current version under ``label``."""
-        self._write(f"snapshot_{label}.json", {"version": self.version(), "snapshot_label": label, "snapshot_time": time})
+        now = self._read("current.json") or {"version": None, "parts": {}}
+        self._write(f"snapshot_{label}.json", {"version": now["version"], "parts": now["parts"], "snapshot_label": label, "snapshot_time": time})
 
     def at_snapshot(self, label: str) -> dict[str, DataFrame]:
         found = self._read(f"snapshot_{label}.json")
         if found is None:
             raise KeyError(label)
-        return self.tables(found["version"])
+        return self.tables(found)
 
     def reset(self) -> None:
         """Graph, vectors and log are empty afterwards; snapshots stay."""

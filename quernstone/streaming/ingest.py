@@ -17,12 +17,14 @@ def arriving(spark: SparkSession, folder: str, schema: T.StructType, files: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def ingest_stream(docs: DataFrame, graph: BeliefGraph, checkpoint: str, check: bool = True) -> StreamingQuery:
+def ingest_stream(docs: DataFrame, graph: BeliefGraph, checkpoint: str, check: bool = True, snapshots: bool = False) -> StreamingQuery:
     """Ingests (source_doc, text) as it arrives. Batches come in the order in which files arrive; within one, documents go by
-    source_doc. A batch that runs again after a failure skips what the log already has."""
+    source_doc. A batch that runs again after a failure skips what the log already has. ``snapshots``: each batch is kept under its number."""
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         graph.ingest(df, check)
+        if snapshots:
+            graph.snapshot(f"batch_{number:06d}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,7 +4,7 @@ import os
 import pytest
 
 from quernstone.graph import BeliefGraph
-from quernstone.operators import report
+from quernstone.operators import report, schemas
 from quernstone.sources import documents, state
 from quernstone.streaming.ingest import ingest_stream
 
@@ -99,8 +99,9 @@ def test_stream(spark, tmp_path):
     g = BeliefGraph(spark, f"file://{tmp_path}/g", clock=lambda: "t")
     docs = spark.readStream.schema("source_doc string, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     for _ in range(2):  # the second run finds nothing new
-        ingest_stream(docs, g, f"{tmp_path}/seen").awaitTermination()
+        ingest_stream(docs, g, f"{tmp_path}/seen", snapshots=True).awaitTermination()
     assert g.stats().first()["claims"] == 5 and g.table("ingest_log").count() == 2
+    assert [g.state.at_snapshot(f"batch_{i:06d}")["claims"].count() for i in range(2)] == [3, 5]
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -129,3 +130,60 @@ def test_evaluation(spark, graph, tmp_path):
 
     assert all(r["n"] == 0 for r in evaluate.run(graph, q, f"{tmp_path}/raw", broken).collect())
     assert {"answer", "contexts", "ground_truth"} <= set(spark.read.json(f"{tmp_path}/raw").columns)
+
+
+def test_a_crash_between_the_steps_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    s = state.State(spark, f"file://{tmp_path}/s")
+    entity = lambda *r: spark.createDataFrame([r], schemas.TABLES["entities"])
+    first = s.commit({"entities": entity(0, "a", "method", [])})
+    monkeypatch.setattr(s, "_write", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        s.commit({"entities": entity(1, "b", "metric", [])})
+    monkeypatch.undo()
+    assert s.version() == first and [r["name"] for r in s.tables()["entities"].collect()] == ["a"]
+    # the pointer is replaced, never missing: a failing rename leaves the old one
+    real = s._at
+    monkeypatch.setattr(s, "_at", lambda name: real("nowhere/x" if name == "current.json" else name))
+    with pytest.raises(Exception, match="nowhere"):
+        s._write("current.json", {"version": "x", "parts": {}})
+    monkeypatch.undo()
+    assert s.version() == first and not [f for f in os.listdir(tmp_path / "s") if f.startswith(".current") and not f.endswith(".crc")]
+
+
+def test_commits_write_what_they_add(spark, tmp_path, monkeypatch):
+    """Parts are merged by key, a table is written as one when it has many, and snapshots keep what they saw."""
+    monkeypatch.setattr(state, "PARTS", 3)
+    s = state.State(spark, f"file://{tmp_path}/s")
+    rows = lambda t: sorted((r["node_seq"], r["name"], r["type"]) for r in t["entities"].collect())
+    for i in range(5):
+        new = spark.createDataFrame([(0, "a", f"t{i}", [str(i)]), (i + 1, f"n{i}", None, [])], schemas.TABLES["entities"])
+        s.commit({"entities": new, "ingest_log": spark.createDataFrame([(f"d{i}", 1, 0, 0, 0, False, None)], schemas.TABLES["ingest_log"])})
+        if i == 1:
+            s.snapshot("early", "t")
+    assert rows(s.tables()) == [(0, "a", "t4"), *((i + 1, f"n{i}", None) for i in range(5))] and s.tables()["ingest_log"].count() == 5
+    assert rows(s.at_snapshot("early")) == [(0, "a", "t1"), (1, "n0", None), (2, "n1", None)]
+    assert len(s._read("current.json")["parts"]["entities"]) <= 3 and s.tables()["claims"].count() == 0
+
+
+def test_engine_asks_a_classifier_in_batches(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def classify(batches):
+        from pyspark.sql import functions as F
+
+        seen.add(batches.count())
+        one = '{"results": [{"new_claim_index": 1, "existing_claim_index": 1, "relation": "refines", "explanation": "told so"}, {"new_claim_index": 9, "existing_claim_index": 1, "relation": "refines", "explanation": "no such"}]}'
+        return batches.withColumn("reply", F.when(F.col("batch_id") == 0, one))
+
+    g = BeliefGraph(spark, f"file://{tmp_path}/g", classify=classify, clock=lambda: "t")
+    many = ". ".join(f"Falcon {i} works on large images" for i in range(7))
+    g.ingest(spark.createDataFrame([("a.txt", ONE), ("b.txt", many)], "source_doc string, text string"))
+    con = g.table("contradictions").collect()
+    assert seen.value == 2 and [(c["relation"], c["explanation"], c["new_claim"]["source_doc"], c["existing_claim"]["source_doc"]) for c in con] == [("refines", "told so", "b.txt", "a.txt")]
+    assert con[0]["new_claim"]["claim"].startswith("Falcon 0") and not os.listdir(tmp_path / "g" / "working") and not os.listdir(tmp_path / "g" / "incoming")
+    # without vectors nothing is compared, and nothing is lost
+    from pyspark.sql import functions as F
+
+    blind = BeliefGraph(spark, f"file://{tmp_path}/h", embed=lambda c: F.lit(None).cast("array<double>"), clock=lambda: "t")
+    got = blind.ingest(spark.createDataFrame([("a.txt", ONE), ("b.txt", TWO)], "source_doc string, text string"))
+    assert got[1]["conflicts_detected"] == 0 and blind.table("claims").count() == 5 and blind.table("claim_vectors").count() == 0
