@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,13 +53,26 @@ def resembles(questions: DataFrame, names: DataFrame, least: float = FUZZY) -> D
     return words.join(pairs, "_w").select("qid", "name").distinct()
 
 
+def called(entities: DataFrame) -> DataFrame:
+    """(name, node_seq, called): each node by its name and by each of its aliases, where the table has any."""
+    ways = F.array("name")
+    if "aliases" in entities.columns:
+        ways = F.array_union(ways, F.coalesce("aliases", F.array().cast("array<string>")))
+    return entities.select("name", "node_seq", F.explode(ways).alias("called")).where("called is not null")
+
+
 def relevant(questions: DataFrame, entities: DataFrame, fuzzy: bool = True, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(qid, name, node_seq): nodes named in, sharing a word with, or resembling a word of each question."""
-    names = entities.select("name").distinct()
-    got = in_question(questions, names).unionByName(shares_word(questions, names, stop))
-    if fuzzy:
-        got = got.unionByName(resembles(questions, names))
-    return got.distinct().join(entities.select("name", "node_seq"), "name")
+    """(qid, name, node_seq): nodes of which the name or an alias stands in, shares a word with, or resembles a word of each question."""
+    tests = [in_question, lambda q, n: shares_word(q, n, stop), *([resembles] if fuzzy else [])]
+    return matching(questions, entities, *tests)
+
+
+def matching(questions: DataFrame, entities: DataFrame, *tests: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(qid, name, node_seq): nodes of which the name or an alias passes one of ``tests``, each from (questions, names) to (qid, name)."""
+    ways = called(entities)
+    names = ways.select(F.col("called").alias("name")).distinct()
+    got = reduce(DataFrame.unionByName, [test(questions, names) for test in tests]).distinct()
+    return got.withColumnRenamed("name", "called").join(ways, "called").select("qid", "name", "node_seq").distinct()
 
 
 def with_fallback(questions: DataFrame, found: DataFrame, every: DataFrame) -> DataFrame:
@@ -65,6 +81,16 @@ def with_fallback(questions: DataFrame, found: DataFrame, every: DataFrame) -> D
     return found.unionByName(none.join(every, F.lit(True)).select(*found.columns))
 
 
+def once(questions: DataFrame, found: DataFrame, every: DataFrame, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``made(found)``, one row a question (qid, ...), and for the questions that ``found`` (qid, ...) lacks what is made of ``every``.
+
+    That is made once, as one row, and handed to all of them; with_fallback() would repeat the table for each.
+    """
+    whole = made(every.select(F.lit(0).alias("qid"), *[c for c in found.columns if c != "qid"])).drop("qid").coalesce(1)
+    none = questions.select("qid").join(found.select("qid").distinct(), "qid", "left_anti")
+    return made(found).unionByName(none.crossJoin(whole))
+
+
 def context_claims(questions: DataFrame, names: DataFrame, claims: DataFrame, fallback: bool = True) -> DataFrame:
     """(qid, claim columns): claims about the relevant names; all claims for a question that has none."""
     got = names.select("qid", "name").join(claims, F.col("name") == F.col("entity")).select("qid", *claims.columns)
@@ -84,24 +110,48 @@ def joined(rows: DataFrame, line: Column, *order: str, key: str = "qid") -> Data
     return rows.groupBy(key).agg(F.array_join(F.transform(items, lambda x: x["_line"]), "\n").alias("text"))
 
 
+def claim_lines(names: DataFrame, claims: DataFrame, then: Callable[[DataFrame], DataFrame] = lambda text: text) -> DataFrame:
+    """(qid, text): the numbered claims about the nodes ``names`` (qid, name), cited; all claims where those have none. ``then`` changes a text before it is handed to several questions."""
+
+    def lines(told: DataFrame) -> DataFrame:
+        told = told.withColumn("_no", F.row_number().over(Window.partitionBy("qid").orderBy("claim_seq")))
+        return then(joined(told, F.concat(F.col("_no"), F.lit(". "), citation(F.col("source_doc"), F.col("entity"), F.col("claim"), F.col("confidence"))), "_no"))
+
+    asked = names.select("qid").distinct()
+    return once(asked, context_claims(asked, names, claims, False), claims, lines)
+
+
+def conflict_lines(names: DataFrame, conflicts: DataFrame, line: Column, then: Callable[[DataFrame], DataFrame] = lambda text: text) -> DataFrame:
+    """(qid, text): conflicts (con_seq, e1, e2, ...) of which a side is one of the nodes; all conflicts where there is none."""
+    asked = names.select("qid").distinct()
+    return once(asked, context_pairs(asked, names, conflicts, "e1", "e2"), conflicts, lambda told: then(joined(told, line, "con_seq")))
+
+
+def edge_lines(names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qid, text): edges that start or end at one of the nodes."""
+    found = context_pairs(names, names, edges, "source", "target")
+    return joined(found, F.concat("source", F.lit(" "), or_unknown(F.col("relation")), F.lit(" "), "target"), "edge_seq")
+
+
 def contexts(questions: DataFrame, entities: DataFrame, edges: DataFrame, claims: DataFrame, contradictions: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(qid, answerable, entities, claims, conflicts, edges): what an answer may draw on, as text.
 
-    Entities, claims and contradictions fall back to all of them where a question has none; relationships do not.
-    ``answerable`` is false where no entity was relevant.
+    Entities, claims and contradictions fall back to all of them where a question has none; relationships do not. What all
+    questions without a relevant node draw on is put together once. ``answerable`` is false where no entity was relevant.
     """
-    named = relevant(questions, entities, fuzzy)
-    some = named.select("qid").distinct().withColumn("answerable", F.lit(True))
-    names = with_fallback(questions, named.select("qid", "name", "node_seq"), entities.select("name", "node_seq"))
-    told = context_claims(questions, names, claims).withColumn("_no", F.row_number().over(Window.partitionBy("qid").orderBy("claim_seq")))
-    told = joined(told, F.concat(F.col("_no"), F.lit(". "), citation(F.col("source_doc"), F.col("entity"), F.col("claim"), F.col("confidence"))), "_no")
     flat = contradictions.select("con_seq", F.col("existing_claim.entity").alias("e1"), F.col("new_claim.entity").alias("e2"), conflict_line().alias("line"))
-    against = joined(context_pairs(questions, names, flat, "e1", "e2", True), F.col("line"), "con_seq")
-    links = joined(context_pairs(questions, names, edges, "source", "target"), F.concat("source", F.lit(" "), or_unknown(F.col("relation")), F.lit(" "), "target"), "edge_seq")
-    out = questions.join(some, "qid", "left").withColumn("answerable", F.coalesce("answerable", F.lit(False)))
-    for part, name in ((joined(names, F.col("name"), "node_seq"), "entities"), (told, "claims"), (against, "conflicts"), (links, "edges")):
-        out = out.join(part.withColumnRenamed("text", name), "qid", "left").withColumn(name, F.coalesce(name, F.lit("")))
-    return out
+
+    def parts(names: DataFrame) -> DataFrame:
+        out = names.groupBy("qid").agg(F.max("known").alias("answerable"))
+        texts = (("entities", joined(names, F.col("name"), "node_seq")), ("claims", claim_lines(names, claims)), ("conflicts", conflict_lines(names, flat, F.col("line"))), ("edges", edge_lines(names, edges)))
+        for name, text in texts:
+            out = out.join(text.withColumnRenamed("text", name), "qid", "left").withColumn(name, F.coalesce(name, F.lit("")))
+        return out
+
+    named = relevant(questions, entities, fuzzy).withColumn("known", F.lit(True))
+    got = once(questions, named, entities.select("name", "node_seq", F.lit(False).alias("known")), parts)
+    out = questions.join(got, "qid", "left").withColumn("answerable", F.coalesce("answerable", F.lit(False)))
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("entities", "claims", "conflicts", "edges")})
 
 
 def conflict_line() -> Column:
@@ -118,7 +168,8 @@ def answers(context: DataFrame) -> DataFrame:
 def answer_contexts(questions: DataFrame, entities: DataFrame, claims: DataFrame, contradictions: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(qid, contexts): claims, then lines on contradictions; those have no fallback here."""
     names = with_fallback(questions, relevant(questions, entities, fuzzy).select("qid", "name", "node_seq"), entities.select("name", "node_seq"))
-    told = context_claims(questions, names, claims).select("qid", F.lit(0).alias("k"), F.col("claim_seq").alias("i"), "claim")
+    said = F.concat(F.lit("["), or_unknown(F.col("source_doc")), F.lit("] "), or_unknown(F.col("entity")), F.lit(": "), or_unknown(F.col("claim")))
+    told = context_claims(questions, names, claims).select("qid", F.lit(0).alias("k"), F.col("claim_seq").alias("i"), said.alias("claim"))
     flat = contradictions.select("con_seq", F.col("existing_claim.entity").alias("e1"), F.col("new_claim.entity").alias("e2"), F.concat(F.lit("CONFLICT: "), conflict_line()).alias("claim"))
     against = context_pairs(questions, names, flat, "e1", "e2").select("qid", F.lit(1).alias("k"), F.col("con_seq").alias("i"), "claim")
     got = told.unionByName(against).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "claim"))), lambda x: x["claim"]).alias("contexts"))

@@ -255,6 +255,24 @@ def conflict_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.valid_verdicts(replies, sizes)
 
 
+@query(
+    f"""with {VECTORS}, {BATCHED}, sizes as (select source_doc, batch_id, max(new_no) as n_new, max(existing_no) as n_existing from b group by all),
+ said as (select source_doc, batch_id, k as pos, case k when 0 then 1 when 1 then n_new else n_new + 1 end as new_no, case k when 0 then n_existing else 1 end as existing_no, case k when 0 then 'refines' else 'contradicts' end as relation from sizes, range(3) t(k) where batch_id % 3 <> 2)
+ select s.source_doc, s.batch_id, cast(s.pos as int) as pos, n.new_idx, e.entity, e.claim, s.relation, s.batch_id || ':' || z.n_new || '/' || z.n_existing as explanation
+ from said s join sizes z using (source_doc, batch_id) join (select distinct source_doc, batch_id, new_no, new_idx from b) n using (source_doc, batch_id, new_no) join (select distinct source_doc, batch_id, existing_no, entity, claim from b) e using (source_doc, batch_id, existing_no)"""
+)
+def conflict_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates, batches, a scripted classifier (every third batch fails, one verdict in three has no such claim) and its verdicts joined back."""
+    numbered = candidate_batches(spark, sf_dir).withColumns({"new_entity": F.lit("new"), "new_claim": F.col("new_idx").cast("string"), "existing_source": F.lit(None).cast("string")})
+    asked = graph.batch_questions(numbered)
+    why = F.concat("batch_id", F.lit(":"), F.size("new"), F.lit("/"), F.size("existing"))
+    one = lambda a, e, relation: F.struct(a.alias("new_claim_index"), e.alias("existing_claim_index"), F.lit(relation).alias("relation"), why.alias("explanation"))
+    last, first = F.col("n_new"), F.lit(1)
+    results = F.array(one(first, F.col("n_existing"), "refines"), one(last, first, "contradicts"), one(last + 1, first, "contradicts"))
+    replies = asked.withColumn("reply", F.when(F.col("batch_id") % 3 != 2, F.to_json(F.struct(results.alias("results")))))
+    return graph.verdict_claims(graph.valid_verdicts(replies, asked), numbered, "entity", "claim")
+
+
 EDGE_KEY = "l_orderkey * 10 + l_linenumber"
 EDGES = f"edges as (select 'P' || l_partkey as source, 'S' || l_suppkey as target, min({EDGE_KEY}) as edge_seq, arg_max(l_returnflag, {EDGE_KEY}) as relation from (select * from (select *, row_number() over (partition by {EDGE_KEY} order by l_partkey, l_suppkey, l_returnflag, l_shipdate) as rn from lineitem) where rn = 1) group by 1, 2)"
 
@@ -315,55 +333,68 @@ def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # questions
 
-#: User turns, each with a part's type, brand and name added in turn, so that names occur.
-ASKED = "asked as (select conv_id * 1000 + turn as qid, text || case turn % 3 when 0 then ' ' || (select min(p_name) from part) || '?' when 1 then ' about ' || lower((select max(p_name) from part)) else '' end as question from conversations where role = 'user')"
-NODES = "nodes as (select p_name as name, min(p_partkey) as node_seq from part group by p_name union all select p_brand, min(p_partkey) + 1000000 from part group by p_brand union all select 'the' as name, 0 as node_seq)"
+#: User turns, each with a part's name or a maker added in turn, so that names and aliases occur.
+ASKED = "asked as (select conv_id * 1000 + turn as qid, text || case turn % 3 when 0 then ' ' || (select min(p_name) from part) || '?' when 1 then ' about ' || lower((select max(p_name) from part)) else ' by MAKER' || (conv_id % 30) end as question from conversations where role = 'user')"
+NODES = "nodes as (select p_name as name, min(p_partkey) as node_seq, []::varchar[] as aliases from part group by p_name union all select p_brand, min(p_partkey) + 1000000, [replace(p_brand, 'Brand#', 'Maker')] from part group by p_brand union all select 'the', 0, ['die']), called as (select distinct name, unnest(list_concat([name], aliases)) as called from nodes)"
 WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '\\s+'), lambda x: x <> ''))"
-BY_WORD = f"select distinct qid, name from (select qid, unnest({WORDS.format('question')}) as w from asked) q join (select name, unnest({WORDS.format('name')}) as w from nodes) n using (w)"
-BY_SUBSTRING = "select qid, name from asked, nodes where contains(lower(question), lower(name))"
+BY_WORD = f"select distinct qid, name from (select qid, unnest({WORDS.format('question')}) as w from asked) q join (select name, unnest({WORDS.format('called')}) as w from called) n using (w)"
+BY_SUBSTRING = "select distinct qid, name from asked, called where contains(lower(question), lower(called))"
 RELEVANT = f"hits as ({BY_WORD} union {BY_SUBSTRING}), names as (select qid, name from hits union all select qid, name from asked, nodes where qid not in (select qid from hits))"
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = table(spark, sf_dir, "part").agg(F.min("p_name").alias("low"), F.lower(F.max("p_name")).alias("high"))
-    tail = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" "), "low", F.lit("?"))).when(F.col("turn") % 3 == 1, F.concat(F.lit(" about "), "high")).otherwise("")
+    turn = F.col("turn") % 3
+    tail = F.when(turn == 0, F.concat(F.lit(" "), "low", F.lit("?"))).when(turn == 1, F.concat(F.lit(" about "), "high")).otherwise(F.concat(F.lit(" by MAKER"), F.col("conv_id") % 30))
     return table(spark, sf_dir, "conversations").where("role = 'user'").join(F.broadcast(ends), F.lit(True)).select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat("text", tail).alias("question"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names without aliases, brands with one, and a word that is in many questions."""
     part = table(spark, sf_dir, "part")
-    rows = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("node_seq")).unionByName(part.groupBy(F.col("p_brand").alias("name")).agg((F.min("p_partkey") + 1000000).alias("node_seq")))
-    return rows.unionByName(spark.range(1).select(F.lit("the").alias("name"), F.lit(0).cast("long").alias("node_seq")))
+    rows = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("node_seq")).withColumn("aliases", F.array().cast("array<string>"))
+    brands = part.groupBy(F.col("p_brand").alias("name")).agg((F.min("p_partkey") + 1000000).alias("node_seq"))
+    rows = rows.unionByName(brands.withColumn("aliases", F.array(F.replace("name", F.lit("Brand#"), F.lit("Maker")))))
+    return rows.unionByName(spark.range(1).select(F.lit("the").alias("name"), F.lit(0).cast("long").alias("node_seq"), F.array(F.lit("die")).alias("aliases")))
 
 
 @query(f"with {ASKED}, {NODES} {BY_SUBSTRING}")
 def question_match_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return question.in_question(asked(spark, sf_dir), nodes(spark, sf_dir))
+    return question.matching(asked(spark, sf_dir), nodes(spark, sf_dir), question.in_question).select("qid", "name")
 
 
 @query(f"with {ASKED}, {NODES} {BY_WORD}")
 def question_match_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return question.shares_word(asked(spark, sf_dir), nodes(spark, sf_dir))
+    return question.matching(asked(spark, sf_dir), nodes(spark, sf_dir), question.shares_word).select("qid", "name")
 
 
 @query()
 def question_match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratcliff-Obershelp has no SQL form; tests hold it against difflib."""
-    return question.resembles(asked(spark, sf_dir), nodes(spark, sf_dir))
+    return question.matching(asked(spark, sf_dir), nodes(spark, sf_dir), question.resembles).select("qid", "name")
 
 
-CLAIMS = "claims as (select p_partkey as claim_seq, p_brand as entity, p_name || ' is of size ' || p_size as claim, case when p_size % 2 = 0 then 'implied' end as confidence, 'part ' || (p_partkey % 5) as source_doc from part where p_partkey % 20 = 0)"
+CLAIMS = "claims as (select p_partkey as claim_seq, p_brand as entity, p_name || ' is of size ' || p_size as claim, case when p_size % 2 = 0 then 'implied' end as confidence, 'part ' || (p_partkey % 5) as source_doc from part)"
 CITE = "'[' || coalesce(source_doc, '?') || '] ' || coalesce(entity, '?') || ': ' || coalesce(claim, '?') || ' (confidence: ' || coalesce(confidence, '?') || ')'"
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("claim_seq"), F.col("p_brand").alias("entity"), F.concat("p_name", F.lit(" is of size "), "p_size").alias("claim"), F.when(F.col("p_size") % 2 == 0, "implied").alias("confidence"), F.concat(F.lit("part "), F.col("p_partkey") % 5).alias("source_doc"))
+    """A claim for each part."""
+    part = table(spark, sf_dir, "part")
+    return part.select(
+        F.col("p_partkey").alias("claim_seq"), F.col("p_brand").alias("entity"), F.concat("p_name", F.lit(" is of size "), "p_size").alias("claim"),
+        F.when(F.col("p_size") % 2 == 0, "implied").alias("confidence"), F.concat(F.lit("part "), F.col("p_partkey") % 5).alias("source_doc"),
+    )
 
 
-def relevant_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def told(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``made`` of the nodes that each question names; of all nodes, once, for those that name none."""
     q, n = asked(spark, sf_dir), nodes(spark, sf_dir)
-    found = question.relevant(q, n, fuzzy=False).select("qid", "name")
-    return q, question.with_fallback(q, found, n.select("name"))
+    return question.once(q, question.relevant(q, n, fuzzy=False).select("qid", "name"), n.select("name"), made)
+
+
+def digest(text: DataFrame) -> DataFrame:
+    return text.select("qid", F.md5("text").alias("digest"), F.size(F.split("text", "\n")).cast("long").alias("n"))
 
 
 @query(
@@ -371,43 +402,38 @@ def relevant_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
  n as (select qid, row_number() over (partition by qid order by claim_seq) as no, {CITE} as line from told) select qid, md5(string_agg(no || '. ' || line, chr(10) order by no)) as digest, count(*) as n from n group by qid"""
 )
 def query_context_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, names = relevant_names(spark, sf_dir)
-    told = question.context_claims(q, names, claims(spark, sf_dir)).withColumn("no", F.row_number().over(Window.partitionBy("qid").orderBy("claim_seq")))
-    line = F.concat("no", F.lit(". "), T.citation(F.col("source_doc"), F.col("entity"), F.col("claim"), F.col("confidence")))
-    return question.joined(told, line, "no").join(told.groupBy("qid").agg(F.count("*").alias("n")), "qid").select("qid", F.md5("text").alias("digest"), "n")
+    return told(spark, sf_dir, lambda names: question.claim_lines(names, claims(spark, sf_dir), digest))
 
 
-CONFLICTS = "conflicts as (select a.p_partkey as con_seq, a.p_brand as e1, b.p_brand as e2, case when a.p_size > b.p_size then 'contradicts' else 'refines' end as relation from part a join part b on b.p_partkey = a.p_partkey + 7 where a.p_partkey % 100 = 0)"
+CONFLICTS = "conflicts as (select a.p_partkey as con_seq, a.p_brand as e1, b.p_brand as e2, a.p_name as t1, b.p_name as t2, case when a.p_size > b.p_size then 'contradicts' else 'refines' end as relation from part a join part b on b.p_partkey = a.p_partkey + 7)"
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
-    a, b = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("con_seq"), F.col("p_brand").alias("e1"), F.col("p_size").alias("s1")), part.select((F.col("p_partkey") - 7).alias("con_seq"), F.col("p_brand").alias("e2"), F.col("p_size").alias("s2"))
-    return a.join(b, "con_seq").select("con_seq", "e1", "e2", F.when(F.col("s1") > F.col("s2"), "contradicts").otherwise("refines").alias("relation"))
+    """Each part against the seventh after it."""
+    side = lambda shift, i: table(spark, sf_dir, "part").select((F.col("p_partkey") - shift).alias("con_seq"), F.col("p_brand").alias(f"e{i}"), F.col("p_name").alias(f"t{i}"), F.col("p_size").alias(f"s{i}"))
+    return side(0, 1).join(side(7, 2), "con_seq").select("con_seq", "e1", "e2", "t1", "t2", F.when(F.col("s1") > F.col("s2"), "contradicts").otherwise("refines").alias("relation"))
 
 
 @query(
     f"""with {ASKED}, {NODES}, {RELEVANT}, {CONFLICTS}, got as (select distinct qid, conflicts.* from names join conflicts on name = e1 or name = e2), told as (select * from got union all select qid, conflicts.* from asked, conflicts where qid not in (select qid from got))
- select qid, string_agg(upper(relation) || ' ' || con_seq, '|' order by con_seq) as lines from told group by qid"""
+ select qid, md5(string_agg(upper(relation) || ' ' || con_seq, chr(10) order by con_seq)) as digest, count(*) as n from told group by qid"""
 )
 def query_context_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, names = relevant_names(spark, sf_dir)
-    told = question.context_pairs(q, names, conflicts(spark, sf_dir), "e1", "e2", True)
-    return question.joined(told, F.concat(F.upper("relation"), F.lit(" "), "con_seq"), "con_seq").select("qid", F.replace("text", F.lit("\n"), F.lit("|")).alias("lines"))
+    line = F.concat(F.upper("relation"), F.lit(" "), "con_seq")
+    return told(spark, sf_dir, lambda names: question.conflict_lines(names, conflicts(spark, sf_dir).drop("t1", "t2"), line, digest))
 
 
-LINKS = "links as (select p_partkey as edge_seq, p_brand as source, p_name as target, case when p_size % 3 > 0 then p_type end as relation from part where p_partkey % 50 = 0)"
+LINKS = "links as (select p_partkey as edge_seq, p_brand as source, p_name as target, case when p_size % 3 > 0 then p_type end as relation from part)"
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("edge_seq"), F.col("p_brand").alias("source"), F.col("p_name").alias("target"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("relation"))
+    """Each part as an edge from its brand to its name."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("edge_seq"), F.col("p_brand").alias("source"), F.col("p_name").alias("target"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("relation"))
 
 
-@query(f"with {ASKED}, {NODES}, {RELEVANT}, {LINKS}, told as (select distinct qid, links.* from names join links on name = source or name = target) select qid, md5(string_agg(source || ' ' || coalesce(relation, '?') || ' ' || target, chr(10) order by edge_seq)) as digest from told group by qid")
+@query(f"with {ASKED}, {NODES}, {RELEVANT}, {LINKS}, told as (select distinct qid, links.* from names join links on name = source or name = target) select qid, md5(string_agg(source || ' ' || coalesce(relation, '?') || ' ' || target, chr(10) order by edge_seq)) as digest, count(*) as n from told group by qid")
 def query_context_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, names = relevant_names(spark, sf_dir)
-    told = question.context_pairs(q, names, links(spark, sf_dir), "source", "target")
-    return question.joined(told, F.concat("source", F.lit(" "), T.or_unknown(F.col("relation")), F.lit(" "), "target"), "edge_seq").select("qid", F.md5("text").alias("digest"))
+    return told(spark, sf_dir, lambda names: digest(question.edge_lines(names, links(spark, sf_dir))))
 
 
 @query(
@@ -427,11 +453,14 @@ def entity_tool_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EXTRACTED}, c as (select count(*) as claims from {FIRST_CLAIMS} where rn = 1), e as (select count(distinct k) as entities from {FIRST_ENTITIES}), r as (select count(*) as relationships from (select distinct source, target from relationships)) select entities, relationships, claims, cast(0 as bigint) as contradictions from c, e, r")
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are extracted once; what a graph of them would hold is told apart by its kind and key."""
     found = extracted(spark, sf_dir)
-    names = extract.distinct_entities(extract.items(found, "entities")).agg(F.count_distinct(F.lower("name")).alias("entities"))
-    pairs = extract.items(found, "relationships").select("source", "target").distinct().agg(F.count("*").alias("relationships"))
-    told = extract.distinct_claims(extract.items(found, "claims")).agg(F.count("*").alias("claims"))
-    return names.join(pairs, F.lit(True)).join(told, F.lit(True)).withColumn("contradictions", F.lit(0).cast("long"))
+    key = lambda kind, doc, a, b: F.struct(F.lit(kind).alias("kind"), doc.cast("string").alias("doc"), a.alias("a"), b.alias("b"))
+    none, doc = F.lit(None).cast("string"), F.col("source_doc")
+    entities = F.transform("extraction.entities", lambda x: key("entities", none, F.lower(x["name"]), none))
+    edges = F.transform("extraction.relationships", lambda x: key("relationships", none, x["source"], x["target"]))
+    told = F.transform("extraction.claims", lambda x: key("claims", doc, F.lower(x["entity"]), T.strip(F.lower(x["claim"]))))
+    return graph.stats(found.select(F.explode(F.concat(entities, edges, told)).alias("x")).select("x.*").distinct())
 
 
 @query(f"{EXTRACTED} select distinct name from {FIRST_ENTITIES} order by name")
@@ -445,9 +474,11 @@ def claims_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_doc", "pos", "chunk_idx", "entity", F.md5("claim").alias("digest"))
 
 
-@query(f"with {CONFLICTS} select con_seq, upper(relation) || ': [part] ' || e1 || ' <> [?] ' || e2 as line from conflicts")
+@query(f"with {CONFLICTS} select con_seq, upper(relation) || ': [part] ' || e1 || ': ' || t1 || ' <> [?] ' || e2 || ': ' || t2 as line from conflicts")
 def contradictions_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts(spark, sf_dir).select("con_seq", F.concat(F.upper("relation"), F.lit(": [part] "), "e1", F.lit(" <> [?] "), "e2").alias("line"))
+    side = lambda i, source: F.struct(F.col(f"e{i}").alias("entity"), F.col(f"t{i}").alias("claim"), F.lit(source).cast("string").alias("source_doc"))
+    rows = conflicts(spark, sf_dir).select("con_seq", side(1, "part").alias("existing_claim"), side(2, None).alias("new_claim"), "relation")
+    return rows.select("con_seq", question.conflict_line().alias("line"))
 
 
 @query(
@@ -459,11 +490,11 @@ def viz_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.view_nodes(n, claims(spark, sf_dir), conflicts(spark, sf_dir)).withColumn("radius", F.round("radius", 6))
 
 
-@query(f"with {NODES}, {LINKS} select source, target, coalesce(relation, 'related') as relation, case when relation = 'contradicts' then 2.5::double else 1.5::double end as width from links where source in (select name from nodes) and target in (select name from nodes where node_seq % 2 = 0)")
+@query(f"with {NODES}, {LINKS}, ends as (select * from links union all select edge_seq, source, target || ' (gone)', relation from links) select source, target, coalesce(relation, 'related') as relation, case when relation = 'contradicts' then 2.5::double else 1.5::double end as width from ends where source in (select name from nodes) and target in (select name from nodes)")
 def viz_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = nodes(spark, sf_dir)
-    shown = links(spark, sf_dir).join(every.where("node_seq % 2 = 0").select(F.col("name").alias("target")), "target", "left_semi")
-    return graph.view_links(shown, every)
+    """Every link, and another one from the same source to no node, which is not shown."""
+    every = links(spark, sf_dir)
+    return graph.view_links(every.unionByName(every.withColumn("target", F.concat("target", F.lit(" (gone)")))), nodes(spark, sf_dir))
 
 
 @query("select metric, round(avg(v), 9) as mean, count(v) as n from (select unnest(['faithfulness', 'answer_relevancy']) as metric, unnest([cast(quality as double), case when d.doc_id % 10 = 3 then null else cast(toxic as double) end]) as v from documents d left join labels using (doc_id)) group by metric")

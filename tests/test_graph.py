@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import similarity
-from quernstone.operators import evaluate, extract, graph, question, schemas
+from quernstone.operators import evaluate, extract, graph, models, question, schemas
 
 
 def rows(df):
@@ -96,9 +96,9 @@ def test_model_adapter_retries_and_gives_up(spark):
 
 
 def test_verdicts_are_validated(spark):
-    reply = '{"results": [{"new_claim_index": 1, "existing_claim_index": 2, "relation": "refines"}, {"new_claim_index": 0, "existing_claim_index": 1, "relation": "refines"}, {"new_claim_index": 1, "existing_claim_index": 3, "relation": "refines"}, {"new_claim_index": 1.5, "existing_claim_index": 1, "relation": "refines"}, {"new_claim_index": "x", "existing_claim_index": 1, "relation": "refines"}, {"new_claim_index": 2, "existing_claim_index": 1, "relation": "confirms"}, {"new_claim_index": 2, "existing_claim_index": 1, "relation": "contradicts", "explanation": "y"}]}'
-    replies = frame(spark, [("d", 0, reply), ("d", 1, "garbage")], "source_doc string, batch_id int, reply string")
-    sizes = frame(spark, [("d", 0, 2, 2), ("d", 1, 2, 2)], "source_doc string, batch_id int, n_new int, n_existing int")
+    reply = '{"results": [{"new_claim_index": 1, "existing_claim_index": 2, "relation": "refines"}, {"new_claim_index": 0, "existing_claim_index": 1, "relation": "refines"}, {"new_claim_index": 1, "existing_claim_index": 3, "relation": "refines"}, {"new_claim_index": 1.5, "existing_claim_index": 1, "relation": "refines"}, {"new_claim_index": "x", "existing_claim_index": 1, "relation": "refines"}, {"new_claim_index": "1", "existing_claim_index": 1, "relation": "refines"}, {"new_claim_index": 1, "existing_claim_index": null, "relation": "refines"}, {"new_claim_index": 2, "existing_claim_index": 1, "relation": "confirms"}, {"new_claim_index": 2, "existing_claim_index": 1, "relation": "contradicts", "explanation": "y"}]}'
+    replies = frame(spark, [("d", 0, reply), ("d", 1, "garbage"), ("d", 2, None)], "source_doc string, batch_id int, reply string")
+    sizes = frame(spark, [("d", i, 2, 2) for i in range(3)], "source_doc string, batch_id int, n_new int, n_existing int")
     assert [r[3:6] for r in rows(graph.valid_verdicts(replies, sizes))] == [(1, 2, "refines"), (2, 1, "contradicts")]
 
 
@@ -127,7 +127,7 @@ def test_questions_fallbacks_and_semijoins(spark):
     assert got[2]["entities"] == "Deep Net\nRho" and not got[2]["answerable"]
     assert {r["qid"]: r["answer"] for r in question.answers(question.contexts(q, named, edges, claims, con)).collect()}[2] == question.REFUSAL
     lists = {r["qid"]: r["contexts"] for r in question.answer_contexts(q, named, claims, con).collect()}
-    assert len(lists[3]) == 2 and lists[3][1].startswith("CONFLICT: REFINES") and lists[1] == ["c5", "c6"]
+    assert len(lists[3]) == 2 and lists[3][1].startswith("CONFLICT: REFINES") and lists[1] == ["[s] Rho: c5", "[?] zeta: c6"]
     empty = question.contexts(q, named.limit(0), edges, claims.limit(0), con.limit(0)).collect()
     assert len(empty) == 3 and all(r["claims"] == "" for r in empty)
 
@@ -152,3 +152,95 @@ def test_means_leave_out_nan_and_null(spark):
 @pytest.mark.parametrize("new,old,want", [("it works well on all", "it works not well on all", "contradicts"), ("it works well", "it works well", "confirms"), ("it works well on all", "it works well on most", "refines"), ("a b c", "x y z", "unrelated")])
 def test_default_verdict(spark, new, old, want):
     assert frame(spark, [(new, old)], "n string, o string").select(graph.default_verdict(F.col("n"), F.col("o"))).first()[0] == want
+
+
+def test_questions_find_nodes_by_their_aliases(spark):
+    entities = frame(spark, [(0, "Direct Preference Optimization", "method", ["DPO", None]), (1, "Rho", None, None), (2, "Sigma", "metric", ["sum of squares"])], SCHEMA)
+    q = frame(spark, [(1, "what is dpo good for?"), (2, "the squares"), (3, "nothing here"), (4, "a DPOs rhoo")], "qid long, question string")
+    assert rows(question.relevant(q, entities)) == [(1, "Direct Preference Optimization", 0), (2, "Sigma", 2), (4, "Direct Preference Optimization", 0), (4, "Rho", 1)]
+    claims = frame(spark, [(5, "Direct Preference Optimization", "works", None, "s"), (6, "Rho", "stands", None, "t")], "claim_seq long, entity string, claim string, confidence string, source_doc string")
+    none = frame(spark, [], schemas.TABLES["contradictions"])
+    edges = frame(spark, [(1, "Rho", "Sigma", "uses")], "edge_seq long, source string, target string, relation string")
+    got = {r["qid"]: r for r in question.contexts(q, entities, edges, claims, none).collect()}
+    assert got[1]["claims"] == "1. [s] Direct Preference Optimization: works (confidence: ?)" and got[1]["answerable"] and got[2]["edges"] == "Rho uses Sigma"
+    # what no node matches draws on everything, made once
+    assert not got[3]["answerable"] and got[3]["entities"].count("\n") == 2 and got[3]["claims"].count("\n") == 1 and got[3]["edges"] == "Rho uses Sigma"
+
+
+def test_batches_and_their_classifiers(spark):
+    """Seven new claims in two batches; a claim that several name has one number; a failing batch has no verdicts, and does not stop the other."""
+    made = [("d", i, r, "e", f"claim {(i + r) % 4} works well", i * 10 + r) for i in range(7) for r in (1, 2)]
+    table = frame(spark, made, "source_doc string, new_idx long, rank int, entity string, claim string, claim_seq long").withColumns({"new_entity": F.lit("n"), "new_claim": F.concat(F.lit("claim "), F.col("new_idx") % 4, F.lit(" works not well")), "existing_source": F.lit("old")})
+    numbered = graph.batches(table)
+    asked = graph.batch_questions(numbered)
+    got = {r["batch_id"]: r for r in asked.collect()}
+    assert [(got[b]["n_new"], len(got[b]["new"]), got[b]["n_existing"]) for b in (0, 1)] == [(5, 5, 4), (2, 2, 3)] and [x["no"] for x in got[0]["existing"]] == [1, 2, 3, 4]
+
+    def connect():
+        def client(messages, schema):
+            if "N5" in messages[-1][1]:
+                raise OSError("down")
+            return '{"results": [{"new_claim_index": 2, "existing_claim_index": 1, "relation": "refines", "explanation": "why"}]}'
+
+        return client
+
+    said = models.classifier(connect, wait=0.0)(asked)
+    verdicts = graph.valid_verdicts(said, asked)
+    assert [(r["batch_id"], r["new_idx"], r["claim"], r["explanation"]) for r in graph.verdict_claims(verdicts, numbered, "claim").collect()] == [(1, 6, "claim 2 works well", "why")]
+    ruled = graph.valid_verdicts(graph.default_classifier(asked), asked)
+    want = {(i, (i + r) % 4) for i in range(7) for r in (1, 2)}
+    pairs = {(r["new_idx"], int(r["claim"][6])) for r in graph.verdict_claims(ruled, numbered, "claim").where("relation = 'contradicts'").collect()}
+    assert pairs and pairs >= {(i, k) for i, k in want if i % 4 == k}
+
+
+def test_chat_and_embedding_adapters():
+    asked = []
+
+    def strict(messages, schema):
+        asked.append(schema)
+        return "no json" if isinstance(schema, dict) else '{"a": 1}'
+
+    assert models.chat_json(strict, [("user", "x")], {"type": "object"}, wait=0.0) == {"a": 1} and asked == [{"type": "object"}, "object"]
+    for reply in ("[1]", "", "nope"):
+        with pytest.raises(models.Failed):
+            models.chat_json(lambda m, s, reply=reply: reply, [], wait=0.0)
+    left = ["", "fine"]
+    assert models.chat_text(lambda m, s: left.pop(0), [], wait=0.0) == "fine"
+    with pytest.raises(models.Failed):
+        models.chat_text(lambda m, s: "", [], wait=0.0)
+    sizes = []
+
+    def vectors(texts):
+        sizes.append(len(texts))
+        return [(i, [float(len(t))]) for i, t in reversed(list(enumerate(texts)))]
+
+    assert models.embed(vectors, ["x" * i for i in range(5)], size=2) == [[0.0], [1.0], [2.0], [3.0], [4.0]] and sizes == [2, 2, 1]
+    assert models.embed(vectors, []) == []
+    with pytest.raises(models.Failed):
+        models.embed(lambda texts: [], ["a"], wait=0.0)
+
+
+def test_embeddings_and_answers_of_a_model(spark):
+    def connect():
+        def client(texts):
+            if "bad" in texts:
+                raise OSError
+            return [(i, [float(len(t)), 1.0]) for i, t in enumerate(texts)]
+
+        return client
+
+    df = frame(spark, [("a",), ("bcd",), (None,)], "t string").coalesce(1)
+    assert rows(df.select("t", models.embedder(connect, wait=0.0)(F.col("t")).alias("v"))) == [("a", [1.0, 1.0]), ("bcd", [3.0, 1.0]), (None, None)]
+    assert rows(frame(spark, [("bad",)], "t string").select(models.embedder(connect, wait=0.0)(F.col("t")).alias("v"))) == [(None,)]
+    told = frame(spark, [(1, "q?", True, "e", "c", "", ""), (2, "fail", True, "e", "c", "", "")], "qid long, question string, answerable boolean, entities string, claims string, conflicts string, edges string")
+
+    def chat():
+        def client(messages, schema):
+            if "fail" in messages[-1][1]:
+                raise OSError
+            return messages[-1][1]
+
+        return client
+
+    got = {r["qid"]: r["answer"] for r in models.answerer(chat, wait=0.0)(told).collect()}
+    assert got[1] == "Entities:\ne\n\nClaims:\nc\n\nQuestion: q?" and got[2] is None
