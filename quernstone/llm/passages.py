@@ -10,9 +10,10 @@ smallest hash is its anchor; equal windows have equal anchors, so
 3. a solver (its own for each operator) finds equal windows in a bucket, comparing what the strings hold;
 4. window ranges go back to their documents and are applied to the whole text.
 
-No step pairs documents. A bucket that keeps many different strings (a frequent phrase in ever new surroundings) is dealt
-again by what stands beside the anchor: a window has at least half of its other units on one side of it, so equal windows
-still meet under the key of that side. Lineage is cut by tables in the shared folder.
+No step pairs documents. A bucket that keeps many different strings (a passage in ever new surroundings or with ever new edits) is cut
+again: windows that have about as many units left of the anchor share most of their text, which is the key of a new bucket; the piece that holds
+them is a string there, and its copies are merged by a partial aggregate like those of any string. What is still large is cut to single
+windows. So neither a bucket nor a window that a third of all rows hold is gathered in one task. Lineage is cut by tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import blocks, scratch
 
-#: Different strings in a bucket from which it is dealt again by the anchor's neighbourhood.
-HOT_BUCKET = 2000
+#: Different strings in a bucket beyond which it is cut again, into so many ranges of windows and then into windows. Results are the same either way.
+HOT_BUCKET, RANGES = 1000, 8
 #: Bytes of packed strings that a solver sees at once; a bucket is never cut.
 SOLVE_BYTES = 1 << 18
 #: A run's first window and its number of windows share a long.
@@ -120,18 +121,44 @@ def ranges(docs: DataFrame, units: Units, solve: Callable, earlier: bool, owner:
             h, r, c, d, m, p = lists.flatten().flatten()
             run = np.searchsorted(start, first[of] + (p.to_numpy() >> _COUNT_BITS))
             packed = _packed(data, starts, ends, start[run], n[run], units)
-            yield pa.RecordBatch.from_arrays([h, r, c, d, m, pa.array((at - start)[run].astype(np.int32)), pa.array(n[run].astype(np.int32)), pa.array(packed, pa.binary())], names=["h", "r", "c", "d", "m", "off", "n", "s"])
+            cols = [h, r, c, d, m, pa.array((at - start)[run].astype(np.int32)), pa.array(n[run].astype(np.int32)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["h", "r", "c", "d", "m", "off", "n", "s"])
 
     joined = docs.join(sent, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("th").eqNullSafe(F.col("_t"))).select("doc_id", "text", "x")
-    travel = joined.mapInArrow(cut, "h long, r long, c long, d long, m long, off int, n int, s binary")
-    dealt = travel.mapInArrow(_deal(units), "h long, r long, c long, d long, s binary, lo int, hi int, key long")
+    travel = scratch.save(joined.mapInArrow(cut, "h long, r long, c long, d long, m long, off int, n int, s binary"), "travel", owner)
+
+    def again(strings: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+        """The pieces of hot buckets' strings, and the different ones among them with the sizes of their new buckets."""
+        shape = "h long, r long, c long, d long, h2 long, r2 long, lo int, off int, n int, s binary"
+        dealt = scratch.save(strings.where(F.col("m") > HOT_BUCKET).mapInArrow(_deal(units, width), shape), "dealt", owner)
+        merged = dealt.groupBy(F.col("h2").alias("h"), F.col("r2").alias("r")).agg(F.sum("c").alias("c"), F.min("d").alias("d"), F.min("off").alias("off"), F.min("n").alias("n"), F.min("s").alias("s"))
+        merged = scratch.save(merged, "pieces", owner)
+        sizes = scratch.save(merged.groupBy("h").agg(F.count("*").alias("m")), "sizes", owner)
+        return dealt, merged.join(sizes.hint("merge"), "h")
+
+    first_cut, ranged = again(travel, -(-(units.window - units.anchor + 1) // RANGES))
+    second_cut, single = again(ranged, 1)
 
     def work(batches):
         for group in _buckets(batches):
             yield solve(group, units)
 
     runs = "array<struct<a:int,b:int,d:bigint>>"
-    solved = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(work, f"h long, r long, runs {runs}")
+    cold = travel.where(F.col("m") <= HOT_BUCKET).unionByName(ranged.where((F.col("m") > 1) & (F.col("m") <= HOT_BUCKET))).select("h", "r", "c", "d", "s", "n")
+    solved = cold.repartition("h").sortWithinPartitions("h").mapInArrow(work, f"h long, r long, runs {runs}")
+    every = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), F.col("d").alias("d"))).cast(runs).alias("runs")
+    for pieces in (ranged, single):
+        solved = solved.unionByName(pieces.where("c > 1").select("h", "r", every))
+    solved = scratch.save(solved, "solved", owner)
+
+    def back(dealt: DataFrame, solved: DataFrame) -> DataFrame:
+        """What was found in pieces, for the strings that they were cut from."""
+        found = dealt.select("h", "r", "h2", "r2", "lo").join(solved.select(F.col("h").alias("h2"), F.col("r").alias("r2"), "runs"), ["h2", "r2"])
+        moved = F.expr("transform(runs, x -> struct(x.a + lo as a, x.b + lo as b, x.d as d))")
+        return found.groupBy("h", "r").agg(F.flatten(F.collect_list(moved)).cast(runs).alias("runs"))
+
+    solved = solved.unionByName(back(second_cut, solved))
+    solved = solved.unionByName(back(first_cut, solved))
     # a string that occurs several times repeats as a whole; solvers add what different strings share
     whole = F.array(F.struct(F.lit(0).alias("a"), F.expr(f"cast(o.p & {(1 << _COUNT_BITS) - 1} as int)").alias("b"), F.col("d").alias("d"))).cast(runs)
     solved = scratch.save(solved.unionByName(strings.where("c > 1").select("h", "r", whole.alias("runs"))), "solved", owner)
@@ -161,41 +188,59 @@ def _packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, run: np.ndar
     return [held[x:y] for x, y in zip(where[starts[run]].tolist(), (where[ends[last - 1] - 1] + 1).tolist(), strict=True)]
 
 
-def _deal(units: Units) -> Callable:
-    """Keys of buckets. A hot bucket's strings are dealt by the units just left or right of the anchor; lo..hi are the windows for which that key answers."""
-    half = -(-(units.window - units.anchor) // 2)
+def _places(packed: bytes, units: Units) -> tuple[list[int], list[int]]:
+    """Where the units of a packed string start and end."""
+    if not units.words:
+        return [*range(len(packed))], [*range(1, len(packed) + 1)]
+    cut = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
+    return [0, *(cut + 1).tolist()], [*cut.tolist(), len(packed)]
+
+
+def windows(packed: bytes, n: int, units: Units) -> list[bytes]:
+    """The ``n`` windows of a packed string."""
+    starts, ends = _places(packed, units)
+    return [packed[starts[j] : ends[j + units.window - 1]] for j in range(n)]
+
+
+def _deal(units: Units, width: int) -> Callable:
+    """Cuts strings into pieces, each with the windows that have ``width`` neighbouring numbers of units left of the anchor.
+
+    All windows that can be in a piece share the text between the outermost of them: its hash is the piece's bucket h2, and r2 its
+    own name. ``lo`` is the string's window that comes first in the piece, ``off`` the anchor's place in it.
+    """
+
+    def name(text: bytes, *numbers: int) -> int:
+        return int.from_bytes(hashlib.blake2b(text, digest_size=8, key=b"".join(x.to_bytes(8, "big", signed=True) for x in numbers)).digest(), "big", signed=True)
 
     def deal(batches):
         for rows in batches:
             col = {c: rows.column(rows.schema.get_field_index(c)) for c in rows.schema.names}
-            hot = np.flatnonzero(col["m"].to_numpy() > HOT_BUCKET)
-            cold = np.flatnonzero(col["m"].to_numpy() <= HOT_BUCKET)
-            take, lo, hi, key = cold.tolist(), [0] * len(cold), col["n"].to_numpy()[cold].tolist(), col["h"].to_numpy()[cold].tolist()
-            for i in hot.tolist():
-                h, s, off, n = (col[c][i].as_py() for c in ("h", "s", "off", "n"))
-                parts = s.split(b" ") if units.words else s
-                # window j holds off - j units left of the anchor and window - anchor - (off - j) right of it
-                for a, b, side in ((max(0, off - (units.window - units.anchor - half)), n, slice(off + units.anchor, off + units.anchor + half)), (0, min(n, off - half + 1), slice(off - half, off))):
-                    if a < b and side.start >= 0:
-                        beside = b" ".join(parts[side]) if units.words else parts[side]
+            take, out = [], []
+            for i, (h, s, off, n) in enumerate(zip(*(col[c].to_pylist() for c in ("h", "s", "off", "n")), strict=True)):
+                starts, ends = _places(s, units)
+                for k in range((off - n + 1) // width if off >= n else 0, off // width + 1):
+                    # windows of the range start at off - k * width and at up to width - 1 places before
+                    a, b = max(0, off - (k + 1) * width + 1), min(n, off - k * width + 1)
+                    if a < b:
+                        common = s[starts[off - k * width] : ends[off - (k + 1) * width + units.window]]
+                        piece = s[starts[a] : ends[b + units.window - 2]]
                         take.append(i)
-                        lo.append(a)
-                        hi.append(b)
-                        key.append(int.from_bytes(hashlib.blake2b(beside, digest_size=8, key=h.to_bytes(8, "big", signed=True), person=b"R" if side.start > off else b"L").digest(), "big", signed=True))
-            got = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(col[c].take(got) for c in ("h", "r", "c", "d", "s")), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(key, pa.int64())], names=["h", "r", "c", "d", "s", "lo", "hi", "key"])
+                        out.append((name(common, h, k, width), name(piece, off - a), a, off - a, b - a, piece))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(col[c].take(pa.array(take, pa.int64())) for c in ("h", "r", "c", "d")), *cols], names=["h", "r", "c", "d", "h2", "r2", "lo", "off", "n", "s"])
 
     return deal
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole buckets, about SOLVE_BYTES at a time, from rows sorted by key; buckets of one string are left out."""
+    """Whole buckets, about SOLVE_BYTES at a time, from rows sorted by h; buckets of one string are left out."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def ready(parts: list[pa.RecordBatch]) -> Iterator[pa.Table]:
         table = pa.Table.from_batches(parts).combine_chunks()
-        keys = table.column("key").to_numpy()
+        keys = table.column("h").to_numpy()
         same = np.flatnonzero(keys[1:] == keys[:-1])
         several = np.zeros(len(keys), bool)
         several[same] = several[same + 1] = True
@@ -206,12 +251,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(batch.schema.get_field_index("key")).to_numpy()
+        keys = batch.column(batch.schema.get_field_index("h")).to_numpy()
         s = batch.column(batch.schema.get_field_index("s"))
         ends = np.cumsum(np.asarray(pc.binary_length(s)))
         edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1  # where a bucket may end
         at = 0
-        if held and keys[0] != held[-1].column(held[-1].schema.get_field_index("key"))[-1].as_py() and size >= SOLVE_BYTES:
+        if held and keys[0] != held[-1].column(held[-1].schema.get_field_index("h"))[-1].as_py() and size >= SOLVE_BYTES:
             yield from ready(held)
             held, size = [], 0
         for e in edges.tolist():

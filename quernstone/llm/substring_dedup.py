@@ -25,14 +25,10 @@ def solve(table: pa.Table, units: passages.Units) -> pa.RecordBatch:
     """For each string the runs of its windows with the smallest doc_id that holds them, where that can be another document's."""
     windows, owner, place = [], [], []
     d = [x if x is not None else np.iinfo(np.int64).max for x in table.column("d").to_pylist()]
-    lo, hi = table.column("lo").to_pylist(), table.column("hi").to_pylist()
-    for i, s in enumerate(table.column("s").to_pylist()):
-        cut = np.flatnonzero(np.frombuffer(s, np.uint8) == 32)
-        starts, ends = [0, *(cut + 1).tolist()], [*cut.tolist(), len(s)]
-        for j in range(lo[i], hi[i]):
-            windows.append(s[starts[j] : ends[j + units.window - 1]])
-            owner.append(i)
-            place.append(j)
+    for i, (s, n) in enumerate(zip(table.column("s").to_pylist(), table.column("n").to_pylist(), strict=True)):
+        windows += passages.windows(s, n, units)
+        owner += [i] * n
+        place += range(n)
     order = sorted(range(len(windows)), key=windows.__getitem__)
     least = [0] * len(windows)
     at = 0

@@ -103,24 +103,16 @@ def repeats(data: np.ndarray, length: int) -> np.ndarray:
 
 def solve(table: pa.Table, units: passages.Units) -> pa.RecordBatch:
     """Ranges of repeated windows of the strings that occur once; the others are known to repeat."""
-    # a string of a bucket that was dealt again can be here under two keys; it counts once
-    held: dict[tuple, int] = {}
-    strings, index = [], []
-    for key in zip(table.column("h").to_pylist(), table.column("r").to_pylist(), strict=True):
-        index.append(held.setdefault(key, len(held)))
-        if index[-1] == len(strings):
-            strings.append(table.column("s")[len(index) - 1].as_py())
+    strings = table.column("s").to_pylist()
     data = np.frombuffer(bytes([END]).join(strings) + bytes([END]), np.uint8)
     dup = repeats(data, units.window)
-    starts = np.concatenate(([0], np.cumsum([len(s) + 1 for s in strings])))
+    starts = np.cumsum([0, *(len(s) + 1 for s in strings)])
     hs, ids, runs = [], [], []
-    once = table.column("c").to_numpy() == 1
-    lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+    once, n = table.column("c").to_numpy() == 1, table.column("n").to_numpy()
     for i in np.flatnonzero(once).tolist():
-        start = int(starts[index[i]])
-        flags = np.zeros(hi[i] - lo[i] + 2, np.int8)
-        flags[1:-1] = dup[start + lo[i] : start + hi[i]]
-        turn = np.flatnonzero(np.diff(flags)) + lo[i]
+        flags = np.zeros(n[i] + 2, np.int8)
+        flags[1:-1] = dup[starts[i] : starts[i] + n[i]]
+        turn = np.flatnonzero(np.diff(flags))
         if len(turn):
             hs.append(table.column("h")[i].as_py())
             ids.append(table.column("r")[i].as_py())
