@@ -272,12 +272,13 @@ class _Scored:
         return out
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of every row, lang_pred and score: the posterior of that language, which is the largest."""
+def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` of every row, lang_pred and score: the posterior of that language, which is the largest. ``text`` may be one of them; it moves once."""
+    sent = docs.select(*keep, *([text] if text not in keep else []))
 
     def run(batches):
         scored = _Scored(model) if model else None
-        for rows, data, offsets in blocks.blocks(batches, size=2 << 20):
+        for rows, data, offsets in blocks.blocks(batches, text):
             n = rows.num_rows
             names, score = ["und"] * n, np.zeros(n)
             if model:
@@ -298,10 +299,10 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
                         names[i] = model.languages[best[i]]
                     else:
                         score[i] = 0
-            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(1, rows.num_columns)), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*rows.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     shape = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select("text", *keep).mapInArrow(run, shape)
+    return sent.mapInArrow(run, shape)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -314,5 +315,6 @@ def language_id(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose text has a language with at least this posterior."""
     model = fit(docs.select("doc_id", "text", "lang"), F.lit(True))
-    held = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    return identify(held, model, ["_row"]).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    numbered = [f"_{i}" for i in range(len(docs.columns))]  # names of their own, as the prediction adds two
+    found = identify(docs.toDF(*numbered), model, numbered, numbered[docs.columns.index("text")])
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*numbered).toDF(*docs.columns)

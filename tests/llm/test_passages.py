@@ -96,6 +96,36 @@ def test_removed_words_equal_brute_force(spark, frame, monkeypatch, seed, hot):
     assert sorted(map(tuple, got), key=str) == words_brute(rows, 20)
 
 
+def test_rows_without_id_whose_texts_share_a_32_bit_hash(spark, frame):
+    """Two texts without doc_id and with one 32-bit hash; what repeats in one of them is not taken from the other."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(300_000).select(F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.lit(" text of its own "), F.md5(F.col("id").cast("string"))).alias("text"))
+    pair = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("x")).where("size(x) > 1").orderBy(F.expr("x[0]")).first()["x"][:2]
+    rows = [(None, pair[0]), (None, pair[1]), (5, "head " + pair[0] + " tail")]
+    got = suffix_dedup(frame(rows), 30, 12).collect()
+    assert sorted(map(tuple, got), key=str) == bytes_brute(rows, 30) and sorted(r["n_removed"] for r in got)[0] == 0
+    got = substring_dedup(frame(rows), 5, 2).collect()
+    assert sorted(map(tuple, got), key=str) == words_brute(rows, 5)
+
+
+def test_near_copies_in_one_bucket(frame, monkeypatch):
+    """Many edited copies of one passage: their bucket is cut into ranges of windows, and these into windows."""
+    monkeypatch.setattr(passages, "HOT_BUCKET", 5)
+    rng = random.Random(11)
+    base = ["w%d" % rng.randrange(900) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(3):
+            words[rng.randrange(60)] = "e%d" % rng.randrange(9)
+        rows.append((i, " ".join(words)))
+    got = substring_dedup(frame(rows), 20, 5).collect()
+    assert sorted(map(tuple, got), key=str) == words_brute(rows, 20)
+    got = suffix_dedup(frame(rows), 60, 20).collect()
+    assert sorted(map(tuple, got), key=str) == bytes_brute(rows, 60)
+
+
 def test_kept_text_and_spans(frame):
     a, b = "head one two ", "shared passage of some length here"
     got = suffix_dedup(frame([(1, a + b), (2, b + " tail")]), 20, 8, text=True).orderBy("doc_id").collect()
