@@ -30,7 +30,7 @@ from . import blocks, scratch
 
 
 #: Pieces of one length that are ranked together, about.
-RANKED = 1 << 16
+RANKED = 1 << 10
 
 
 def tokenizer_file() -> str:
