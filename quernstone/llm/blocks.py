@@ -64,10 +64,10 @@ def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, _powers(pow(_BASE, -1, 1 << 64), bits)
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of all documents, and the index of each document's first word (one more at the end)."""
+def spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of all documents, runs of bytes that are not in ``gap`` (by default ``[^\\x20\\x09-\\x0D]+``), and the index of each document's first word (one more at the end)."""
     word = np.zeros(len(data) + 1, bool)
-    np.logical_not(_SPACE[data], out=word[:-1])
+    np.logical_not(gap[data], out=word[:-1])
     first = word[:-1].copy()
     first[1:] &= ~word[:-2]
     heads = offsets[:-1][offsets[:-1] < offsets[1:]]
