@@ -26,14 +26,21 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_own_group: bool = False, tile: int = TILE) -> DataFrame:
     """(q, seq, sim, rank): the k stored vectors most similar to each query vector, exactly.
 
-    ``queries``: q, [grp,] vec; ``stored``: seq, [grp,] vec. Both sides are dealt to blocks of about ``tile`` rows and each pair of
+    ``queries``: q, [grp,] [at,] vec; ``stored``: seq, [grp,] [at,] vec. Both sides are dealt to blocks of about ``tile`` rows and each pair of
     blocks is one matrix product, whose k best a query are all that leaves it: no pair of rows is ever a row. With
-    ``exclude_own_group`` a vector of the query's own group cannot be a hit (nothing is excluded for a null or empty group).
+    ``exclude_own_group`` a vector of the query's own group cannot be a hit (nothing is excluded for a null or empty group). Where both sides
+    have ``at``, a number, only vectors of a smaller one than the query's can be.
     Ties go to the smaller seq; similarities are compared at nine decimals; vectors of zero length have similarity 0.
     """
     counts = [max(1, -(-df.count() // tile)) for df in (queries, stored)]
     group = "grp" in queries.columns and exclude_own_group
-    pick = lambda df, key, side: df.select(F.lit(side).alias("side"), F.col(key).cast("long").alias("key"), (F.col("grp").cast("string") if group else F.lit(None).cast("string")).alias("grp"), F.col("vec").cast("array<double>").alias("vec"))
+    timed = "at" in queries.columns and "at" in stored.columns
+
+    def pick(df: DataFrame, key: str, side: int) -> DataFrame:
+        of = F.col("grp").cast("string") if group else F.lit(None).cast("string")
+        at = F.col("at").cast("long") if timed else F.lit(0).cast("long")
+        return df.select(F.lit(side).alias("side"), F.col(key).cast("long").alias("key"), of.alias("grp"), at.alias("at"), F.col("vec").cast("array<double>").alias("vec"))
+
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
     left = pick(queries, "q", 0).withColumn("i", own(counts[0])).withColumn("j", every(counts[1]))
@@ -57,13 +64,16 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_own_group: bo
                 mine = a["grp"].to_numpy()[at : at + 256]
                 named = np.array([bool(g) for g in mine])
                 sim[(mine[:, None] == groups[None, :]) & named[:, None]] = -np.inf
+            if timed:
+                sim[b["at"].to_numpy()[None, :] >= a["at"].to_numpy()[at : at + 256, None]] = -np.inf
             best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # stable: ties keep the order of seq
             got = np.take_along_axis(sim, best, 1)
             rows, cols = np.nonzero(got > -np.inf)
             out.append(pd.DataFrame({"q": a["key"].to_numpy()[at + rows], "seq": seq[best[rows, cols]], "sim": got[rows, cols]}))
         return pd.concat(out)
 
-    parts = left.select("side", "key", "grp", "vec", "i", "j").unionByName(right.select("side", "key", "grp", "vec", "i", "j")).groupBy("i", "j").applyInPandas(product, "q long, seq long, sim double")
+    columns = ("side", "key", "grp", "at", "vec", "i", "j")
+    parts = left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInPandas(product, "q long, seq long, sim double")
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "seq")
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

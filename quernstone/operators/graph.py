@@ -100,8 +100,9 @@ def bare_nodes(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def similar_claims(new: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """(q, seq, sim, rank): the k nearest stored claims of other sources. ``new``: q, source_doc, embedding."""
-    return nearest(new.select("q", F.col("source_doc").alias("grp"), F.col("embedding").alias("vec")), vectors.select(F.col("claim_seq").alias("seq"), F.col("source_doc").alias("grp"), F.col("embedding").alias("vec")), k, exclude_own_group=True)
+    """(q, seq, sim, rank): the k nearest stored claims of other sources. ``new``: q, source_doc, embedding. Where both tables have ``at``, only claims of a smaller one count."""
+    side = lambda df, key, name: df.select(F.col(key).alias(name), F.col("source_doc").alias("grp"), F.col("embedding").alias("vec"), *[c for c in ("at",) if c in df.columns])
+    return nearest(side(new, "q", "q"), side(vectors, "claim_seq", "seq"), k, exclude_own_group=True)
 
 
 def hit_to_claim(hits: DataFrame, claims: DataFrame, size: int = 500) -> DataFrame:
