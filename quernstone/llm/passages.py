@@ -36,6 +36,8 @@ HOT_BUCKET, RANGES = 1000, 8
 SOLVE_BYTES = 1 << 18
 #: A run's first window and its number of windows share a long.
 _COUNT_BITS = 20
+#: Low bits of an anchor candidate's hash that its place in the block takes while hashes are compared: as many in every block. Texts are shorter than 2^31.
+_PLACE_BITS = 32
 
 
 @dataclass(frozen=True)
@@ -60,9 +62,9 @@ def anchors(hashes: np.ndarray, first: np.ndarray, units: Units) -> tuple[np.nda
     w = units.window - units.anchor + 1
     if len(hashes) < w:
         return none, none, none, none
-    mask = np.uint64((1 << int(len(hashes)).bit_length()) - 1)
+    mask = np.uint64((1 << _PLACE_BITS) - 1)
     least = blocks.sliding_min((hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64), w)
-    at = (least & mask).astype(np.int64)  # of equal hashes the first
+    at = (least & mask).astype(np.int64)  # of hashes that are equal in what is compared the first, so a window's anchor depends on nothing around it
     ends = np.repeat(first[1:], np.diff(first))[: len(at)]
     valid = np.arange(len(at)) + units.window <= ends
     new = valid.copy()

@@ -138,3 +138,19 @@ def test_kept_text_and_spans(frame):
 def test_empty_table(frame):
     assert suffix_dedup(frame([])).collect() == []
     assert substring_dedup(frame([])).collect() == []
+
+
+def test_an_anchor_depends_on_its_window_only():
+    """The same window in a short and in a long block, among hashes that differ in their low bits only."""
+    rng = np.random.default_rng(5)
+    units = passages.Units(200, 40, False)
+    window = rng.integers(1 << 40, 1 << 63, 161, np.uint64)
+    window[20], window[90] = 1 << 10, (1 << 10) - 1  # whether these differ depends on how many bits are compared
+    seen = set()
+    for before, after in ((0, 0), (100, 40), (3, 500_000), (60_000, 400_000)):
+        noise = rng.integers(1 << 40, 1 << 63, before + after, np.uint64)
+        hashes = np.concatenate([noise[:before], window, noise[before:]])
+        _, start, n, at = passages.anchors(hashes, np.array([0, len(hashes) + 39]), units)
+        run = int(np.flatnonzero((start <= before) & (before < start + n))[0])
+        seen.add(int(at[run]) - before)
+    assert len(seen) == 1
