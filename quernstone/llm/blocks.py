@@ -6,6 +6,7 @@ about a megabyte of text, so memory stays bounded whatever the batch size (a lon
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of a word above which its hash is a cryptographic digest.
+DIGEST_FROM = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -85,8 +88,12 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the bytes of each word: a polynomial of its bytes, for which words of over DIGEST_FROM bytes could be made to collide whatever the base; those are digested."""
     sums, inverse = _sums(data)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > DIGEST_FROM).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
