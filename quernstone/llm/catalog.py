@@ -117,7 +117,9 @@ OP4_SQL = f"""with l as (select doc_id, unnest(x) as line, cast(unnest(range(1,
  r as (select doc_id, line, i, n, w, i = n or (h // w) % 3 = 1 or (lead(h) over (partition by doc_id, w order by i) // w) % 3 = 0 as ends from h, (select unnest({[3**g for g in range(GRIDS)]}) as w)),
  c as (select *, coalesce(sum(cast(ends as int)) over (partition by doc_id, w order by i rows between unbounded preceding and 1 preceding), 0) as k from r),
  g as (select doc_id, min(i) as a, max(i) as b, string_agg(line, chr(10) order by i) as x from c group by doc_id, w, k),
- e as (select doc_id, a, b, x from g where b > a union select doc_id, 1, max(n), string_agg(line, chr(10) order by i) from l group by doc_id having max(n) > 1),
+ m as (select doc_id, i as a, lead(i) over (partition by doc_id order by i) as b from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+ p as (select m.doc_id, a, b, string_agg(line, chr(10) order by i) as x from m join l on m.doc_id = l.doc_id and i between a and b where b is not null group by m.doc_id, a, b),
+ e as (select doc_id, a, b, x from g where b > a union select doc_id, a, b, x from p union select doc_id, 1, max(n), string_agg(line, chr(10) order by i) from l group by doc_id having max(n) > 1),
  d as (select doc_id, a, b from (select doc_id, a, b, row_number() over (partition by x order by doc_id, a) as place from e where regexp_matches(x, '[^\\x20\\x09-\\x0D]')) where place > 1),
  gone as (select distinct doc_id, unnest(range(a, b + 1)) as i from d),
  kept as (select doc_id, string_agg(line, chr(10) order by i) as x, count(*) as m from l anti join gone using (doc_id, i) group by doc_id)

@@ -3,9 +3,11 @@
 A document's lines are hashed (the first 32 bits of MD5, so that other engines can say the same). The hash rolls over a window of
 one line on either side of a possible boundary: in a grid, a boundary lies before each line of one residue class and after each line
 of another. So it depends on two lines only, and a passage that starts with a line of the first class and ends with one of the
-second is cut alike wherever it stands, be it two lines long. There are ``grids`` such grids, each by another digit of the hash,
-and the whole text is one more chunk. A chunk of several lines that occurs elsewhere too stays at its first place (smallest
-doc_id, then place) and is removed from the others, after its bytes were compared; chunks are judged on the input.
+second is cut alike wherever it stands. There are ``grids`` such grids, each by another digit of the hash, and the whole text is one more chunk.
+What no grid happens to cut is found by its seeds: any two lines that follow each other, blank ones in between aside, are a chunk too, the smallest there is, so every
+line of a repeated passage of two lines or more is in a repeated chunk, whatever stands around it. A chunk of several lines that occurs elsewhere too
+stays at its first place (smallest doc_id, then place) and is removed from the others, after its bytes were compared; chunks are judged on the
+input. A line stays where it occurs first of all.
 
 Chunks are first counted by hash alone. Only those whose hash repeats are compared as bytes; equal ones meet in a partial
 aggregate before the shuffle, so a chunk that a third of all rows hold is one row for each task. A text whose whole repeats an
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-#: Grids of boundaries. A passage of two lines is a chunk of a grid, whatever stands around it, in one of nine cases.
-GRIDS = 6
+#: Grids of boundaries. Seeds find what they miss, so they only say which chunks of more than two lines there are.
+GRIDS = 2
 #: Residue classes of a line's hash: one starts a chunk, one ends it.
 CLASSES = 3
 
@@ -38,7 +40,7 @@ def lined(docs: DataFrame) -> DataFrame:
 
 
 def cut(docs: DataFrame, grids: int = GRIDS) -> DataFrame:
-    """lined() with the lines' hashes _h and the chunks of several lines _spans; the whole text is the last one."""
+    """lined() with the lines' hashes _h and the chunks of several lines _spans: those of the grids, the seeds and the whole text."""
     hashed = lined(docs).withColumn("_h", F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")))
     digits = ", ".join(f"{CLASSES**g}L" for g in range(grids))
     edge = f"i = size(_h) or (_h[i - 1] div w) % {CLASSES} = 1 or (_h[i] div w) % {CLASSES} = 0"
@@ -46,7 +48,9 @@ def cut(docs: DataFrame, grids: int = GRIDS) -> DataFrame:
     chunk = "shiftleft(cast(if(k = 0, 1, e[k - 1] + 1) as bigint), 32) | cast(x as bigint)"
     spans = f"flatten(transform({ends}, e -> filter(transform(e, (x, k) -> {chunk}), s -> {_FIRST} < {_LAST})))"
     whole = "shiftleft(1L, 32) | cast(size(_h) as bigint)"
-    return hashed.withColumn("_spans", F.expr(f"if(size(_h) < 2, array(), array_distinct(concat({spans}, array({whole}))))"))
+    told = hashed.withColumn("_said", F.expr("filter(sequence(1, size(_h)), i -> _lines[i - 1] rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
+    seeds = "zip_with(slice(_said, 1, greatest(size(_said) - 1, 0)), slice(_said, 2, greatest(size(_said) - 1, 0)), (a, b) -> shiftleft(cast(a as bigint), 32) | cast(b as bigint))"
+    return told.withColumn("_spans", F.expr(f"if(size(_h) < 2, array(), array_distinct(concat({spans}, {seeds}, array({whole}))))")).drop("_said")
 
 
 def _compared(docs: DataFrame, grids: int, owner: str) -> DataFrame:
