@@ -48,7 +48,7 @@ class BeliefGraph:
         return self.table("entities").select("name").orderBy("name")
 
     def claims_of(self, name: str) -> DataFrame:
-        return self.table("claims").where(F.col("entity") == name)
+        return graph.claims_of(self.table("claims"), name)
 
     def stats(self) -> DataFrame:
         t = self.state.tables()

@@ -76,7 +76,7 @@ def upsert_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def resolve_ends(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Both ends as they are where both are nodes, else each by alias, else as it is."""
-    nodes = entities.select(F.col("name").alias("_n"))
+    nodes = entities.select(F.col("name").alias("_n")).distinct()
     is_node = lambda rows, c: rows.join(nodes.withColumnRenamed("_n", f"_{c}"), F.col(c) == F.col(f"_{c}"), "left")
     rows = is_node(is_node(edges, "source"), "target").withColumn("_both", F.col("_source").isNotNull() & F.col("_target").isNotNull()).drop("_source", "_target")
     for c in ("source", "target"):
@@ -96,7 +96,12 @@ def bare_nodes(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return firsts.join(entities.select("name"), "name", "left_anti").select("name", F.col("first.edge_seq").alias("first_edge"), F.col("first.o").alias("first_end"))
 
 
-# candidates and conflicts
+# claims, candidates and conflicts
+
+
+def claims_of(claims: DataFrame, name: str) -> DataFrame:
+    """Claims about exactly this entity; case counts."""
+    return claims.where(F.col("entity") == name)
 
 
 def similar_claims(new: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:

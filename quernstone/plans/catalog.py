@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.order import numbered
 from ..functions.similarity import nearest
-from ..operators import evaluate, extract, graph, question
+from ..operators import batch, evaluate, extract, graph, question
 from ..sources.documents import not_blank, not_ingested
+from ..sources.working import Working, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -308,14 +310,7 @@ def endpoint_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = edge(table(spark, sf_dir, "events"), F.col("event_id"), F.col("event_type"), F.concat(F.lit("Brand#"), F.col("user_id") % 60))
     for more in (edge(part, k + 1000000000, brand, F.col("p_type")), edge(part, k + 2000000000, F.col("p_name"), brand), edge(part, k + 3000000000, brand, brand)):
         edges = edges.unionByName(more)
-    # brands repeat over parts; a node is unique by name
-    nodes = part_nodes(spark, sf_dir).groupBy("name").agg(F.min("node_seq").alias("node_seq"))
-    keys = part_nodes(spark, sf_dir)
-    both = nodes.select("name")
-    rows = edges.join(both.withColumnRenamed("name", "a"), F.col("source") == F.col("a"), "left").join(both.withColumnRenamed("name", "b"), F.col("target") == F.col("b"), "left").withColumn("both", F.col("a").isNotNull() & F.col("b").isNotNull())
-    for c in ("source", "target"):
-        rows = graph.resolve_by_alias(rows, keys, c).withColumn(c, F.when(F.col("both"), F.col(c)).otherwise(F.coalesce("canonical", c))).drop("canonical")
-    return rows.select("edge_seq", "source", "target")
+    return graph.resolve_ends(edges, part_nodes(spark, sf_dir)).select("edge_seq", "source", "target")
 
 
 @query(
@@ -331,6 +326,28 @@ def node_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.upsert_nodes(old, new).select("name", "node_seq", "type", F.array_join("aliases", "|").alias("aliases"))
 
 
+#: Names of more than four characters are only found by themselves; what has four or fewer may be an alias too (the rules' aliases are a name's first four).
+MENTIONS = f"""m as (select doc_id, lower(name) as k, first(name order by chunk_idx, pos) as name, min(cast(chunk_idx as bigint) * 1000000000 + pos) as o, flatten(list(aliases)) as aliases from entities group by doc_id, lower(name)),
+ long as (select k, arg_min(name, doc_id) as name, min(doc_id) as d, arg_min(o, doc_id) as o from m where length(k) > 4 group by k),
+ la as (select distinct lower(unnest(m.aliases)) as a, k, long.name, d, long.o from m join long using (k)),
+ short as (select k, arg_min(name, doc_id) as name, min(doc_id) as d, arg_min(o, doc_id) as o from m where length(k) <= 4 group by k),
+ holders as (select a, name, d, o from la union all select k, name, d, o from short where not exists (select 1 from la where la.a = short.k and la.d < short.d)),
+ found as (select m.doc_id, m.k, arg_min(h.name, row(h.d, h.o)) as canonical from m join holders h on h.a = m.k and h.d < m.doc_id where length(m.k) <= 4 group by m.doc_id, m.k
+  union all select m.doc_id, k, long.name from m join long using (k) where long.d < m.doc_id)"""
+
+
+@query(f"{EXTRACTED}, {MENTIONS} select m.doc_id as source_doc, name, coalesce(canonical, name) as canonical, case when canonical is null then 'new' else 'alias' end as how from m left join found using (doc_id, k)")
+def ingest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node that each name of each document joins, when all documents are ingested at once, in order of doc_id, by names and aliases."""
+    kept = Working(spark)
+    found = kept(extract.items(extracted(spark, sf_dir), "entities"), "found")
+    sources = kept(numbered(found.select("source_doc").distinct(), "source_doc", kept), "sources")
+    place = F.row_number().over(Window.partitionBy("source_doc").orderBy("chunk_idx", "pos")).cast("long")
+    names = kept(extract.distinct_entities(found).join(sources, "source_doc").withColumn("n", place), "names")
+    none = [spark.createDataFrame([], x) for x in ("k long, n long, source string, target string", "node_seq long, name string, aliases array<string>")]
+    return batch.resolve_batch(names, *none, kept).names.select("source_doc", "name", "canonical", "how")
+
+
 # questions
 
 #: User turns, each with a part's name or a maker added in turn, so that names and aliases occur.
@@ -470,7 +487,7 @@ def list_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{EXTRACTED} select doc_id as source_doc, pos, chunk_idx, entity, md5(claim) as digest from claims where entity = 'The'")
 def claims_by_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = extract.items(extracted(spark, sf_dir), "claims").where(F.col("entity") == "The")
+    rows = graph.claims_of(extract.items(extracted(spark, sf_dir), "claims"), "The")
     return rows.select("source_doc", "pos", "chunk_idx", "entity", F.md5("claim").alias("digest"))
 
 
@@ -505,14 +522,14 @@ def eval_metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with w as (select doc_id, {WORDS.format('text')} as w from documents), g as (select item_id, {WORDS.format('text')} as w from benchmark)
- select doc_id, item_id, round(len(list_intersect(w.w, g.w)) / nullif(len(w.w), 0), 9) as overlap_precision, round(len(list_intersect(w.w, g.w)) / nullif(len(g.w), 0), 9) as overlap_recall from w join g on g.item_id = w.doc_id % 40"""
+    f"""with w as (select doc_id, {WORDS.format('text')} as w from documents), g as (select item_id, {WORDS.format('text')} as w, row_number() over (order by item_id) - 1 as place from benchmark where item_id is not null)
+ select doc_id, item_id, round(len(list_intersect(w.w, g.w)) / nullif(len(w.w), 0), 9) as overlap_precision, round(len(list_intersect(w.w, g.w)) / nullif(len(g.w), 0), 9) as overlap_recall from w join g on g.place = w.doc_id % (select count(*) from g)"""
 )
 def eval_context_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents meet all items in turn; the SQL names the 40 items of sf0.001 and sf0.01 and holds for those sizes."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ground_truth"))
-    ids = items.select("item_id").where("item_id is not null").distinct().orderBy("item_id")
-    places = spark.createDataFrame(ids.rdd.map(lambda r: r["item_id"]).zipWithIndex(), "item_id long, place long")
+    """Documents meet all items in turn."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("ground_truth")).where("item_id is not null")
+    ids = items.select("item_id")  # a benchmark's items are a few hundred numbers
+    places = ids.select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).cast("long").alias("place"))
     place = F.pmod("doc_id", F.lit(max(1, ids.count()))).alias("place")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("contexts_text"), place)
     got = evaluate.overlap(docs.join(items.join(places, "item_id"), "place"))
@@ -522,13 +539,9 @@ def eval_context_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{EXTRACTED} select doc_id as source_doc, chunk_idx, pos, entity, md5(claim) as digest from claims")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The claims of documents that arrive as a stream, appended batch by batch, once each."""
-    import tempfile
-    import uuid
-
     from ..streaming.ingest import append_once, arriving
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quernstone-stream-")
-    made, seen = (f"{shared}/{part}-{uuid.uuid4().hex}" for part in ("claims", "seen"))
+    made, seen = (f"{shared_folder(spark)}/{part}" for part in ("claims", "seen"))
     schema = table(spark, sf_dir, "documents").schema
 
     def told(docs: DataFrame) -> DataFrame:
