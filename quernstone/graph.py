@@ -21,9 +21,15 @@ from .operators import batch, extract, graph, question
 from .sources.documents import not_blank, not_ingested
 from .sources.state import State, to_json
 
+#: From a text column to a vector column, or an object with ``on_table`` (operators/ledger.py).
 Embed = Callable[[Column], Column]
 
 
+def embedded(rows: DataFrame, embed: Embed, text: str) -> DataFrame:
+    """``rows`` with ``embedding`` of column ``text``."""
+    return embed.on_table(rows, F.col(text), "embedding") if hasattr(embed, "on_table") else rows.withColumn("embedding", embed(F.col(text)))
+
+
 def hashed_vector(text: Column, size: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed counts of hashed words and of their three-letter pieces."""
     words = T.tokens(F.lower(text))
@@ -166,7 +172,7 @@ class BeliefGraph:
     def _ingested(self, readable: DataFrame, source: str, check: bool, now: str, t: dict[str, DataFrame], report: dict, kept: Callable[[DataFrame, str], DataFrame]) -> dict:
         found = kept(self.extractor(T.chunks(readable, "source_doc")), "found")
         # each name is sent to the embedding model once, whatever reads its vector
-        names = kept(extract.distinct_entities(extract.items(found, "entities")).withColumn("embedding", self.embed(F.col("name"))), "entities")
+        names = kept(embedded(extract.distinct_entities(extract.items(found, "entities")), self.embed, "name"), "entities")
         claims = extract.distinct_claims(extract.items(found, "claims"))
         edges = extract.distinct_relationships(extract.items(found, "relationships"))
         counts = {"entities_extracted": names.count(), "claims_extracted": claims.count(), "relationships_extracted": edges.count()}
@@ -211,7 +217,7 @@ class BeliefGraph:
         folded = resolved.groupBy(*same, F.lower("name").alias("_l")).agg(F.min("canonical").alias("_c"))
         told = claims.withColumn("_l", F.lower("entity")).join(folded, [*same, "_l"], "left").withColumn("entity", F.coalesce("_c", "entity")).drop("_l", "_c")
         ids = F.sha2(F.concat_ws("\x1f", "source_doc", "entity", "claim"), 256)
-        return told.withColumns({"id": ids, "ingested_at": F.lit(now), "embedding": self.embed(F.col("claim"))})
+        return embedded(told.withColumns({"id": ids, "ingested_at": F.lit(now)}), self.embed, "claim")
 
     @staticmethod
     def _claim_vectors(told: DataFrame) -> DataFrame:
@@ -241,7 +247,7 @@ class BeliefGraph:
         placed = lambda rows: rows.join(sources, "source_doc").withColumn("n", F.row_number().over(Window.partitionBy("source_doc").orderBy("chunk_idx", "pos")).cast("long"))
         names = kept(placed(extract.distinct_entities(extract.items(found, "entities"))), "entities")
         # a name that several documents have is sent to the embedding model once
-        vectors = kept(names.select("name").distinct().withColumn("embedding", self.embed(F.col("name"))), "vectors")
+        vectors = kept(embedded(names.select("name").distinct(), self.embed, "name"), "vectors")
         names = kept(names.join(vectors, "name"), "embedded")
         edges = kept(placed(extract.distinct_relationships(extract.items(found, "relationships"))), "edges")
         got = batch.resolve_batch(names, edges, t["entities"], kept, t["entity_vectors"], self.threshold)

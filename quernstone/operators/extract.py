@@ -43,16 +43,12 @@ def parsed(replies: DataFrame, column: str = "reply") -> DataFrame:
     return rows.withColumn("extraction", F.struct(*map(empty, schemas.EXTRACTION.fields))).drop("_x")
 
 
-def from_model(chunks: DataFrame, connect: Callable[[], Callable[[str], str]], tries: int = models.TRIES, wait: float = models.WAIT) -> DataFrame:
-    """Asks a model: ``connect`` makes a client on each executor, the client turns a chunk into JSON. A chunk without a usable
-    answer after ``tries`` calls has an empty extraction."""
+def from_model(chunks: DataFrame, connect: Callable[[], Callable], tries: int = models.TRIES, wait: float = models.WAIT, rules: str = models.EXTRACTION_RULES, ask: Callable[..., DataFrame] = models.asking) -> DataFrame:
+    """Asks a model: ``connect`` makes a chat client (messages, schema) in each task; it is sent the rules, the chunk and the schema of a reply. A chunk
+    without a usable answer after ``tries`` calls has an empty extraction. ``ask``: models.asking(), or a ledger's."""
     rows = chunks.select("source_doc", "chunk_idx", "chunk")
-
-    def chat():
-        ask = connect()
-        return lambda messages, schema: ask(messages[-1][1])
-
-    return parsed(models.asking(rows, lambda row: [("user", row["chunk"])], chat, schema="object", tries=tries, wait=wait)).drop("reply")
+    prompt = lambda row: [("system", rules), ("user", row["chunk"])]
+    return parsed(ask(rows, prompt, connect, schema=models.EXTRACTION_SCHEMA, tries=tries, wait=wait)).drop("reply")
 
 
 def items(extracted: DataFrame, part: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import schemas
+
 Messages = Sequence[tuple[str, str]]
 Chat = Callable[[Messages, object], str]
 Embedding = Callable[[list[str]], list[tuple[int, list[float]]]]
@@ -129,15 +131,15 @@ def asking(rows: DataFrame, prompt: Callable[[dict], Messages], connect: Callabl
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField(reply, T.StringType())]))
 
 
-def answerer(connect: Callable[[], Chat], system: str = "Answer from the context only, and cite the source of each statement in brackets.", **how) -> Callable[[DataFrame], DataFrame]:
-    """From question.contexts() to (qid, answer) by a model; a question whose call fails has no answer (null)."""
+def answerer(connect: Callable[[], Chat], system: str = "Answer from the context only, and cite the source of each statement in brackets.", ask: Callable[..., DataFrame] = asking, **how) -> Callable[[DataFrame], DataFrame]:
+    """From question.contexts() to (qid, answer) by a model; a question whose call fails has no answer (null). ``ask``: asking(), or a ledger's."""
     parts = (("Entities", "entities"), ("Claims", "claims"), ("Conflicts", "conflicts"), ("Relationships", "edges"))
 
     def prompt(row: dict) -> Messages:
         told = "\n\n".join(f"{title}:\n{row[part]}" for title, part in parts if row[part])
         return [("system", system), ("user", f"{told}\n\nQuestion: {row['question']}")]
 
-    return lambda contexts: asking(contexts, prompt, connect, "answer", **how).select("qid", "answer")
+    return lambda contexts: ask(contexts, prompt, connect, "answer", **how).select("qid", "answer")
 
 
 #: What a classifier's reply must look like.
@@ -145,16 +147,42 @@ VERDICT_SCHEMA = {
     "type": "object", "required": ["results"], "additionalProperties": False,
     "properties": {"results": {"type": "array", "items": {
         "type": "object", "required": ["new_claim_index", "existing_claim_index", "relation", "explanation"], "additionalProperties": False,
-        "properties": {"new_claim_index": {"type": "integer"}, "existing_claim_index": {"type": "integer"}, "relation": {"type": "string"}, "explanation": {"type": "string"}},
+        "properties": {"new_claim_index": {"type": "integer"}, "existing_claim_index": {"type": "integer"}, "relation": {"type": "string", "enum": [*schemas.VERDICTS]}, "explanation": {"type": "string"}},
     }}},
 }
 
 
-def classifier(connect: Callable[[], Chat], system: str = "Report the pairs of a new and an existing claim that contradict or refine each other, by their numbers.", **how) -> Callable[[DataFrame], DataFrame]:
-    """From graph.batch_questions() to the same rows with ``reply``; a batch whose call fails has none, and so no verdicts."""
+def classifier(connect: Callable[[], Chat], system: str = "Report the pairs of a new and an existing claim that contradict or refine each other, by their numbers.", ask: Callable[..., DataFrame] = asking, **how) -> Callable[[DataFrame], DataFrame]:
+    """From graph.batch_questions() to the same rows with ``reply``; a batch whose call fails has none, and so no verdicts. ``ask``: asking(), or a ledger's."""
 
     def prompt(row: dict) -> Messages:
         lines = lambda mark, part: "\n".join(f"{mark}{c['no']}. [{c['entity']}] {c['claim']} ({c['source_doc']})" for c in row[part])
         return [("system", system), ("user", f"New claims:\n{lines('N', 'new')}\n\nExisting claims:\n{lines('E', 'existing')}")]
 
-    return lambda batches: asking(batches, prompt, connect, schema=VERDICT_SCHEMA, **how)
+    return lambda batches: ask(batches, prompt, connect, schema=VERDICT_SCHEMA, **how)
+
+
+#: What an extractor's reply must look like: the three lists of schemas.EXTRACTION, with their closed vocabularies.
+EXTRACTION_SCHEMA = {
+    "type": "object", "required": ["entities", "claims", "relationships"], "additionalProperties": False,
+    "properties": {
+        "entities": {"type": "array", "items": {
+            "type": "object", "required": ["name", "type", "aliases"], "additionalProperties": False,
+            "properties": {"name": {"type": "string"}, "type": {"type": "string", "enum": [*schemas.ENTITY_TYPES]}, "aliases": {"type": "array", "items": {"type": "string"}}},
+        }},
+        "claims": {"type": "array", "items": {
+            "type": "object", "required": ["entity", "claim", "confidence"], "additionalProperties": False,
+            "properties": {"entity": {"type": "string"}, "claim": {"type": "string"}, "confidence": {"type": "string", "enum": [*schemas.CONFIDENCES]}},
+        }},
+        "relationships": {"type": "array", "items": {
+            "type": "object", "required": ["source", "target", "relation"], "additionalProperties": False,
+            "properties": {"source": {"type": "string"}, "target": {"type": "string"}, "relation": {"type": "string", "enum": [*schemas.RELATIONS]}},
+        }},
+    },
+}
+
+#: Told to an extractor beside the schema.
+EXTRACTION_RULES = """List what the text says, and nothing that it does not say.
+Entities: every concept, method, person, organization, dataset or metric that a claim or relationship names, under its full name, with other names that the text uses for it as aliases.
+Claims: one checkable statement each, complete without the text around it, about one of the entities; numbers and conditions stay in it. Confidence says whether the text states it, implies it or speculates about it.
+Relationships: pairs of the entities; contradicts is for findings that exclude each other, improves_upon for a comparison that the text makes."""

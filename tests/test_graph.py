@@ -83,7 +83,9 @@ def test_model_adapter_retries_and_gives_up(spark):
     def connect():
         seen = {}
 
-        def ask(chunk):
+        def ask(messages, schema):
+            chunk = messages[-1][1]
+            assert schema in (models.EXTRACTION_SCHEMA, "object") and messages[0][0] == "system"
             seen[chunk] = seen.get(chunk, 0) + 1
             if chunk == "bad" or seen[chunk] < 3:
                 raise OSError
