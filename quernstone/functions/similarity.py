@@ -23,6 +23,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, F.lit(0.0)).otherwise(dot / size)
 
 
+#: What product() returns.
+PAIR = "q long, seq long, sim double"
+
+
+def product(pdf: pd.DataFrame, k: int, group: bool, timed: bool) -> pd.DataFrame:
+    """The k best stored rows (side 1) of a tile for each of its queries (side 0), from columns side, key, grp, at and vec."""
+    a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("key")
+    if a.empty or b.empty:
+        return pd.DataFrame({"q": [], "seq": [], "sim": []})
+
+    def unit(rows: pd.DataFrame) -> np.ndarray:
+        m = np.stack(rows["vec"].to_numpy())
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    x, y = unit(a), unit(b)
+    seq, groups, out = b["key"].to_numpy(), b["grp"].to_numpy(), []
+    for at in range(0, len(x), 256):
+        sim = np.round(x[at : at + 256] @ y.T, 9)
+        if group:
+            mine = a["grp"].to_numpy()[at : at + 256]
+            named = np.array([bool(g) for g in mine])
+            sim[(mine[:, None] == groups[None, :]) & named[:, None]] = -np.inf
+        if timed:
+            sim[b["at"].to_numpy()[None, :] >= a["at"].to_numpy()[at : at + 256, None]] = -np.inf
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # stable: ties keep the order of seq
+        got = np.take_along_axis(sim, best, 1)
+        rows, cols = np.nonzero(got > -np.inf)
+        out.append(pd.DataFrame({"q": a["key"].to_numpy()[at + rows], "seq": seq[best[rows, cols]], "sim": got[rows, cols]}))
+    return pd.concat(out)
+
+
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """(q, seq, sim, rank): the k best of the tiles' best."""
+    order = Window.partitionBy("q").orderBy(F.desc("sim"), "seq")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def side(df: DataFrame, key: str, number: int, group: bool, timed: bool) -> DataFrame:
+    """Rows as product() takes them."""
+    of = F.col("grp").cast("string") if group else F.lit(None).cast("string")
+    at = F.col("at").cast("long") if timed else F.lit(0).cast("long")
+    return df.select(F.lit(number).alias("side"), F.col(key).cast("long").alias("key"), of.alias("grp"), at.alias("at"), F.col("vec").cast("array<double>").alias("vec"), *[c for c in ("cell",) if c in df.columns])
+
+
 def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_own_group: bool = False, tile: int = TILE) -> DataFrame:
     """(q, seq, sim, rank): the k stored vectors most similar to each query vector, exactly.
 
@@ -36,46 +81,14 @@ def nearest(queries: DataFrame, stored: DataFrame, k: int, exclude_own_group: bo
     group = "grp" in queries.columns and exclude_own_group
     timed = "at" in queries.columns and "at" in stored.columns
 
-    def pick(df: DataFrame, key: str, side: int) -> DataFrame:
-        of = F.col("grp").cast("string") if group else F.lit(None).cast("string")
-        at = F.col("at").cast("long") if timed else F.lit(0).cast("long")
-        return df.select(F.lit(side).alias("side"), F.col(key).cast("long").alias("key"), of.alias("grp"), at.alias("at"), F.col("vec").cast("array<double>").alias("vec"))
-
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
-    left = pick(queries, "q", 0).withColumn("i", own(counts[0])).withColumn("j", every(counts[1]))
-    right = pick(stored, "seq", 1).withColumn("j", own(counts[1])).withColumn("i", every(counts[0]))
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("key")
-        if a.empty or b.empty:
-            return pd.DataFrame({"q": [], "seq": [], "sim": []})
-
-        def unit(rows: pd.DataFrame) -> np.ndarray:
-            m = np.stack(rows["vec"].to_numpy())
-            n = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-        x, y = unit(a), unit(b)
-        seq, groups, out = b["key"].to_numpy(), b["grp"].to_numpy(), []
-        for at in range(0, len(x), 256):
-            sim = np.round(x[at : at + 256] @ y.T, 9)
-            if group:
-                mine = a["grp"].to_numpy()[at : at + 256]
-                named = np.array([bool(g) for g in mine])
-                sim[(mine[:, None] == groups[None, :]) & named[:, None]] = -np.inf
-            if timed:
-                sim[b["at"].to_numpy()[None, :] >= a["at"].to_numpy()[at : at + 256, None]] = -np.inf
-            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # stable: ties keep the order of seq
-            got = np.take_along_axis(sim, best, 1)
-            rows, cols = np.nonzero(got > -np.inf)
-            out.append(pd.DataFrame({"q": a["key"].to_numpy()[at + rows], "seq": seq[best[rows, cols]], "sim": got[rows, cols]}))
-        return pd.concat(out)
+    left = side(queries.drop("cell"), "q", 0, group, timed).withColumn("i", own(counts[0])).withColumn("j", every(counts[1]))
+    right = side(stored.drop("cell"), "seq", 1, group, timed).withColumn("j", own(counts[1])).withColumn("i", every(counts[0]))
 
     columns = ("side", "key", "grp", "at", "vec", "i", "j")
-    parts = left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInPandas(product, "q long, seq long, sim double")
-    order = Window.partitionBy("q").orderBy(F.desc("sim"), "seq")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    parts = left.select(*columns).unionByName(right.select(*columns)).groupBy("i", "j").applyInPandas(lambda pdf: product(pdf, k, group, timed), PAIR)
+    return ranked(parts, k)
 
 
 def unit_dot(a: Column, b: Column) -> Column:

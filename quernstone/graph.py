@@ -12,11 +12,14 @@ from contextlib import contextmanager
 from datetime import UTC, datetime
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.order import numbered, sums_before
+from .functions.similarity import nearest
+from .functions.vector_index import Cells, fit, in_cells, search
 from .operators import batch, extract, graph, question
 from .sources.documents import not_blank, not_ingested
 from .sources.state import State, to_json
@@ -38,6 +41,21 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda d: F.aggregate(hashes, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(size)) == d, F.when(h < 0, -1.0).otherwise(1.0)).otherwise(0.0)))
 
 
+#: Tables of vectors that may have an index, with their number.
+VECTORS = {"entity_vectors": "node_seq", "claim_vectors": "claim_seq"}
+
+
+def searching(cells: Cells | None) -> Callable[..., DataFrame]:
+    """nearest(), or where there is an index the search in it; stored vectors without a column ``cell`` get theirs."""
+    if cells is None:
+        return nearest
+
+    def find(queries: DataFrame, stored: DataFrame, k: int, exclude_own_group: bool = False) -> DataFrame:
+        return search(queries, stored if "cell" in stored.columns else in_cells(stored, cells), cells, k, exclude_own_group)
+
+    return find
+
+
 class BeliefGraph:
     def __init__(self, spark: SparkSession, path: str, extractor: Callable[[DataFrame], DataFrame] = extract.rules, embed: Embed = hashed_vector, classify: Callable[[DataFrame], DataFrame] = graph.default_classifier, answer: Callable[[DataFrame], DataFrame] = question.answers, threshold: float = graph.THRESHOLD, clock: Callable[[], str] | None = None):
         self.spark, self.state = spark, State(spark, path)
@@ -132,6 +150,26 @@ class BeliefGraph:
             self.state.remove(dealt)
         return out
 
+    def index_vectors(self, **how) -> dict[str, tuple[int, int] | None]:
+        """Gives the stored vectors an index, which later commits add to and later ingestion searches; returns each table's number of cells and of probes.
+
+        The vectors are written anew, in order of their cells; None: too few vectors for an index, which then are searched exactly, as all are without one. ``how``: as for vector_index.fit().
+        """
+        t, now = self.state.tables(), self.clock()
+        new, rows, told = {}, [], {}
+        for kind, seq in VECTORS.items():
+            cells = fit(t[kind].select(F.col(seq).alias("seq"), F.col("embedding").alias("vec")), **how)
+            new[kind] = in_cells(t[kind].drop("cell"), cells, "embedding").repartition("cell").sortWithinPartitions("cell")
+            rows += [] if cells is None else [(kind, i, cells.probes, c.tolist()) for i, c in enumerate(cells.centroids)]
+            told[kind] = cells and (len(cells.centroids), cells.probes)
+        new["centroids"] = self.spark.createDataFrame(rows, t["centroids"].schema)  # at most vector_index.CELLS a table
+        self.state.commit(new, replaced=tuple(new), time=now)
+        return told
+
+    def _cells(self, t: dict[str, DataFrame], kind: str) -> Cells | None:
+        rows = sorted(t["centroids"].where(F.col("kind") == kind).collect(), key=lambda r: r["cell"])
+        return Cells(np.array([r["vec"] for r in rows]), rows[0]["probes"]) if rows else None
+
     @staticmethod
     def _report(source: str | None) -> dict:
         return {"source": source, "entities_extracted": 0, "claims_extracted": 0, "relationships_extracted": 0, "conflicts_detected": 0, "skipped": True, "reason": None}
@@ -181,7 +219,8 @@ class BeliefGraph:
         last = self._last(t)
         # one document's rows are numbered together
         seq = lambda k, *order, after=0: F.lit(last[k] + after).cast("long") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-        resolved = kept(graph.resolve(names.select("name", "embedding"), t["entities"], t["entity_vectors"], self.threshold), "resolved")
+        cells = {kind: self._cells(t, kind) for kind in VECTORS}
+        resolved = kept(graph.resolve(names.select("name", "embedding"), t["entities"], t["entity_vectors"], self.threshold, searching(cells["entity_vectors"])), "resolved")
         # entities: those that the document names, merged with what is stored of them
         incoming = names.join(resolved.select("name", "canonical"), "name").withColumn("node_seq", seq("entities", "chunk_idx", "pos"))
         touched = t["entities"].join(incoming.select(F.col("canonical").alias("name")).distinct(), "name", "left_semi")
@@ -200,13 +239,13 @@ class BeliefGraph:
         told = kept(told, "told")
         new = {"entities": nodes.unionByName(bare.select(*nodes.columns)), "relationships": links, "claims": told.select(*t["claims"].columns)}
         if check:
-            conflicts = kept(self._conflicts(told, t, now, kept).withColumn("con_seq", seq("contradictions", "batch_id", "pos")), "conflicts")
+            conflicts = kept(self._conflicts(told, t, now, kept, cells["claim_vectors"]).withColumn("con_seq", seq("contradictions", "batch_id", "pos")), "conflicts")
             new["contradictions"] = conflicts.select(*t["contradictions"].columns)
             report |= {"conflicts_detected": conflicts.count()}
         # what could not be embedded is stored without a vector
         fresh = resolved.where("how = 'new'").select("name").join(incoming.select("name", "node_seq", "embedding"), "name").where("embedding is not null")
-        new["entity_vectors"] = fresh.select(*t["entity_vectors"].columns)
-        new["claim_vectors"] = self._claim_vectors(told)
+        new["entity_vectors"] = in_cells(fresh, cells["entity_vectors"], "embedding").select(*t["entity_vectors"].columns)
+        new["claim_vectors"] = self._claim_vectors(told, cells["claim_vectors"])
         report |= counts | {"skipped": False}
         new["ingest_log"] = self.spark.createDataFrame([report], t["ingest_log"].schema)
         self.state.commit(new, source=source, time=now)
@@ -220,8 +259,9 @@ class BeliefGraph:
         return embedded(told.withColumns({"id": ids, "ingested_at": F.lit(now)}), self.embed, "claim")
 
     @staticmethod
-    def _claim_vectors(told: DataFrame) -> DataFrame:
-        return told.select("claim_seq", "id", "entity", "source_doc", F.substring("claim", 1, 500).alias("claim_text"), "embedding").where("embedding is not null")
+    def _claim_vectors(told: DataFrame, cells: Cells | None) -> DataFrame:
+        rows = told.select("claim_seq", "id", "entity", "source_doc", F.substring("claim", 1, 500).alias("claim_text"), "embedding").where("embedding is not null")
+        return in_cells(rows, cells, "embedding")
 
     def ingest_batch(self, docs: DataFrame, check: bool = True, snapshot: str | None = None) -> DataFrame:
         """Ingests all documents of (source_doc, text) at once, in one commit: the graph is the one that ingest() makes of them one after the other.
@@ -250,7 +290,8 @@ class BeliefGraph:
         vectors = kept(embedded(names.select("name").distinct(), self.embed, "name"), "vectors")
         names = kept(names.join(vectors, "name"), "embedded")
         edges = kept(placed(extract.distinct_relationships(extract.items(found, "relationships"))), "edges")
-        got = batch.resolve_batch(names, edges, t["entities"], kept, t["entity_vectors"], self.threshold)
+        cells = {kind: self._cells(t, kind) for kind in VECTORS}
+        got = batch.resolve_batch(names, edges, t["entities"], kept, t["entity_vectors"], self.threshold, searching(cells["entity_vectors"]))
         # nodes: numbers go on where those of the document before end; a document ends at its last new node
         made = got.names.where("how = 'new'").select("k", "n").unionByName(got.bare.select("k", "n"))
         base = self._bases(sources, made, last["entities"])
@@ -274,14 +315,14 @@ class BeliefGraph:
         new = {"entities": nodes, "relationships": links, "claims": told.select(*t["claims"].columns)}
         conflicts = None
         if check:
-            rows = self._conflicts(told.withColumn("at", F.col("k")), self._with_batch(t, told), now, kept).join(sources, "source_doc")
+            rows = self._conflicts(told.withColumn("at", F.col("k")), self._with_batch(t, told, cells["claim_vectors"]), now, kept, cells["claim_vectors"]).join(sources, "source_doc")
             rows = kept(rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("batch_id", "pos")).cast("long")), "conflicts")
             base = self._bases(sources, rows.select("k", "n"), last["contradictions"])
             new["contradictions"] = rows.join(base, "k").withColumn("con_seq", F.col("base") + F.col("n")).select(*t["contradictions"].columns)
             conflicts = rows
         fresh = incoming.where("how = 'new' and embedding is not null")
-        new["entity_vectors"] = fresh.select(*t["entity_vectors"].columns)
-        new["claim_vectors"] = self._claim_vectors(told)
+        new["entity_vectors"] = in_cells(fresh, cells["entity_vectors"], "embedding").select(*t["entity_vectors"].columns)
+        new["claim_vectors"] = self._claim_vectors(told, cells["claim_vectors"])
         log = sources.select("k", F.col("source_doc").alias("source"))
         for name, rows in (("entities_extracted", names), ("claims_extracted", told), ("relationships_extracted", edges), ("conflicts_detected", conflicts)):
             counted = rows.groupBy("k").agg(F.count("*").alias(name)) if rows is not None else sources.select("k", F.lit(0).alias(name))
@@ -297,13 +338,13 @@ class BeliefGraph:
         return sums_before(sources.select("k").join(most, "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("n")), "k", "n", "base", last)
 
     @staticmethod
-    def _with_batch(t: dict[str, DataFrame], told: DataFrame) -> dict[str, DataFrame]:
+    def _with_batch(t: dict[str, DataFrame], told: DataFrame, cells: Cells | None) -> dict[str, DataFrame]:
         """The stored claims and vectors with those of a batch, which are there from document ``at`` on."""
-        vectors = BeliefGraph._claim_vectors(told).join(told.select("claim_seq", F.col("k").alias("at")), "claim_seq")
+        vectors = BeliefGraph._claim_vectors(told, cells).join(told.select("claim_seq", F.col("k").alias("at")), "claim_seq")
         both = t["claim_vectors"].withColumn("at", F.lit(-1).cast("long")).unionByName(vectors.select(*t["claim_vectors"].columns, "at"))
         return t | {"claims": t["claims"].unionByName(told.select(*t["claims"].columns)), "claim_vectors": both}
 
-    def _conflicts(self, told: DataFrame, t: dict[str, DataFrame], now: str, kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    def _conflicts(self, told: DataFrame, t: dict[str, DataFrame], now: str, kept: Callable[[DataFrame, str], DataFrame], cells: Cells | None) -> DataFrame:
         """Contradictions and refinements between a document's claims and the nearest stored ones of earlier documents.
 
         Hits lead to the earliest claim with their text and entity; new claims go to the classifier BATCH at a time, each batch with all
@@ -311,7 +352,7 @@ class BeliefGraph:
         have ``at``, only claims of a smaller one are candidates.
         """
         asked = told.where("embedding is not null").withColumn("q", F.col("claim_seq"))
-        hits = graph.similar_claims(asked.select("q", "source_doc", "embedding", *[c for c in ("at",) if c in told.columns]), t["claim_vectors"])
+        hits = graph.similar_claims(asked.select("q", "source_doc", "embedding", *[c for c in ("at",) if c in told.columns]), t["claim_vectors"], search=searching(cells))
         meant = hits.join(t["claim_vectors"].select(F.col("claim_seq").alias("seq"), "claim_text", "entity"), "seq")
         found = graph.hit_to_claim(meant, t["claims"]).select("q", "rank", "claim_seq")
         new = told.select(F.col("claim_seq").alias("q"), "source_doc", F.col("entity").alias("new_entity"), F.col("claim").alias("new_claim"))

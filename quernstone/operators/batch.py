@@ -78,23 +78,23 @@ def _look_up(rows: DataFrame, firsts: DataFrame, key: str, time: Column) -> Data
     return rows.join(held, then, "left").drop("_key", "t", "until")
 
 
-def _similar(open_: DataFrame, names: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+def _similar(open_: DataFrame, names: DataFrame, vectors: DataFrame, threshold: float, search: Callable[..., DataFrame]) -> DataFrame:
     """(k, n, node, node_born) for names (k, n, embedding) whose nearest vector of an earlier node reaches the threshold."""
     place = F.col("k") * _PLACES + F.col("n")
     stored = vectors.select((F.col("node_seq") - (1 << 62)).alias("seq"), F.lit(-1).cast("long").alias("at"), F.col("embedding").alias("vec"), F.col("name").alias("node"), born(F.lit(-1), F.col("node_seq")).alias("node_born"))
     new = names.where("how = 'new' and embedding is not null").select(place.alias("seq"), F.col("k").alias("at"), F.col("embedding").alias("vec"), F.col("name").alias("node"), F.col("born").alias("node_born"))
     every = stored.unionByName(new)
-    hits = nearest(open_.select(place.alias("q"), F.col("k").alias("at"), F.col("embedding").alias("vec")), every.select("seq", "at", "vec"), 1).where(F.col("sim") >= threshold)
+    hits = search(open_.select(place.alias("q"), F.col("k").alias("at"), F.col("embedding").alias("vec")), every.select("seq", "at", "vec"), 1).where(F.col("sim") >= threshold)
     found = hits.join(every.select("seq", "node", "node_born"), "seq")
     return found.select(F.floor(F.col("q") / _PLACES).alias("k"), F.pmod("q", F.lit(_PLACES)).alias("n"), "node", "node_born")
 
 
-def _names(names: DataFrame, before: DataFrame, firsts: DataFrame, vectors: DataFrame | None, threshold: float, kept: Kept) -> DataFrame:
+def _names(names: DataFrame, before: DataFrame, firsts: DataFrame, vectors: DataFrame | None, threshold: float, kept: Kept, search: Callable[..., DataFrame]) -> DataFrame:
     found = _look_up(names.withColumn("_low", F.lower("name")), firsts, "_low", 2 * F.col("k")).drop("_low")
     near = None
     if vectors is not None:
         found = kept(found, "found")
-        near = _similar(found.where("node is null and embedding is not null").select("k", "n", "embedding"), before, vectors, threshold)
+        near = _similar(found.where("node is null and embedding is not null").select("k", "n", "embedding"), before, vectors, threshold, search)
         found = found.join(near.select("k", "n", F.col("node").alias("_near"), F.col("node_born").alias("_near_born")), ["k", "n"], "left")
     else:
         found = found.withColumns({"_near": F.lit(None).cast("string"), "_near_born": F.lit(None).cast("struct<k:long,n:long>")})
@@ -128,7 +128,7 @@ def _bare(ends: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("name", "k", (F.coalesce("_names", F.lit(0)) + place).cast("long").alias("n"))
 
 
-def resolve_batch(names: DataFrame, edges: DataFrame, entities: DataFrame, kept: Kept, vectors: DataFrame | None = None, threshold: float = THRESHOLD) -> Resolution:
+def resolve_batch(names: DataFrame, edges: DataFrame, entities: DataFrame, kept: Kept, vectors: DataFrame | None = None, threshold: float = THRESHOLD, search: Callable[..., DataFrame] = nearest) -> Resolution:
     """``names``: k, n, name, aliases[, embedding], n numbering a document's names from 1; ``edges``: k, n, source, target, ...; ``entities`` and
     ``vectors``: what is stored. ``kept`` writes a table and reads it back. A name without an embedding is resolved by alias only."""
     entities = entities.select("node_seq", "name", "aliases")
@@ -138,7 +138,7 @@ def resolve_batch(names: DataFrame, edges: DataFrame, entities: DataFrame, kept:
     while True:
         rounds += 1
         firsts = kept(_first_holders(_holders(entities, now, bare)), "holders")
-        then = kept(_names(names, now, firsts, vectors, threshold, kept), "names")
+        then = kept(_names(names, now, firsts, vectors, threshold, kept, search), "names")
         after = kept(_first_holders(_holders(entities, then, bare)), "holders")
         ends = kept(_ends(edges, then, bare, entities, after), "ends")
         loose = kept(_bare(ends, then), "bare")

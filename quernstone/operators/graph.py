@@ -5,6 +5,8 @@ Rows have no order, so every table carries the sequence number that "first" and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +32,17 @@ def resolve_by_alias(names: DataFrame, entities: DataFrame, column: str = "name"
     return names.join(alias_index(entities), F.lower(F.col(column)) == F.col("key"), "left").drop("key")
 
 
-def resolve(names: DataFrame, entities: DataFrame, vectors: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def resolve(names: DataFrame, entities: DataFrame, vectors: DataFrame | None = None, threshold: float = THRESHOLD, search: Callable[..., DataFrame] = nearest) -> DataFrame:
     """(name, canonical, how): by alias, else by the nearest stored vector at ``threshold`` or above, else the name itself.
 
-    ``names``: name[, embedding]; a null embedding is only resolved by alias. ``vectors``: node_seq, name, embedding.
+    ``names``: name[, embedding]; a null embedding is only resolved by alias. ``vectors``: node_seq, name, embedding[, cell]. ``search``: nearest(), or an index's.
     """
     found = resolve_by_alias(names, entities)
     if vectors is None:
         return found.select("name", F.coalesce("canonical", "name").alias("canonical"), F.when(F.col("canonical").isNull(), "new").otherwise("alias").alias("how"))
     open_ = found.where("canonical is null and embedding is not null").select(F.xxhash64("name").alias("q"), "name", F.col("embedding").alias("vec"))
-    hits = nearest(open_.select("q", "vec"), vectors.select(F.col("node_seq").alias("seq"), F.col("embedding").alias("vec")), 1).where(F.col("sim") >= threshold)
+    stored = vectors.select(F.col("node_seq").alias("seq"), F.col("embedding").alias("vec"), *[c for c in ("cell",) if c in vectors.columns])
+    hits = search(open_.select("q", "vec"), stored, 1).where(F.col("sim") >= threshold)
     near = hits.join(vectors.select(F.col("node_seq").alias("seq"), F.col("name").alias("near")), "seq").join(open_.select("q", F.col("name").alias("_name")), "q").select("_name", "near")
     got = found.join(near, F.col("name") == F.col("_name"), "left")
     how = F.when(F.col("canonical").isNotNull(), "alias").when(F.col("near").isNotNull(), "vector").otherwise("new")
@@ -104,10 +107,10 @@ def claims_of(claims: DataFrame, name: str) -> DataFrame:
     return claims.where(F.col("entity") == name)
 
 
-def similar_claims(new: DataFrame, vectors: DataFrame, k: int = CANDIDATES) -> DataFrame:
+def similar_claims(new: DataFrame, vectors: DataFrame, k: int = CANDIDATES, search: Callable[..., DataFrame] = nearest) -> DataFrame:
     """(q, seq, sim, rank): the k nearest stored claims of other sources. ``new``: q, source_doc, embedding. Where both tables have ``at``, only claims of a smaller one count."""
-    side = lambda df, key, name: df.select(F.col(key).alias(name), F.col("source_doc").alias("grp"), F.col("embedding").alias("vec"), *[c for c in ("at",) if c in df.columns])
-    return nearest(side(new, "q", "q"), side(vectors, "claim_seq", "seq"), k, exclude_own_group=True)
+    side = lambda df, key, name: df.select(F.col(key).alias(name), F.col("source_doc").alias("grp"), F.col("embedding").alias("vec"), *[c for c in ("at", "cell") if c in df.columns])
+    return search(side(new, "q", "q"), side(vectors, "claim_seq", "seq"), k, exclude_own_group=True)
 
 
 def hit_to_claim(hits: DataFrame, claims: DataFrame, size: int = 500) -> DataFrame:

@@ -38,8 +38,9 @@ TABLES = {
     "relationships": struct(edge_seq=L, source=S, target=S, relation=S),
     "claims": struct(claim_seq=L, id=S, entity=S, claim=S, confidence=S, source_doc=S, ingested_at=S),
     "contradictions": struct(con_seq=L, existing_claim=STORED_CLAIM, new_claim=STORED_CLAIM, relation=S, explanation=S, detected_at=S),
-    "entity_vectors": struct(node_seq=L, name=S, embedding=T.ArrayType(D)),
-    "claim_vectors": struct(claim_seq=L, id=S, entity=S, source_doc=S, claim_text=S, embedding=T.ArrayType(D)),
+    "entity_vectors": struct(node_seq=L, name=S, embedding=T.ArrayType(D), cell=I),
+    "claim_vectors": struct(claim_seq=L, id=S, entity=S, source_doc=S, claim_text=S, embedding=T.ArrayType(D), cell=I),
+    "centroids": struct(kind=S, cell=I, probes=I, vec=T.ArrayType(D)),
     "ingest_log": struct(source=S, entities_extracted=L, claims_extracted=L, relationships_extracted=L, conflicts_detected=L, skipped=T.BooleanType(), reason=S),
 }
 

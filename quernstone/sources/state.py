@@ -84,14 +84,14 @@ class State:
         last = each.groupBy(*key).agg(F.max_by(F.struct(*schema.fieldNames()), "_part").alias("x"))
         return last.select("x.*")
 
-    def commit(self, new: dict[str, DataFrame], **note: str) -> str:
-        """Writes new and changed rows as parts, and a pointer to them after all parts there are; tables not in ``new`` stay."""
+    def commit(self, new: dict[str, DataFrame], replaced: tuple[str, ...] = (), **note: str) -> str:
+        """Writes new and changed rows as parts, and a pointer to them after all parts there are; tables not in ``new`` stay, those in ``replaced`` are only what is new."""
         version, before = uuid.uuid4().hex, self._read("current.json") or {"parts": {}}
         listed = dict(before["parts"])
         for name, rows in new.items():
             fields = schemas.TABLES[name].fields
             rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.parquet(f"{self.path}/parts/{version}/{name}")
-            listed[name] = [*listed.get(name, []), f"{version}/{name}"]
+            listed[name] = [*(listed.get(name, []) if name not in replaced else []), f"{version}/{name}"]
             if len(listed[name]) > PARTS:
                 self._merged(name, listed[name]).write.parquet(f"{self.path}/parts/{version}/{name}-whole")
                 listed[name] = [f"{version}/{name}-whole"]
