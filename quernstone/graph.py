@@ -23,6 +23,7 @@ from .functions.vector_index import Cells, fit, in_cells, search
 from .operators import batch, extract, graph, question
 from .sources.documents import not_blank, not_ingested
 from .sources.state import State, to_json
+from .sources.working import Working
 
 #: From a text column to a vector column, or an object with ``on_table`` (operators/ledger.py).
 Embed = Callable[[Column], Column]
@@ -80,7 +81,7 @@ class BeliefGraph:
 
     def contexts(self, questions: DataFrame, fuzzy: bool = True) -> DataFrame:
         t = self.state.tables()
-        return question.contexts(questions, t["entities"], t["relationships"], t["claims"], t["contradictions"], fuzzy)
+        return question.contexts(questions, t["entities"], t["relationships"], t["claims"], t["contradictions"], fuzzy, Working(self.spark, f"{self.state.path}/asked"))
 
     def ask(self, questions: DataFrame, fuzzy: bool = True) -> DataFrame:
         """(qid, answer)."""
@@ -88,7 +89,7 @@ class BeliefGraph:
 
     def ask_with_contexts(self, questions: DataFrame, fuzzy: bool = True) -> DataFrame:
         t = self.state.tables()
-        return question.answer_contexts(questions, t["entities"], t["claims"], t["contradictions"], fuzzy).join(self.ask(questions, fuzzy), "qid")
+        return question.answer_contexts(questions, t["entities"], t["claims"], t["contradictions"], fuzzy, Working(self.spark, f"{self.state.path}/asked")).join(self.ask(questions, fuzzy), "qid")
 
     def export(self, label: str | None = None) -> str:
         return to_json(self.state.tables(), label, self.clock() if label else None).first()["json"]

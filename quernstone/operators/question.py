@@ -97,11 +97,11 @@ def context_claims(questions: DataFrame, names: DataFrame, claims: DataFrame, fa
     return with_fallback(questions, got, claims) if fallback else got
 
 
-def context_pairs(questions: DataFrame, names: DataFrame, rows: DataFrame, one: str, other: str, fallback: bool = False) -> DataFrame:
-    """(qid, columns of rows): rows of which one side or the other is relevant, each once. Two equi-joins, not one with OR."""
-    side = lambda c: names.select("qid", "name").join(rows, F.col("name") == F.col(c)).select("qid", *rows.columns)
-    got = side(one).unionByName(side(other)).distinct()
-    return with_fallback(questions, got, rows) if fallback else got
+def context_pairs(names: DataFrame, rows: DataFrame, one: str, other: str, key: str) -> DataFrame:
+    """(qid, columns of rows): rows of which one side or the other is relevant, each once. Two equi-joins, not one with OR; they find the rows'
+    numbers (``key``, each row its own), and only what is left of those fetches the rows."""
+    found = lambda c: names.select("qid", "name").join(rows.select(key, F.col(c).alias("name")), "name").select("qid", key)
+    return found(one).unionByName(found(other)).distinct().join(rows, key).select("qid", *rows.columns)
 
 
 def joined(rows: DataFrame, line: Column, *order: str, key: str = "qid") -> DataFrame:
@@ -124,20 +124,21 @@ def claim_lines(names: DataFrame, claims: DataFrame, then: Callable[[DataFrame],
 def conflict_lines(names: DataFrame, conflicts: DataFrame, line: Column, then: Callable[[DataFrame], DataFrame] = lambda text: text) -> DataFrame:
     """(qid, text): conflicts (con_seq, e1, e2, ...) of which a side is one of the nodes; all conflicts where there is none."""
     asked = names.select("qid").distinct()
-    return once(asked, context_pairs(asked, names, conflicts, "e1", "e2"), conflicts, lambda told: then(joined(told, line, "con_seq")))
+    return once(asked, context_pairs(names, conflicts, "e1", "e2", "con_seq"), conflicts, lambda told: then(joined(told, line, "con_seq")))
 
 
 def edge_lines(names: DataFrame, edges: DataFrame) -> DataFrame:
     """(qid, text): edges that start or end at one of the nodes."""
-    found = context_pairs(names, names, edges, "source", "target")
+    found = context_pairs(names, edges, "source", "target", "edge_seq")
     return joined(found, F.concat("source", F.lit(" "), or_unknown(F.col("relation")), F.lit(" "), "target"), "edge_seq")
 
 
-def contexts(questions: DataFrame, entities: DataFrame, edges: DataFrame, claims: DataFrame, contradictions: DataFrame, fuzzy: bool = True) -> DataFrame:
+def contexts(questions: DataFrame, entities: DataFrame, edges: DataFrame, claims: DataFrame, contradictions: DataFrame, fuzzy: bool = True, kept: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """(qid, answerable, entities, claims, conflicts, edges): what an answer may draw on, as text.
 
     Entities, claims and contradictions fall back to all of them where a question has none; relationships do not. What all
-    questions without a relevant node draw on is put together once. ``answerable`` is false where no entity was relevant.
+    questions without a relevant node draw on is put together once. ``answerable`` is false where no entity was relevant. ``kept`` writes a
+    table and reads it back: what each question names is read by every part of its context.
     """
     flat = contradictions.select("con_seq", F.col("existing_claim.entity").alias("e1"), F.col("new_claim.entity").alias("e2"), conflict_line().alias("line"))
 
@@ -148,7 +149,7 @@ def contexts(questions: DataFrame, entities: DataFrame, edges: DataFrame, claims
             out = out.join(text.withColumnRenamed("text", name), "qid", "left").withColumn(name, F.coalesce(name, F.lit("")))
         return out
 
-    named = relevant(questions, entities, fuzzy).withColumn("known", F.lit(True))
+    named = kept(relevant(questions, entities, fuzzy), "named").withColumn("known", F.lit(True))
     got = once(questions, named, entities.select("name", "node_seq", F.lit(False).alias("known")), parts)
     out = questions.join(got, "qid", "left").withColumn("answerable", F.coalesce("answerable", F.lit(False)))
     return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("entities", "claims", "conflicts", "edges")})
@@ -165,13 +166,13 @@ def answers(context: DataFrame) -> DataFrame:
     return context.select("qid", F.when(F.col("answerable"), told).otherwise(REFUSAL).alias("answer"))
 
 
-def answer_contexts(questions: DataFrame, entities: DataFrame, claims: DataFrame, contradictions: DataFrame, fuzzy: bool = True) -> DataFrame:
+def answer_contexts(questions: DataFrame, entities: DataFrame, claims: DataFrame, contradictions: DataFrame, fuzzy: bool = True, kept: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """(qid, contexts): claims, then lines on contradictions; those have no fallback here."""
-    names = with_fallback(questions, relevant(questions, entities, fuzzy).select("qid", "name", "node_seq"), entities.select("name", "node_seq"))
+    names = with_fallback(questions, kept(relevant(questions, entities, fuzzy), "named").select("qid", "name", "node_seq"), entities.select("name", "node_seq"))
     said = F.concat(F.lit("["), or_unknown(F.col("source_doc")), F.lit("] "), or_unknown(F.col("entity")), F.lit(": "), or_unknown(F.col("claim")))
     told = context_claims(questions, names, claims).select("qid", F.lit(0).alias("k"), F.col("claim_seq").alias("i"), said.alias("claim"))
     flat = contradictions.select("con_seq", F.col("existing_claim.entity").alias("e1"), F.col("new_claim.entity").alias("e2"), F.concat(F.lit("CONFLICT: "), conflict_line()).alias("claim"))
-    against = context_pairs(questions, names, flat, "e1", "e2").select("qid", F.lit(1).alias("k"), F.col("con_seq").alias("i"), "claim")
+    against = context_pairs(names, flat, "e1", "e2", "con_seq").select("qid", F.lit(1).alias("k"), F.col("con_seq").alias("i"), "claim")
     got = told.unionByName(against).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "i", "claim"))), lambda x: x["claim"]).alias("contexts"))
     return questions.select("qid").join(got, "qid", "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
 

@@ -407,7 +407,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def told(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``made`` of the nodes that each question names; of all nodes, once, for those that name none."""
     q, n = asked(spark, sf_dir), nodes(spark, sf_dir)
-    return question.once(q, question.relevant(q, n, fuzzy=False).select("qid", "name"), n.select("name"), made)
+    named = Working(spark)(question.relevant(q, n, fuzzy=False).select("qid", "name"), "named")
+    return question.once(q, named, n.select("name"), made)
 
 
 def digest(text: DataFrame) -> DataFrame:

@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
         local = tempfile.mkdtemp(prefix="quernstone-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         at = f"file://{local}"
+    return passing_folder(spark, at)
+
+
+def passing_folder(spark: SparkSession, at: str) -> str:
+    """A new path below ``at``, which goes when the application ends."""
     path = f"{at.rstrip('/')}/{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -28,10 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Working:
-    """``kept`` for operators that read a table several times: it is written below a shared folder and read back."""
+    """``kept`` for operators that read a table several times: it is written below ``at``, by default the shared folder, and read back. It stays until the application ends."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path, self.made = spark, shared_folder(spark), 0
+    def __init__(self, spark: SparkSession, at: str | None = None):
+        self.spark, self.path, self.made = spark, shared_folder(spark) if at is None else passing_folder(spark, at), 0
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         self.made += 1
