@@ -3,10 +3,11 @@
 A group is a (lang, source); each kept term of a language has a share p in each of its groups, with one added to every count, so the
 divergence of two groups sums over all kept terms, those neither has included. The terms are split by the number of groups they occur in:
 
+All terms are first counted as if no group had them, which is one product a pair of groups; what follows are differences from that.
+
 * **Heavy** terms stand in more than LIGHT groups. They are dealt to tiles, each of two blocks of groups and a slice of the terms; a tile is a dense matrix
   of shares and gives the sums of all its pairs of groups.
-* **Light** terms are counted as if no group had them, which is one product a pair. Each posting then corrects the pairs of its group with
-  all others: those corrections depend on the posting's count only, so a group's postings enter as a histogram of counts, again in tiles.
+* A posting of a **light** term corrects the pairs of its group with all others: those corrections depend on the posting's count only, so a group's postings enter as a histogram of counts, again in tiles.
   Where two groups share a light term both corrections were made as if the other one lacked it; that is put right for the pairs of the
   term's posting list, which has LIGHT entries at most.
 
@@ -94,8 +95,8 @@ def tile(pdf: pd.DataFrame) -> pd.DataFrame:
     nil = shares(np.zeros(len(g), np.int64), size)
     out = np.zeros((len(g), len(g)), np.int64)
     if pdf["slice"].iat[0] == 0:
-        # all light terms, as if no group had them
-        out += known["light"].to_numpy()[:, None] * divergence(nil[:, None], nil[None, :])
+        # all terms, as if no group had them
+        out += known["v"].to_numpy()[:, None] * divergence(nil[:, None], nil[None, :])
     heavy = pdf[pdf["kind"] == 1]
     if len(heavy):
         term, _ = pd.factorize(heavy["term"])
@@ -103,8 +104,9 @@ def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         counts[term, np.searchsorted(g, heavy["g"].to_numpy())] = heavy["n"].to_numpy()
         p = shares(counts, size[None, :])
         for i in range(len(g)):
-            others = p if lo == hi else p[:, block != block[i]]
-            out[i, slice(None) if lo == hi else block != block[i]] += divergence(p[:, i : i + 1], others).sum(axis=0)
+            others = np.ones(len(g), bool) if lo == hi else block != block[i]
+            # a term that neither block has is in no tile of theirs
+            out[i, others] += divergence(p[:, i : i + 1], p[:, others]).sum(axis=0) - len(p) * divergence(nil[i], nil[others])
     light = pdf[pdf["kind"] == 2]
     if len(light):
         at = np.searchsorted(g, light["g"].to_numpy())
@@ -192,8 +194,8 @@ def source_divergence(df: DataFrame, docs: int = DOCS, ranks: int = RANKS, light
         "v": F.sum("lead").over(lang), "heavy": F.sum("heavy").over(lang), "all_size": F.sum("size").over(lang), "n_groups": F.count("*").over(lang), "g": (F.row_number().over(lang.orderBy("source")) - 1).cast("long"),
     })
     every = every.withColumns({"block": F.floor(F.col("g") / groups), "blocks": F.ceil(F.col("n_groups") / groups), "slices": F.greatest(F.ceil(F.col("heavy") / terms), F.lit(1))})
-    every = every.withColumns({"size": F.col("size") + F.col("v"), "all_size": F.col("all_size") + F.col("v"), "light": F.col("v") - F.col("heavy")})
-    every = scratch.save(every.select("lang", "source", "g", "size", "all_size", "v", "light", "block", "blocks", "slices"), "divergence-groups")
+    every = every.withColumns({"size": F.col("size") + F.col("v"), "all_size": F.col("all_size") + F.col("v")})
+    every = scratch.save(every.select("lang", "source", "g", "size", "all_size", "v", "block", "blocks", "slices"), "divergence-groups")
     told = kept.join(every, ["lang", "source"])
 
     # part "term"
@@ -204,10 +206,10 @@ def source_divergence(df: DataFrame, docs: int = DOCS, ranks: int = RANKS, light
 
     # part "pair"
     none = {"term": F.lit(None).cast("string"), "n": F.lit(0).cast("long"), "times": F.lit(0).cast("long")}
-    held = ["lang", "g", "block", "blocks", "slice", "kind", "term", "n", "times", "size", "light"]
+    held = ["lang", "g", "block", "blocks", "slice", "kind", "term", "n", "times", "size", "v"]
     whole = every.withColumns(none | {"kind": F.lit(0), "slice": F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))}).select(*held)
     heavy = told.where(F.col("spread") > light).withColumns({"kind": F.lit(1), "times": F.lit(1).cast("long"), "slice": F.pmod(F.xxhash64("term"), F.col("slices"))}).select(*held)
-    few = told.where(F.col("spread") <= light).groupBy("lang", "g", "block", "blocks", "slices", "size", "light", "n").agg(F.count("*").alias("times"))
+    few = told.where(F.col("spread") <= light).groupBy("lang", "g", "block", "blocks", "slices", "size", "v", "n").agg(F.count("*").alias("times"))
     few = few.withColumns({"kind": F.lit(2), "term": none["term"], "slice": F.pmod(F.xxhash64("g", "n"), F.col("slices"))}).select(*held)
     other = whole.unionByName(heavy).unionByName(few).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = other.withColumns({"lo": F.least("block", "_b"), "hi": F.greatest("block", "_b")}).drop("_b", "blocks")
