@@ -72,6 +72,7 @@ def test_page_escapes_what_texts_hold(spark, graph):
     evil = spark.createDataFrame([(99, "</script><b>", None, [])], tables["entities"].schema)
     html = report.page(tables | {"entities": tables["entities"].unionByName(evil)})
     assert html.count("</script>") == 1 and "\\u003c/script\\u003e" in html
+    assert all(f'"{k}": "#' in html for k in (*schemas.RELATIONS, *schemas.ENTITY_TYPES)) and 'id="legend"' in html
     data = report.payload(tables)
     assert data["counts"]["contradictions"] == 1 and data["counts"]["nodes"] == graph.entities().count()
 
