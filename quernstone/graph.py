@@ -156,6 +156,7 @@ class BeliefGraph:
 
         The vectors are written anew, in order of their cells; None: too few vectors for an index, which then are searched exactly, as all are without one. ``how``: as for vector_index.fit().
         """
+        base = self.state.version()
         t, now = self.state.tables(), self.clock()
         new, rows, told = {}, [], {}
         for kind, seq in VECTORS.items():
@@ -164,7 +165,7 @@ class BeliefGraph:
             rows += [] if cells is None else [(kind, i, cells.probes, c.tolist()) for i, c in enumerate(cells.centroids)]
             told[kind] = cells and (len(cells.centroids), cells.probes)
         new["centroids"] = self.spark.createDataFrame(rows, t["centroids"].schema)  # at most vector_index.CELLS a table
-        self.state.commit(new, replaced=tuple(new), time=now)
+        self.state.commit(new, replaced=tuple(new), base=base, time=now)
         return told
 
     def _cells(self, t: dict[str, DataFrame], kind: str) -> Cells | None:
@@ -198,6 +199,7 @@ class BeliefGraph:
 
     def ingest_one(self, doc: DataFrame, source: str, check: bool = True) -> dict:
         """Ingests the rows of one document. Only what it adds or changes is written."""
+        base = self.state.version()
         now, t = self.clock(), self.state.tables()
         report = self._report(source)
         if not t["ingest_log"].where((F.col("source") == source) & ~F.col("skipped")).isEmpty():
@@ -206,9 +208,9 @@ class BeliefGraph:
         if readable.isEmpty():
             return report | {"reason": "blank"}
         with self._working() as kept:
-            return self._ingested(readable, source, check, now, t, report, kept)
+            return self._ingested(readable, source, check, now, t, report, kept, base)
 
-    def _ingested(self, readable: DataFrame, source: str, check: bool, now: str, t: dict[str, DataFrame], report: dict, kept: Callable[[DataFrame, str], DataFrame]) -> dict:
+    def _ingested(self, readable: DataFrame, source: str, check: bool, now: str, t: dict[str, DataFrame], report: dict, kept: Callable[[DataFrame, str], DataFrame], base: str | None) -> dict:
         found = kept(self.extractor(T.chunks(readable, "source_doc")), "found")
         # each name is sent to the embedding model once, whatever reads its vector
         names = kept(embedded(extract.distinct_entities(extract.items(found, "entities")), self.embed, "name"), "entities")
@@ -249,7 +251,7 @@ class BeliefGraph:
         new["claim_vectors"] = self._claim_vectors(told, cells["claim_vectors"])
         report |= counts | {"skipped": False}
         new["ingest_log"] = self.spark.createDataFrame([report], t["ingest_log"].schema)
-        self.state.commit(new, source=source, time=now)
+        self.state.commit(new, base=base, source=source, time=now)
         return report
 
     def _told(self, claims: DataFrame, resolved: DataFrame, now: str, *same: str) -> DataFrame:
@@ -271,15 +273,16 @@ class BeliefGraph:
         All steps are set-parallel; their number grows with the longest chain of changes in resolution (operators/batch.py), not with the documents.
         ``snapshot``: a label under which the version is kept.
         """
+        base = self.state.version()
         now, t = self.clock(), self.state.tables()
         done = t["ingest_log"].where("not skipped").select(F.col("source").alias("source_doc"))
         with self._working() as kept:
-            log = self._batch(not_ingested(not_blank(docs.where("source_doc is not null").select("source_doc", "text")), done), check, now, t, kept)
+            log = self._batch(not_ingested(not_blank(docs.where("source_doc is not null").select("source_doc", "text")), done), check, now, t, kept, base)
             if snapshot is not None:
                 self.snapshot(snapshot)
         return self.table("ingest_log").join(log, "source", "left_semi") if log is not None else t["ingest_log"].limit(0)
 
-    def _batch(self, readable: DataFrame, check: bool, now: str, t: dict[str, DataFrame], kept: Callable[[DataFrame, str], DataFrame]) -> DataFrame | None:
+    def _batch(self, readable: DataFrame, check: bool, now: str, t: dict[str, DataFrame], kept: Callable[[DataFrame, str], DataFrame], version: str | None) -> DataFrame | None:
         found = kept(self.extractor(T.chunks(readable, "source_doc")), "found")
         sources = kept(numbered(extract.worth_keeping(found), "source_doc", kept), "sources")
         if sources.isEmpty():
@@ -329,7 +332,7 @@ class BeliefGraph:
             counted = rows.groupBy("k").agg(F.count("*").alias(name)) if rows is not None else sources.select("k", F.lit(0).alias(name))
             log = log.join(counted, "k", "left").withColumn(name, F.coalesce(name, F.lit(0)))
         new["ingest_log"] = log.withColumns({"skipped": F.lit(False), "reason": F.lit(None).cast("string")})
-        self.state.commit(new, time=now)
+        self.state.commit(new, base=version, time=now)
         return self.spark.read.schema("source string").parquet(f"{self.state.path}/parts/{self.state.version()}/ingest_log")
 
     @staticmethod

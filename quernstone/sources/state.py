@@ -5,15 +5,19 @@ parts of every table. Parts are complete before the pointer names them, and the
 see a whole version or the one before, vectors and log included; a crash in between leaves parts that nothing names. So a
 commit costs what it adds. In the tables that have a key (schemas.KEYS) a later part's row replaces an earlier one's. A table of
 more than PARTS parts is written anew as one, every PARTS-th time it changes. Files are reached through Hadoop's file system, so
-the state may lie in any store that Spark writes. Snapshots keep a version's list of parts under a label.
+the state may lie in any store that Spark writes. Snapshots keep a version's list of parts under a label; vacuum() deletes what no list names. A commit
+that builds on a version which another writer has replaced meanwhile fails.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from functools import reduce
+from types import EllipsisType
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,14 @@ from ..operators import schemas
 PARTS = 16
 
 
+#: Seconds after which a writer that claimed a version and did not replace it counts as dead.
+LEASE = 3600
+
+
+class Moved(RuntimeError):
+    """Another writer has replaced, or is replacing, the version that a commit builds on."""
+
+
 class State:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -84,9 +96,39 @@ class State:
         last = each.groupBy(*key).agg(F.max_by(F.struct(*schema.fieldNames()), "_part").alias("x"))
         return last.select("x.*")
 
-    def commit(self, new: dict[str, DataFrame], replaced: tuple[str, ...] = (), **note: str) -> str:
-        """Writes new and changed rows as parts, and a pointer to them after all parts there are; tables not in ``new`` stay, those in ``replaced`` are only what is new."""
-        version, before = uuid.uuid4().hex, self._read("current.json") or {"parts": {}}
+    def commit(self, new: dict[str, DataFrame], replaced: tuple[str, ...] = (), base: str | None | EllipsisType = ..., **note: str) -> str:
+        """Writes new and changed rows as parts, and a pointer to them after all parts there are; tables not in ``new`` stay, those in ``replaced`` are only what is new.
+
+        ``base``: the version that ``new`` was made from (None: an empty graph). If that is no longer the current one, Moved is raised and nothing
+        changes; so of two writers that read the same version one fails and neither update is lost. Not given: whatever is current.
+        """
+        before = self._read("current.json") or {"parts": {}}
+        found = before.get("version")
+        if base is not ... and base != found:
+            raise Moved(f"the graph moved from {base} to {found}")
+        claim = self._claim(found)
+        try:
+            if self.version() != found:
+                raise Moved(f"the graph moved from {found} to {self.version()}")
+            return self._commit(new, replaced, before, note)
+        finally:
+            self._fs().delete(claim, False)
+
+    def _claim(self, version: str | None):
+        """A file that only one writer at a time can make; who has it may replace ``version``."""
+        claim, fs = self._at(f"claim-{version or 'first'}"), self._fs()
+        if fs.exists(claim) and fs.getFileStatus(claim).getModificationTime() < (time.time() - LEASE) * 1000:
+            fs.delete(claim, False)
+        try:
+            fs.create(claim, False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in str(e.java_exception.getClass().getName()):
+                raise
+            raise Moved(f"another writer is replacing {version}") from None
+        return claim
+
+    def _commit(self, new: dict[str, DataFrame], replaced: tuple[str, ...], before: dict, note: dict[str, str]) -> str:
+        version = uuid.uuid4().hex
         listed = dict(before["parts"])
         for name, rows in new.items():
             fields = schemas.TABLES[name].fields
@@ -98,10 +140,10 @@ class State:
         self._write("current.json", {"version": version, "parts": listed, **note})
         return version
 
-    def snapshot(self, label: str, time: str) -> None:
+    def snapshot(self, label: str, when: str) -> None:
         """Keeps the current version under ``label``."""
         now = self._read("current.json") or {"version": None, "parts": {}}
-        self._write(f"snapshot_{label}.json", {"version": now["version"], "parts": now["parts"], "snapshot_label": label, "snapshot_time": time})
+        self._write(f"snapshot_{label}.json", {"version": now["version"], "parts": now["parts"], "snapshot_label": label, "snapshot_time": when})
 
     def at_snapshot(self, label: str) -> dict[str, DataFrame]:
         found = self._read(f"snapshot_{label}.json")
@@ -109,6 +151,20 @@ class State:
             raise KeyError(label)
         return self.tables(found)
 
+    def vacuum(self, older_than: float = 24 * 3600) -> int:
+        """Deletes parts that neither the current version nor a snapshot names and that are older than so many seconds (readers may still use them before); returns how many."""
+        fs, limit, gone = self._fs(), (time.time() - older_than) * 1000, 0
+        kept: set[str] = set()
+        for status in fs.globStatus(self._at("current.json")) or []:
+            kept |= {p for parts in self._read(status.getPath().getName())["parts"].values() for p in parts}
+        for status in fs.globStatus(self._at("snapshot_*.json")) or []:
+            kept |= {p for parts in self._read(status.getPath().getName())["parts"].values() for p in parts}
+        for status in fs.globStatus(self._at("parts/*/*")) or []:
+            part = f"{status.getPath().getParent().getName()}/{status.getPath().getName()}"
+            if part not in kept and status.getModificationTime() < limit:
+                gone += bool(fs.delete(status.getPath(), True))
+        return gone
+
     def reset(self) -> None:
         """Graph, vectors and log are empty afterwards; snapshots stay."""
         self._fs().delete(self._at("current.json"), False)

@@ -188,3 +188,28 @@ def test_engine_asks_a_classifier_in_batches(spark, tmp_path):
     blind = BeliefGraph(spark, f"file://{tmp_path}/h", embed=lambda c: F.lit(None).cast("array<double>"), clock=lambda: "t")
     got = blind.ingest(spark.createDataFrame([("a.txt", ONE), ("b.txt", TWO)], "source_doc string, text string"))
     assert got[1]["conflicts_detected"] == 0 and blind.table("claims").count() == 5 and blind.table("claim_vectors").count() == 0
+
+
+def test_of_two_writers_one_fails_and_old_parts_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "PARTS", 2)
+    one, other = (state.State(spark, f"file://{tmp_path}/s") for _ in range(2))
+    claim = lambda i: {"claims": spark.createDataFrame([(i, f"i{i}", "e", "c", None, "d", "t")], schemas.TABLES["claims"])}
+    one.commit(claim(0), base=None)
+    read = other.version()
+    one.commit(claim(1), base=one.version())
+    with pytest.raises(state.Moved):
+        other.commit(claim(2), base=read)
+    assert sorted(r["claim_seq"] for r in one.tables()["claims"].collect()) == [0, 1]
+    # one that is under way keeps others out, until it counts as dead
+    held = other._claim(other.version())
+    with pytest.raises(state.Moved):
+        one.commit(claim(3), base=one.version())
+    monkeypatch.setattr(state, "LEASE", -1)
+    one.commit(claim(3), base=one.version())
+    assert not other._fs().exists(held)
+    one.snapshot("three", "t")
+    one.commit(claim(4))
+    assert one.vacuum() == 0  # readers may still use what is young
+    gone = one.vacuum(older_than=-1)
+    assert gone == 3 and sorted(r["claim_seq"] for r in one.tables()["claims"].collect()) == [0, 1, 3, 4]
+    assert one.at_snapshot("three")["claims"].count() == 3 and one.vacuum(older_than=-1) == 0
