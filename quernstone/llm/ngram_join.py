@@ -9,8 +9,9 @@ such an n-gram:
 2. members that this links are one component. Groups that still hold several are put together by their largest component;
    what is outside it is compared with all, in tiles of bounded size ordered and banded by set size (sizes far apart cannot
    link);
-3. a comparison first bounds the overlap from above by bit counts: each bit that differs between two signatures is an
-   element of one set only. What survives is decided by intersecting the sorted arrays exactly.
+3. a comparison first bounds the overlap from above by bit counts: a bit is the parity of the elements that fall on it, so each bit
+   that differs between two signatures is an element of one set only. What survives is decided by intersecting the sorted arrays
+   exactly, in tiles of bounded bytes that get each document's array once, however many of their pairs it is in.
 
 Copies cost one comparison each, and no link between components is lost, so components are exact.
 
@@ -34,10 +35,14 @@ from .components import components
 #: N-grams whose frequency is known to every task; the order of all others is their hash. It only affects speed.
 FREQUENT = 300_000
 #: Members of a tile.
-TILE = 256
+TILE = 1024
+#: Members up to which a plain loop over pairs is faster.
+FEW = 128
+#: N-grams of one side of a tile in which pairs are decided.
+BLOCK = 2_000_000
 BITS = (64, 32768)
-#: Bits of a signature for each element: the more, the closer the bound.
-SPARSE = 4
+#: Bits of a signature for each element, at least: the more, the closer the bound.
+SPARSE = 1
 
 
 @dataclass(frozen=True)
@@ -57,16 +62,15 @@ class Likeness:
 
 
 def signature(grams: np.ndarray) -> bytes:
-    """A bitmap with some bits for each element; a larger one folds to a smaller one by halves."""
+    """The parity of the elements on each bit; a larger one folds to a smaller one by halves."""
     bits = min(BITS[1], max(BITS[0], 1 << int(SPARSE * len(grams) - 1).bit_length()))
-    on = np.zeros(bits, np.uint8)
-    on[(grams & np.uint64(bits - 1)).astype(np.int64)] = 1
+    on = (np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(on, bitorder="little").tobytes()
 
 
 def fold(sig: np.ndarray, size: int) -> np.ndarray:
-    """The last axis of uint8 words folded to ``size`` bytes."""
-    return sig if sig.shape[-1] == size else np.bitwise_or.reduce(sig.reshape(*sig.shape[:-1], -1, size), axis=-2)
+    """The last axis folded to ``size`` words."""
+    return sig if sig.shape[-1] == size else np.bitwise_xor.reduce(sig.reshape(*sig.shape[:-1], -1, size), axis=-2)
 
 
 def most_shared(a: np.ndarray, b: np.ndarray, na, nb):
@@ -96,6 +100,7 @@ def _frequent(docs: DataFrame, like: Likeness, owner: str) -> tuple[np.ndarray,
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     top = every.where(F.col("k") >= least).toPandas()
+    scratch.drop(docs.sparkSession, every)
     h = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
     return h[order], top["c"].to_numpy(np.int64)[order]
@@ -139,15 +144,20 @@ def _bounded(pairs: DataFrame, marks: DataFrame, like: Likeness) -> DataFrame:
     return wide.mapInArrow(bound, "a long, b long").distinct()
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, like: Likeness, owner: str) -> DataFrame:
-    """Pairs whose exact intersection links them; whole texts of their documents are read again."""
+def _sets(pairs: DataFrame, docs: DataFrame, like: Likeness, owner: str) -> DataFrame:
+    """(doc_id, grams) of the pairs' documents, whose whole texts are read again."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def sets(batches):
         for rows, data, offsets in blocks.blocks(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), blocks.lists(list(blocks.shingles(data, offsets, like.n)), pa.int64())], names=["doc_id", "grams"])
 
-    held = scratch.save(docs.join(ids.hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, grams array<long>"), "sets", owner)
+    return scratch.save(docs.join(ids.hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, grams array<long>"), "sets", owner)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, like: Likeness, owner: str) -> DataFrame:
+    """Pairs whose exact intersection links them. Sets travel with each pair, so there should be few of a document."""
+    held = _sets(pairs, docs, like, owner)
 
     def intersect(batches):
         for rows in batches:
@@ -163,7 +173,56 @@ def _linked(pairs: DataFrame, docs: DataFrame, like: Likeness, owner: str) -> Da
 
     of = lambda a, x: held.select(F.col("doc_id").alias(a), F.col("grams").alias(x))
     found = pairs.join(of("a", "x").hint("merge"), "a").join(of("b", "y").hint("merge"), "b").mapInArrow(intersect, "a long, b long").distinct()
-    return scratch.save(found, "links", owner)
+    found = scratch.save(found, "links", owner)
+    scratch.drop(docs.sparkSession, held)
+    return found
+
+
+def _linked_in_tiles(pairs: DataFrame, docs: DataFrame, like: Likeness, owner: str) -> DataFrame:
+    """Links that connect what the pairs (a, b) link, decided exactly tile by tile.
+
+    Documents that pairs connect are a family, dealt to blocks of about BLOCK n-grams; two blocks of a family are a tile. It gets the sets of its documents
+    once each and then its pairs; one that links found before already connect is not compared."""
+    held = _sets(pairs, docs, like, owner)
+    family = scratch.save(components(pairs, owner).withColumnRenamed("node", "doc_id"), "families", owner)
+    counts = family.join(held.select("doc_id", F.size("grams").alias("n")).hint("merge"), "doc_id").groupBy("component").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("p"))
+    placed = family.join(counts.hint("merge"), "component").select("component", "p", F.pmod(F.xxhash64("doc_id"), "p").alias("i"), F.col("doc_id").alias("a"))
+    met = pairs.join(placed.hint("merge"), "a").withColumn("j", F.pmod(F.xxhash64("b"), "p"))
+    pairs = scratch.save(met.select(F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "a", "b"), "tiles", owner)
+    ids = pairs.select("key", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    sets = ids.join(held.hint("merge"), "doc_id").select("key", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), none("long").alias("b"), "grams")
+    rows = sets.unionByName(pairs.select("key", F.lit(1).alias("kind"), "a", "b", none("array<long>").alias("grams")))
+
+    def decide(batches):
+        key, known, root = None, {}, {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            grams = batch.column(4)
+            values, at = grams.values.to_numpy(zero_copy_only=False), grams.offsets.to_numpy()
+            out = ([], [])
+            for i, (k, kind, a, b) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+                if k != key:
+                    key, known, root = k, {}, {}
+                if kind == 0:
+                    known.setdefault(a, []).append(values[at[i] : at[i + 1]].copy())
+                elif top(a) != top(b) and any(len(np.intersect1d(x, y, assume_unique=True)) >= like.least(len(x), len(y)) for x in known[a] for y in known[b]):
+                    root[top(a)] = top(b)
+                    out[0].append(a)
+                    out[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    found = rows.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(decide, "a long, b long").distinct()
+    found = scratch.save(found, "links", owner)
+    for used in (held, family, pairs):
+        scratch.drop(docs.sparkSession, used)
+    return found
 
 
 def _tiles(members: DataFrame, like: Likeness) -> DataFrame:
@@ -188,7 +247,7 @@ def _tiles(members: DataFrame, like: Likeness) -> DataFrame:
     def run(batches):
         for tile in _sorted_groups(batches):
             a, b = _compare(tile, like)
-            if a:
+            if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return rows.repartition("key").sortWithinPartitions("key", "side", "n").mapInArrow(run, "a long, b long").where("a <> b").distinct()
@@ -208,8 +267,10 @@ def _sorted_groups(batches):
         yield held
 
 
-def _compare(tile: list, like: Likeness) -> tuple[list[int], list[int]]:
+def _compare(tile: list, like: Likeness) -> tuple[list[int] | np.ndarray, list[int] | np.ndarray]:
     """Pairs (smaller doc_id, larger) of the tile that sizes and bit counts allow."""
+    if len(tile) > FEW:
+        return _compare_many(tile, like)
     out: tuple[list[int], list[int]] = ([], [])
     bits = [(int.from_bytes(r[3], "little"), len(r[3]) * 8) for r in tile]
     edge = sum(r[0] == 0 for r in tile)
@@ -229,33 +290,63 @@ def _compare(tile: list, like: Likeness) -> tuple[list[int], list[int]]:
             size, size2 = wide, bits[y][1]
             while size > size2:
                 size //= 2
-                p = (p >> size) | (p & ((1 << size) - 1))
+                p = (p >> size) ^ (p & ((1 << size) - 1))
             while size2 > size:
                 size2 //= 2
-                q = (q >> size2) | (q & ((1 << size2) - 1))
+                q = (q >> size2) ^ (q & ((1 << size2) - 1))
             if (n + n2 - (p ^ q).bit_count()) // 2 >= like.least(n, n2):
                 out[0].append(min(doc, doc2))
                 out[1].append(max(doc, doc2))
     return out
 
 
+def _compare_many(tile: list, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """_compare() of a large tile, a row against all others at once. Rows are in order of (side, set size): side 0 meets side 1, side 2 itself."""
+    side, doc, n, comp = (np.array([r[c] for r in tile], np.int64) for c in (0, 1, 2, 4))
+    width = np.array([len(r[3]) for r in tile])
+    edge, total = int((side == 0).sum()), len(tile)
+    of = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
+    sigs = {w: np.frombuffer(b"".join(tile[i][3] for i in at), np.uint64).reshape(len(at), -1) for w, at in of.items()}
+    folded = {(w, v): fold(sigs[w], v // 8) for w in of for v in of if v <= w}
+    row = {int(i): (int(w), k) for w, at in of.items() for k, i in enumerate(at)}
+    found: list[tuple[np.ndarray, np.ndarray]] = [(doc[:0], doc[:0])]
+    for x in range(edge if edge else total if side[0] == 2 else 0):
+        w, k = row[x]
+        first = max(x + 1, edge)  # sizes grow from there on
+        low = first + int(np.searchsorted(n[first:], -(-like.num * n[x] // like.den)))
+        high = first + int(np.searchsorted(n[first:], like.den * n[x] // like.num, "right"))
+        for v, at in of.items():
+            i, j = np.searchsorted(at, (low, high))
+            if i == j:
+                continue
+            ys, size = at[i:j], min(v, w)
+            overlap = (n[x] + n[ys] - np.bitwise_count(folded[v, size][i:j] ^ folded[w, size][k]).sum(axis=1, dtype=np.int64)) // 2
+            ys = ys[(overlap >= like.least(n[x], n[ys])) & (comp[ys] != comp[x])]
+            if len(ys):
+                found.append((np.minimum(doc[x], doc[ys]), np.maximum(doc[x], doc[ys])))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
 def ngram_join(docs: DataFrame, like: Likeness = Likeness(), owner: str = "query") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    docs = docs.select("doc_id", "text")
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     marks = scratch.save(_marks(docs, like, owner), "marks", owner)
     tokens = marks.where("doc_id is not null").select("doc_id", F.explode("prefix").alias("t"))
     groups = tokens.groupBy("t").agg(F.min("doc_id").alias("c"), F.max("doc_id").alias("z"), F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("f")).where("c < z")
     groups = scratch.save(groups, "groups", owner)  # both sides tables: Spark can split a frequent n-gram
     shared = scratch.save(tokens.join(groups.hint("merge"), "t"), "groups", owner)
+    scratch.drop(spark, groups)
     # of the centres that a document's groups name, the one that most of them do
     votes = shared.where("doc_id <> c").groupBy("doc_id", "c").agg(F.count("*").alias("v"))
     star = votes.groupBy("doc_id").agg(F.max_by("c", F.struct("v", -F.col("c"))).alias("a")).select("a", F.col("doc_id").alias("b"))
     star = scratch.save(star, "star", owner)
     near = scratch.save(_bounded(star, marks, like), "pairs", owner)
     links = _linked(near, docs, like, owner)
+    scratch.drop(spark, near)
     parts = scratch.save(components(links, owner), "components", owner)
     # groups with several components left, each set of members once
     placed = scratch.save(shared.join(parts.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("t", "c", "z", "m", "f", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed", owner)
+    scratch.drop(spark, shared)
     sizes = placed.groupBy("t", "c", "z", "m", "f", "comp").agg(F.count("*").alias("k"))
     open_ = sizes.groupBy("t", "c", "z", "m", "f").agg(F.max_by("comp", F.struct("k", -F.col("comp"))).alias("main"), F.max("k").alias("k")).where("k < m")
     open_ = open_.groupBy("c", "z", "m", "f").agg(F.min(F.struct("t", "main")).alias("x")).select("c", "z", "m", "x.t", "x.main")
@@ -265,11 +356,15 @@ def ngram_join(docs: DataFrame, like: Likeness = Likeness(), owner: str = "query
     # groups around one main component are compared as one: near copies share many n-grams, with almost the same members each time
     members = placed.join(open_.hint("merge"), "t").select(F.col("main").alias("g"), "doc_id", "comp").distinct().withColumn("minor", F.col("comp") != F.col("g"))
     members = scratch.save(members, "members", owner)
+    for used in (placed, open_, star):
+        scratch.drop(spark, used)
     sizes = scratch.save(members.groupBy("g").agg(F.count("*").alias("m"), F.sum(F.col("minor").cast("int")).alias("s")), "sizes", owner)
-    members = members.join(sizes.hint("merge"), "g").join(marks.where("n > 0").select("doc_id", "n", "sig").hint("merge"), "doc_id")
-    rest = scratch.save(_tiles(members, like), "pairs", owner)
+    signed = members.join(sizes.hint("merge"), "g").join(marks.where("n > 0").select("doc_id", "n", "sig").hint("merge"), "doc_id")
+    rest = scratch.save(_tiles(signed, like), "pairs", owner)
+    for used in (members, sizes):
+        scratch.drop(spark, used)
     if not rest.isEmpty():
-        links = links.unionByName(_linked(rest, docs, like, owner))
+        links = links.unionByName(_linked_in_tiles(rest, docs, like, owner))
         parts = scratch.save(components(links, owner), "components", owner)
     return marks.select("doc_id", F.col("n").alias("n_shingles")).join(parts.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

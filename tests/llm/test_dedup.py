@@ -206,3 +206,51 @@ def test_long_words_of_one_hash_are_different_words(frame):
     rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits)), (3, "".join("ab"[b] for b in bits))]
     got = {r["doc_id"]: r["component_id"] for r in nj.ngram_join(frame(rows), nj.Likeness(4, 85, 100)).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_ngram_join_decides_a_family_in_tiles_that_get_a_set_once(spark, frame, monkeypatch):
+    """Sets of candidate pairs once travelled with each pair (two sets a pair), so a family of near copies cost its square in shuffled bytes."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for at in rng.choice(60, 3, replace=False).tolist():
+            words[at] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    docs = frame(list(enumerate(texts)))
+    like = nj.Likeness(1, 92, 100)
+    sets = [set(t.split()) for t in texts]
+    pairs = [(i, j) for i in range(40) for j in range(i)]
+    linked = [(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 92 * len(sets[i] | sets[j])]
+    for block in (nj.BLOCK, 200):  # one tile, many tiles
+        monkeypatch.setattr(nj, "BLOCK", block)
+        got = nj._linked_in_tiles(spark.createDataFrame(pairs, "a long, b long"), docs, like, "test-tiles")
+        links = {(r["a"], r["b"]) for r in got.collect()}
+        assert links <= set(linked)
+        root = list(range(40))
+        def group(edges):
+            root[:] = range(40)
+            for _ in range(40):
+                for i, j in edges:
+                    root[i] = root[j] = min(root[i], root[j])
+            return list(root)
+        assert group(links) == group(linked)
+        if block == nj.BLOCK and block > 200:
+            assert len(links) <= 39
+
+
+def test_both_comparisons_of_a_tile_agree(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 200).astype(np.uint64)
+    for edge in (0, 30):
+        rows = []
+        for d in range(90):
+            grams = np.unique(np.concatenate([base[: 200 - d % 50], rng.integers(0, 1 << 62, d % 9).astype(np.uint64)]))
+            rows.append([0 if d < edge else 1 if edge else 2, d, len(grams), nj.signature(grams), d % 40])
+        rows.sort(key=lambda r: (r[0], r[2]))
+        got = []
+        for few in (0, 1000):
+            monkeypatch.setattr(nj, "FEW", few)
+            got.append(sorted(zip(*map(list, nj._compare(rows, nj.Likeness(4, 85, 100))), strict=True)))
+        assert got[0] == got[1] and got[0]
