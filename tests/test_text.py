@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,3 +52,22 @@ def test_strip_tokens_and_labels(spark):
     df = spark.createDataFrame([("\u00a0\t a  b\u2003c\n", "x" * 26)], "s string, l string")
     r = df.select(T.strip(F.col("s")).alias("a"), T.tokens(F.col("s")).alias("b"), T.clipped(F.col("l"), 25).alias("c"), T.citation(F.lit(None).cast("string"), F.lit("e"), F.lit("c"), F.lit(None).cast("string")).alias("d")).first()
     assert r["a"] == "a  b\u2003c" and r["b"] == ["a", "b", "c"] and r["c"] == "x" * 22 + "..." and r["d"] == "[?] e: c (confidence: ?)"
+
+
+def test_chunks_of_one_batch_leave_in_slices(spark, monkeypatch):
+    """A task's Python once held a whole batch, all of its chunks and a table of them at the same time: one batch in, one out."""
+    taken = {}
+    whole = spark.range(1, numPartitions=1)
+    monkeypatch.setattr(type(whole), "mapInArrow", lambda df, f, schema: taken.setdefault("f", f))
+    T.chunks(whole.select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))
+    docs = ["ab " * 5000, None, "", "y" * 9000] * 50 + ["z" * 3_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], names=["doc_id", "text"])
+    got = list(taken["f"](iter([batch])))
+    assert max(sum(len(x) for x in b.column(4).to_pylist()) for b in got) <= T.SLICE + T.CHUNK
+    rows = [r for b in got for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = []
+    for k, t in enumerate(docs):
+        if t is not None:
+            cut = [(a, b, t[a:b] if len(t) <= T.CHUNK else t[a:b].strip()) for a, b in T.windows(t)]
+            want += [(k, i, *c) for i, c in enumerate(c for c in cut if c[2] or len(t) <= T.CHUNK)]
+    assert rows == want
