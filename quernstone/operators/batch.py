@@ -128,12 +128,26 @@ def _bare(ends: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("name", "k", (F.coalesce("_names", F.lit(0)) + place).cast("long").alias("n"))
 
 
+def _by_holders(now: DataFrame, edges: DataFrame, bare: DataFrame, entities: DataFrame, threshold: float, kept: Kept, search: Callable[..., DataFrame]) -> Resolution:
+    """resolve_batch() without vectors and edges: what a round says follows from the holders of keys alone, so when these stay as they are all is right; names are written once, last."""
+    firsts, rounds = kept(_first_holders(_holders(entities, now, bare)), "holders"), 0
+    while True:
+        rounds += 1
+        then = _names(now, now, firsts, None, threshold, kept, search)
+        after = kept(_first_holders(_holders(entities, then, bare)), "holders")
+        if after.exceptAll(firsts).isEmpty() and firsts.exceptAll(after).isEmpty():
+            return Resolution(kept(then, "names"), edges, bare, rounds)
+        firsts = after
+
+
 def resolve_batch(names: DataFrame, edges: DataFrame, entities: DataFrame, kept: Kept, vectors: DataFrame | None = None, threshold: float = THRESHOLD, search: Callable[..., DataFrame] = nearest) -> Resolution:
     """``names``: k, n, name, aliases[, embedding], n numbering a document's names from 1; ``edges``: k, n, source, target, ...; ``entities`` and
     ``vectors``: what is stored. ``kept`` writes a table and reads it back. A name without an embedding is resolved by alias only."""
     entities = entities.select("node_seq", "name", "aliases")
     now = names.withColumns({"canonical": F.col("name"), "born": born(F.col("k"), F.col("n")), "how": F.lit("new")})
     bare = names.sparkSession.createDataFrame([], "name string, k long, n long")
+    if vectors is None and edges.isEmpty():
+        return _by_holders(now, edges, bare, entities, threshold, kept, search)
     rounds = 0
     while True:
         rounds += 1
